@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # 64-bit FNV-1a offset basis and prime, feature sizes and version.
 FNV_OFFSET = 14695981039346656037
@@ -51,7 +52,16 @@ def byte_stats(payload: bytes) -> tuple[float, float, str]:
     return round(entropy, 4), round(float(printable), 4), simhash(payload)
 
 
-@F.pandas_udf("payload_entropy double, payload_printable_ratio double, payload_simhash string")
+_STATS = T.StructType(
+    [
+        T.StructField("payload_entropy", T.DoubleType()),
+        T.StructField("payload_printable_ratio", T.DoubleType()),
+        T.StructField("payload_simhash", T.StringType()),
+    ]
+)
+
+
+@F.pandas_udf(_STATS)
 def _byte_stats(payloads: pd.Series) -> pd.DataFrame:
     rows = [byte_stats(bytes(x)) if x is not None and len(x) else (None,) * 3 for x in payloads]
     return pd.DataFrame(
@@ -117,7 +127,7 @@ def simhash_bands(col: Column | str, bands: Column | int) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def payload_ascii(samples: pd.Series) -> pd.Series:
     """Readable rendering of hex bytes: printable as is, CR/LF/TAB escaped, a dot otherwise."""
     table = {i: chr(i) if 0x20 <= i <= 0x7E else "." for i in range(256)}

@@ -145,12 +145,14 @@ def evidence_hosts(ctx: AnalysisContext, evidence: DataFrame) -> DataFrame:
             "service_port",
         ]
         matched = signature_matches(ctx.oriented, ctx.signatures).select(
-            *payload, F.col("sig_id").alias("evidence_key"), F.col("mode").alias("match_mode")
+            *[F.col(c).alias(f"m_{c}") for c in payload],
+            F.col("sig_id").alias("evidence_key"),
+            F.col("mode").alias("match_mode"),
         )
         rows = ctx.oriented.select(*payload, "host_ip").distinct()
-        same = [rows[c].eqNullSafe(matched[c]) for c in payload]
+        same = [F.col(c).eqNullSafe(F.col(f"m_{c}")) for c in payload]
         hosts = rows.join(matched, same).select(
-            matched["candidate_ip"], "evidence_key", "match_mode", "host_ip"
+            "candidate_ip", "evidence_key", "match_mode", "host_ip"
         ).distinct()
         out = out.unionByName(
             kinds.filter(signature).join(hosts, ["candidate_ip", "evidence_key", "match_mode"])

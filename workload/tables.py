@@ -156,3 +156,87 @@ def flow_view(spark: SparkSession, sf_dir: str) -> DataFrame:
             "tcp_flags", F.when(F.col("tcp_flags_observed"), flags)
         )
     )
+
+
+# Further inputs in SQL text for both engines; ``{name}`` stands for a driver table.
+CANDIDATES = """
+SELECT concat('cand-', c_custkey) AS candidate_id,
+  concat('203.', c_custkey % 4, '.', CAST(floor(c_custkey / 256) AS BIGINT) % 256, '.', c_custkey % 256) AS candidate_ip,
+  CAST((c_custkey * 7919) % 101 AS INT) AS score,
+  CASE WHEN (c_custkey * 7919) % 101 >= 80 THEN 'CRITICAL' WHEN (c_custkey * 7919) % 101 >= 60 THEN 'HIGH'
+       WHEN (c_custkey * 7919) % 101 >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
+  c_custkey % 13 = 0 AS excluded, concat('job-', c_custkey % 50) AS job_id,
+  concat('2024-01-', lpad(CAST(c_custkey % 28 + 1 AS VARCHAR(2)), 2, '0'), 'T00:00:00Z') AS last_seen
+FROM {customer}"""
+DAY = "substr(CAST({0} AS VARCHAR(30)), 1, 10)"
+DECISIONS = f"""
+SELECT concat('d-', o_orderkey) AS id, concat('cand-', o_custkey) AS candidate_id,
+  CASE WHEN o_orderstatus = 'F' THEN 'CONFIRMED_C2' WHEN o_orderstatus = 'O' THEN 'UNDER_REVIEW' ELSE 'FALSE_POSITIVE' END AS verdict,
+  CASE WHEN o_orderkey % 23 = 0 THEN 'SURE' WHEN o_orderkey % 2 = 0 THEN 'HIGH' ELSE 'LOW' END AS confidence,
+  CASE WHEN o_orderkey % 19 = 0 THEN '' ELSE o_orderpriority END AS note, 'analyst' AS created_by,
+  concat({DAY.format('o_orderdate')}, 'T', lpad(CAST(o_orderkey % 24 AS VARCHAR(2)), 2, '0'), ':00:00',
+         CASE WHEN o_orderkey % 17 = 0 THEN '' ELSE 'Z' END) AS created_at
+FROM {{orders}}"""
+ACTIONS = f"""
+SELECT concat('a-', l_orderkey, '-', l_linenumber) AS id, concat('cand-', o_custkey) AS candidate_id,
+  concat('d-', l_orderkey) AS verdict_id,
+  CASE WHEN l_returnflag = 'N' THEN 'PENDING' WHEN l_linestatus = 'O' THEN 'IN_PROGRESS' ELSE 'COMPLETED' END AS status,
+  concat({DAY.format('l_shipdate')}, 'T00:00:00Z') AS created_at
+FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey"""
+JOBS = f"""
+SELECT concat('job-', o_orderkey) AS id, concat('Run ', o_orderpriority, ' ', o_orderkey % 1000) AS name,
+  CASE WHEN o_orderstatus = 'F' THEN 'COMPLETED' WHEN o_orderstatus = 'P' AND o_orderkey % 2 = 0 THEN 'FAILED'
+       WHEN o_orderstatus = 'P' THEN 'PARTIALLY_COMPLETED' WHEN o_orderkey % 3 = 0 THEN 'ANALYZING' ELSE 'CAPTURING' END AS status,
+  CASE WHEN o_orderkey % 4 = 0 THEN 'PCAP' ELSE 'LIVE' END AS source_type, '' AS description,
+  o_orderdate AS created_at, CASE WHEN o_orderstatus = 'O' THEN NULL ELSE o_orderdate END AS completed_at
+FROM {{orders}}"""
+FEED = """
+SELECT concat('203.', o_custkey % 4, '.', CAST(floor(o_custkey / 256) AS BIGINT) % 256, '.', o_custkey % 256) AS ip,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'virustotal' WHEN o_orderkey % 3 = 1 THEN 'abuseipdb' ELSE 'misp' END AS provider,
+  CASE WHEN o_orderkey % 41 = 0 THEN 'ERROR' WHEN o_orderkey % 5 = 0 THEN 'NOT_CONFIGURED' ELSE 'OK' END AS status,
+  CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 4 END AS malicious,
+  CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 2 END AS suspicious,
+  CASE WHEN o_orderkey % 3 = 1 THEN o_orderkey % 100 END AS abuse_confidence_score,
+  CASE WHEN o_orderkey % 3 = 2 THEN o_orderkey % 3 END AS event_count, o_orderdate AS fetched_at
+FROM {orders}"""
+SENSORS = """
+SELECT concat('sensor-', user_id) AS sensor_id, concat('site ', user_id % 40) AS name, max(ts) AS last_heartbeat_at,
+  CAST(max(event_id) % 5000 AS DOUBLE) - 2500 AS clock_offset_ms, 'ONLINE' AS reported_status, 'ONLINE' AS status,
+  CAST(count(*) * 1000 AS BIGINT) AS received_packets, CAST(sum(event_id % 40) AS BIGINT) AS dropped_packets
+FROM {events} GROUP BY user_id"""
+SIGHTINGS = """
+SELECT concat('c-', user_id, '-', event_type) AS candidate_id, min(ts) AS first_seen,
+  CASE WHEN user_id % 10 = 0 THEN 'CRITICAL' WHEN user_id % 3 = 0 THEN 'HIGH' ELSE 'LOW' END AS severity
+FROM {events} GROUP BY user_id, event_type"""
+CASES = """
+SELECT lang AS model_profile, toxic = 1 AS expected_malicious,
+  CASE WHEN d.doc_id % 4 = 0 THEN 'LIKELY_C2' WHEN d.doc_id % 4 = 1 THEN 'SUSPICIOUS'
+       WHEN quality = 1 THEN 'LIKELY_BENIGN' ELSE 'INCONCLUSIVE' END AS predicted_verdict,
+  CAST((d.doc_id % 101) / 100.0 AS DOUBLE) AS confidence, d.doc_id % 9 <> 0 AS evidence_valid,
+  d.doc_id % 31 = 0 AS unsafe_recommendation, CAST(n_chars AS DOUBLE) AS latency_ms, n_chars AS input_tokens,
+  d.doc_id % 500 AS output_tokens, CAST((d.doc_id % 7) * 0.125 AS DOUBLE) AS estimated_cost_usd
+FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id"""
+POLICY_CASES = """
+SELECT o_orderkey AS id, CAST(o_orderkey % 101 AS INT) AS raw_score, o_totalprice > 100000 AS high_volume,
+  o_orderstatus = 'F' AS strong_evidence, o_orderkey % 10 = 0 AS analyst_exact_match,
+  CASE WHEN o_custkey % 3 = 0 THEN 'C2' ELSE 'BENIGN' END AS label
+FROM {orders}"""
+FLOW_LABELS = """
+SELECT concat('l-', l.doc_id, '-', x.n) AS id, 'job-1' AS job_id, l.doc_id AS flow_id,
+  CASE WHEN (l.toxic + x.n) % 2 = 1 THEN 'C2' ELSE 'BENIGN' END AS verdict, 'HIGH' AS confidence,
+  concat('2024-02-', lpad(CAST(x.n + l.doc_id % 9 + 1 AS VARCHAR(2)), 2, '0'), 'T00:00:00Z') AS created_at
+FROM {labels} l CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 AS n UNION ALL SELECT 2 AS n) x
+WHERE x.n <= l.quality + l.toxic"""
+
+
+def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """One of the inputs above as a DataFrame."""
+    names = {n for n in ("customer", "orders", "lineitem", "events", "documents", "labels")
+             if "{" + n + "}" in sql}
+    return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names})
+
+
+def duck(sql: str) -> str:
+    for n in ("customer", "orders", "lineitem", "events", "documents", "labels"):
+        sql = sql.replace("{" + n + "}", n)
+    return sql
