@@ -63,16 +63,20 @@ def robust_baselines(values: DataFrame, keys: list[str], value: str) -> DataFram
     )
 
 
-def population_anomaly(features: DataFrame, p: Params) -> DataFrame:
+def population_anomaly(features: DataFrame, p: Params, table=lambda df, name: df) -> DataFrame:
+    """Evidence of the anomaly detector; ``table`` may store the feature values read repeatedly."""
     minimum = max(8, p.ml_anomaly_min_population)
     floor = max(0.0, p.ml_anomaly_feature_z_floor)
     threshold = max(2.0, p.ml_anomaly_z_threshold)
     wanted = max(1, min(len(DIRECTIONS), p.ml_anomaly_min_directional_features))
     cap = max(0.0, min(5.0, p.ml_anomaly_contribution_cap))
     vectors = feature_vectors(features, p)
-    values = long_features(vectors)
-    baselines = robust_baselines(values, ["feature"], "value").filter(
-        (F.col("population") >= max(8, minimum // 2)) & (F.col("scale") > 1e-9)
+    values = table(long_features(vectors), "feature-values")
+    baselines = table(
+        robust_baselines(values, ["feature"], "value").filter(
+            (F.col("population") >= max(8, minimum // 2)) & (F.col("scale") > 1e-9)
+        ),
+        "baselines",
     )
     size = vectors.agg(F.count(F.lit(1)).alias("c")).scalar()
     usable = baselines.agg(F.count(F.lit(1)).alias("c")).scalar()

@@ -106,10 +106,15 @@ def _similar_pairs(groups: DataFrame, sigs: DataFrame) -> DataFrame:
     )
 
 
-def signature_matches(oriented: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Every (payload group, signature) match with its mode and comparison metrics."""
-    sigs = active_signatures(signatures)
-    groups = payload_groups(oriented)
+def signature_matches(
+    oriented: DataFrame, signatures: DataFrame, table=lambda df, name: df
+) -> DataFrame:
+    """Every (payload group, signature) match with its mode and comparison metrics.
+
+    ``table`` may store the payload groups and signatures, which three joins read.
+    """
+    sigs = table(active_signatures(signatures), "signatures")
+    groups = table(payload_groups(oriented), "payloads")
     either = F.array_compact(F.array_distinct(F.array("payload_hash", "last_payload_hash")))
     exact = (
         groups.withColumn("sig_payload_hash", F.explode(either))
@@ -188,12 +193,11 @@ def signature_matches(oriented: DataFrame, signatures: DataFrame) -> DataFrame:
     return exact.unionByName(structural.select(*exact.columns))
 
 
-def analyst_payload_signature(oriented: DataFrame, signatures: DataFrame) -> DataFrame:
+def analyst_payload_signature(matches: DataFrame) -> DataFrame:
     """One evidence row per (candidate, signature); exact matches displace structural ones.
 
-    Runs over scoped rows, not gated ones.
+    ``matches`` come from all scoped rows, not only gated ones.
     """
-    matches = signature_matches(oriented, signatures)
     key = ["candidate_ip", "sig_id", "mode"]
     totals = matches.groupBy(*key).agg(
         F.sum("n").alias("n"),

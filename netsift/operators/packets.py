@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netsift.operators.timeline import sessionize
+from netsift.operators.timeline import sessions
 from netsift.schema import FLOW, FLOW_DEFAULTS, conform
 
 IDENTITY = [
@@ -74,17 +74,13 @@ FLOW_KEY = [
 def packets_to_flows(packets: DataFrame, idle_seconds: int = 60) -> DataFrame:
     """Aggregate packets into flows; a pause of ``idle_seconds`` or more starts a new flow.
 
-    Packets of a key are numbered by time chunks (see ``sessionize``), so a key with a large share
-    of the packets is spread out; every aggregate combines on the map side.
+    Sessions are built from pieces per time chunk (see ``sessions``), so a key with a large share of
+    the packets is spread out.
     """
     null_port = {c: F.coalesce(c, F.lit(-1)) for c in ("source_port", "destination_port")}
     rows = packets.withColumns(null_port)
-    numbered = sessionize(
-        rows, FLOW_KEY, idle_us=idle_seconds * 1_000_000, split_at_equal=True
-    )
     has = F.coalesce(F.col("payload_hash"), F.lit("")) != ""
-    when = F.struct("ts_us", "packet_index")
-    features = F.struct(
+    features = [
         "payload_hash",
         "payload_prefix_hash",
         "payload_length",
@@ -92,30 +88,32 @@ def packets_to_flows(packets: DataFrame, idle_seconds: int = 60) -> DataFrame:
         "payload_printable_ratio",
         "payload_simhash",
         "payload_feature_version",
-    )
-    meta = F.struct("domain", "tls_fingerprint", "certificate_fingerprint")
-    known_meta = F.coalesce("domain", "tls_fingerprint", "certificate_fingerprint").isNotNull()
+    ]
+    meta = ["domain", "tls_fingerprint", "certificate_fingerprint"]
+    known_meta = F.coalesce(*meta).isNotNull()
+    timed = lambda cond, cols: F.when(cond, F.struct("ts_us", "packet_index", *cols))
     flag = lambda f: F.coalesce(F.element_at("tcp_flags", F.lit(f)), F.lit(0))
     syn, ack, rst = flag("syn") > 0, flag("ack") > 0, flag("rst") > 0
     payload = F.coalesce("payload_length", F.lit(0))
-    out = numbered.groupBy(*FLOW_KEY, "session_no").agg(
-        F.min("ts_us").alias("ts_us"),
-        F.max("ts_us").alias("end_us"),
-        F.count(F.lit(1)).alias("packet_count"),
-        F.sum("total_bytes").alias("total_bytes"),
-        F.min("total_bytes").alias("min_size"),
-        F.max("total_bytes").alias("max_size"),
-        F.min(payload).alias("min_payload"),
-        F.max(payload).alias("max_payload"),
-        F.avg(payload).alias("avg_payload"),
-        F.min_by(F.when(has, features), F.when(has, when)).alias("first"),
-        F.max_by(F.when(has, F.col("payload_hash")), F.when(has, when)).alias("last_payload_hash"),
-        F.max_by(F.when(known_meta, meta), F.when(known_meta, when)).alias("meta"),
-        *[F.sum(flag(f)).alias(f"n_{f}") for f in FLAGS],
-        F.count_if(syn & ~ack & ~rst).alias("tcp_syn_only_count"),
-        F.count_if(syn & ack & ~rst).alias("tcp_syn_ack_count"),
-        F.count_if(ack & ~syn & ~rst).alias("tcp_ack_only_count"),
-    )
+    aggregates = {
+        "packet_count": (F.count(F.lit(1)), "sum"),
+        "total_bytes": (F.sum("total_bytes"), "sum"),
+        "min_size": (F.min("total_bytes"), "min"),
+        "max_size": (F.max("total_bytes"), "max"),
+        "min_payload": (F.min(payload), "min"),
+        "max_payload": (F.max(payload), "max"),
+        "sum_payload": (F.sum(payload), "sum"),
+        "first": (F.min(timed(has, features)), "min"),
+        "last": (F.max(timed(has, ["payload_hash"])), "max"),
+        "meta": (F.max(timed(known_meta, meta)), "max"),
+        **{f"n_{f}": (F.sum(flag(f)), "sum") for f in FLAGS},
+        "tcp_syn_only_count": (F.count_if(syn & ~ack & ~rst), "sum"),
+        "tcp_syn_ack_count": (F.count_if(syn & ack & ~rst), "sum"),
+        "tcp_ack_only_count": (F.count_if(ack & ~syn & ~rst), "sum"),
+    }
+    out = sessions(
+        rows, FLOW_KEY, aggregates, idle_us=idle_seconds * 1_000_000, split_at_equal=True
+    ).withColumnRenamed("first_us", "ts_us")
     sizes = F.when(F.col("min_size") == F.col("max_size"), F.array("min_size")).otherwise(
         F.array("min_size", "max_size")
     )
@@ -134,10 +132,10 @@ def packets_to_flows(packets: DataFrame, idle_seconds: int = 60) -> DataFrame:
         (F.col("total_bytes") / F.col("packet_count")).alias("avg_packet_size"),
         "min_payload",
         "max_payload",
-        "avg_payload",
-        "first.*",
-        "last_payload_hash",
-        "meta.*",
+        (F.col("sum_payload") / F.col("packet_count")).alias("avg_payload"),
+        *[F.col(f"first.{c}") for c in features],
+        F.col("last.payload_hash").alias("last_payload_hash"),
+        *[F.col(f"meta.{c}") for c in meta],
         F.create_map(*[x for f in FLAGS for x in (F.lit(f), F.col(f"n_{f}"))]).alias("tcp_flags"),
         (F.col("protocol") == "TCP").alias("tcp_flags_observed"),
         F.col("n_syn").alias("tcp_syn_count"),

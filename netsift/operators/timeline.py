@@ -75,50 +75,55 @@ def distinct_gaps(
     return inner.unionByName(edges).filter(F.col("gap_us").isNotNull())
 
 
-def sessionize(
+def sessions(
     rows: DataFrame,
     keys: list[str],
+    aggregates: dict[str, tuple[Column, str]],
     *,
     idle_us: int,
     ts: str = "ts_us",
     end: str | None = None,
     split_at_equal: bool = False,
-    chunk_us: int = 3600 * 1_000_000,
+    chunk_us: int = CHUNK_US,
 ) -> DataFrame:
-    """Number the sessions of each key in time order (``session_no`` from 0).
+    """Aggregate the rows of each session of a key; ``session_no`` counts from 0 in time order.
 
     A row opens a session when it starts more than ``idle_us`` after the latest end seen so far
-    (at exactly ``idle_us`` too with ``split_at_equal``).
+    (at exactly ``idle_us`` too with ``split_at_equal``). Rows are first cut into pieces inside
+    their time chunk and reduced to one row per piece; a piece that no earlier end is far enough
+    from joins the session before it. Rows are shuffled once, pieces once.
+
+    ``aggregates`` maps a name to its aggregate over rows and how pieces combine it
+    (``sum``, ``min`` or ``max``). ``first_us`` and ``end_us`` are always returned.
     """
     end = end or ts
     on = [*keys, "__chunk"]
-    cut = rows.withColumn("__chunk", _chunk(ts, chunk_us)).repartition(*on)
-    before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        cut.groupBy(*on)
-        .agg(F.max(end).alias("__end"))
-        .withColumn("__carry", F.max("__end").over(before))
-        .drop("__end")
-    )
-    inside = Window.partitionBy(*on).orderBy(ts)
-    prior = inside.rowsBetween(Window.unboundedPreceding, -1)
-    latest = F.greatest(F.max(end).over(prior), F.col("__carry"))
-    gap = F.col(ts) - F.col("__latest")
-    opens = gap >= idle_us if split_at_equal else gap > idle_us
-    flagged = (
-        cut.join(carried, on)
-        .withColumn("__latest", latest)
-        .withColumn("__open", F.when(opens, 1).otherwise(0))
-        .withColumn("__local", F.sum("__open").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    )
-    offsets = (
-        flagged.groupBy(*on)
-        .agg(F.sum("__open").alias("__opened"))
-        .withColumn("__offset", F.coalesce(F.sum("__opened").over(before), F.lit(0)))
-        .select(*on, "__offset")
+    apart = (lambda gap: gap >= idle_us) if split_at_equal else (lambda gap: gap > idle_us)
+    order = Window.partitionBy(*on).orderBy(ts)
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    pieces = (
+        rows.withColumn("__chunk", _chunk(ts, chunk_us))
+        .withColumn("__gap", F.col(ts) - F.max(end).over(before))
+        .withColumn("__piece", F.sum(F.when(apart(F.col("__gap")), 1).otherwise(0)).over(so_far))
+        .groupBy(*on, "__piece")
+        .agg(
+            F.min(ts).alias("first_us"),
+            F.max(end).alias("end_us"),
+            *[agg.alias(name) for name, (agg, _) in aggregates.items()],
+        )
     )
+    order = Window.partitionBy(*keys).orderBy("first_us")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    merge = {"sum": F.sum, "min": F.min, "max": F.max}
     return (
-        flagged.join(offsets, on)
-        .withColumn("session_no", F.col("__local") + F.col("__offset"))
-        .drop("__chunk", "__carry", "__latest", "__open", "__local", "__offset")
+        pieces.withColumn("__gap", F.col("first_us") - F.max("end_us").over(before))
+        .withColumn("session_no", F.sum(F.when(apart(F.col("__gap")), 1).otherwise(0)).over(so_far))
+        .groupBy(*keys, "session_no")
+        .agg(
+            F.min("first_us").alias("first_us"),
+            F.max("end_us").alias("end_us"),
+            *[merge[how](name).alias(name) for name, (_, how) in aggregates.items()],
+        )
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netsift.operators.timeline import sessionize
+from netsift.operators.timeline import sessions
 from netsift.params import Params
 
 SESSION_KEY = ["sensor_id", "host_ip", "internal_key", "candidate_ip", "service_key"]
@@ -23,20 +23,15 @@ def tcp_sessions(oriented: DataFrame, p: Params = Params()) -> DataFrame:
                 "end_us": end.cast("bigint"),
             }
         )
-        .groupBy(*SESSION_KEY, "ts_us")
-        .agg(
-            F.max("end_us").alias("end_us"),
-            F.sum(F.greatest(F.col("packet_count"), F.lit(0))).alias("packets"),
-            F.sum(F.greatest(F.col("total_bytes"), F.lit(0))).alias("bytes"),
-        )
+        .select(*SESSION_KEY, "ts_us", "end_us", "packet_count", "total_bytes")
     )
-    idle = max(1, int(p.tcp_session_idle_timeout_seconds)) * 1_000_000
-    numbered = sessionize(rows, SESSION_KEY, idle_us=idle, end="end_us")
-    return numbered.groupBy(*SESSION_KEY, "session_no").agg(
-        F.min("ts_us").alias("first_us"),
-        F.max("end_us").alias("end_us"),
-        F.sum("packets").alias("packets"),
-        F.sum("bytes").alias("bytes"),
+    volume = lambda c: (F.sum(F.greatest(F.col(c), F.lit(0))), "sum")
+    return sessions(
+        rows,
+        SESSION_KEY,
+        {"packets": volume("packet_count"), "bytes": volume("total_bytes")},
+        idle_us=max(1, int(p.tcp_session_idle_timeout_seconds)) * 1_000_000,
+        end="end_us",
     )
 
 

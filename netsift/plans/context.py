@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netsift.operators import features as ft
+from netsift.operators.detectors.signature import signature_matches
 from netsift.operators.roles import orient, scoped
 from netsift.operators.tcp import gate, judged_profiles, tcp_profiles
 from netsift.operators.traffic import traffic_profile
@@ -94,6 +95,12 @@ class AnalysisContext:
     def profile(self) -> DataFrame:
         return self._table(traffic_profile(self.oriented, self.params), "profile")
 
+    @cached_property
+    def signature_matches(self) -> DataFrame:
+        """Payload groups that match a signature, with the way they match."""
+        found = signature_matches(self.oriented, self.signatures, self._table)
+        return self._table(found, "matches")
+
     @cached_property
     def features(self) -> DataFrame:
         """One row per candidate with everything the profile detectors look at."""
@@ -111,8 +118,10 @@ class AnalysisContext:
     def prepare(self) -> AnalysisContext:
         """Write all shared tables; independent ones are submitted to Spark together."""
         _ = self.gated
-        with ThreadPoolExecutor(4) as pool:
-            names = ("contacts", "shapes", "intervals", "profile")
+        with ThreadPoolExecutor(5) as pool:
+            names = ["contacts", "shapes", "intervals", "profile"]
+            if self.signatures is not None:
+                names.append("signature_matches")
             list(pool.map(lambda n: getattr(self, n), names))
         _ = self.features
         return self

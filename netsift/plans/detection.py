@@ -42,13 +42,13 @@ def _timing_and_signatures(ctx: AnalysisContext) -> dict:
         "analyst_payload_signature": lambda: (
             _nothing(ctx)
             if ctx.signatures is None
-            else analyst_payload_signature(ctx.oriented, ctx.signatures)
+            else analyst_payload_signature(ctx.signature_matches)
         ),
         "tcp_session_quality": lambda: (
             tcp_session_quality(ctx.judged, p) if p.tcp_session_gating_enabled else _nothing(ctx)
         ),
         "ml_population_anomaly": lambda: (
-            population_anomaly(ctx.features, p)
+            population_anomaly(ctx.features, p, ctx._table)
             if p.ml_anomaly_enabled
             else _nothing(ctx)
         ),
@@ -97,7 +97,6 @@ def evidence_hosts(ctx: AnalysisContext, evidence: DataFrame) -> DataFrame:
     A candidate may have any number of hosts, so they are a relation and never an array. Evidence
     that rests on all rows of a candidate joins its contacts; the rest names its hosts itself.
     """
-    from netsift.operators.detectors.signature import signature_matches
     from netsift.operators.detectors.timing import beacon_hosts, offset_us, synchronized_buckets
     from netsift.operators.features import odd_port
 
@@ -144,7 +143,7 @@ def evidence_hosts(ctx: AnalysisContext, evidence: DataFrame) -> DataFrame:
             "direction",
             "service_port",
         ]
-        matched = signature_matches(ctx.oriented, ctx.signatures).select(
+        matched = ctx.signature_matches.select(
             *[F.col(c).alias(f"m_{c}") for c in payload],
             F.col("sig_id").alias("evidence_key"),
             F.col("mode").alias("match_mode"),

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netsift.functions.stats import exact_quantile
 from netsift.operators.detectors.population import MAD_TO_SIGMA
 from netsift.operators.timeline import distinct_gaps
 from netsift.params import PREFILTER_VERSION
+from netsift.session import materialize
+
+# How an intermediate result is stored; the plans that follow read it several times.
+Stage = Callable[[DataFrame, str], DataFrame]
 
 # Ports that only speak for common services, and the high-volume limits.
 COMMON_SERVICE_PORTS = (53, 123)
@@ -32,54 +36,68 @@ def peer_totals(oriented: DataFrame) -> DataFrame:
     )
 
 
-def steadiest_host(oriented: DataFrame) -> DataFrame:
-    """Per peer, the host whose interval the ranking reports.
-
-    Hosts are visited by first contact; a later host replaces the best one when it has more
-    intervals or a smaller deviation. Only hosts below the deviation limit take part, and a host
-    that neither gains intervals nor steadiness over all earlier ones is never the result, so the
-    fold runs over the hosts that set a new record in one of the two.
-    """
+def steady_hosts(oriented: DataFrame, table: Stage) -> DataFrame:
+    """Hosts with at least three intervals whose normalized MAD is at most 0.2."""
     keys = ["candidate_ip", "host_ip"]
-    gaps = distinct_gaps(oriented, keys).withColumn("gap", F.col("gap_us") / 1e6)
-    period = exact_quantile(gaps, keys, "gap", 0.5, "period")
+    gaps = distinct_gaps(oriented, keys).select(*keys, (F.col("gap_us") / 1e6).alias("gap"))
+    gaps = table(gaps, "gaps")
+    samples = gaps.groupBy(*keys).agg(F.count(F.lit(1)).alias("samples")).filter("samples >= 3")
+    period = exact_quantile(gaps.join(samples, keys, "left_semi"), keys, "gap", 0.5, "period")
+    period = table(period.join(samples, keys), "periods")
     off = gaps.join(period, keys).withColumn("dev", F.abs(F.col("gap") - F.col("period")))
-    mad = exact_quantile(off, keys, "dev", 0.5, "mad")
-    samples = gaps.groupBy(*keys).agg(F.count(F.lit(1)).alias("samples"))
+    mad = exact_quantile(table(off.select(*keys, "dev"), "deviations"), keys, "dev", 0.5, "mad")
     first = oriented.groupBy(*keys).agg(F.min("ts_us").alias("first_us"))
-    steady = (
-        samples.filter(F.col("samples") >= 3)
-        .join(period, keys)
+    return (
+        period.filter(F.col("period") > 0)
         .join(mad, keys)
-        .join(first, keys)
         .withColumn("deviation", F.col("mad") / F.col("period"))
-        .filter((F.col("period") > 0) & (F.col("deviation") <= 0.2))
-    )
-    # Only (samples, deviation) decide a replacement: the first host of each pair is enough.
-    distinct = steady.groupBy("candidate_ip", "samples", "deviation").agg(
-        F.min(F.struct("first_us", "host_ip", "period")).alias("v")
+        .filter(F.col("deviation") <= 0.2)
+        .join(first, keys)
     )
-    visit = F.sort_array(
-        F.collect_list(
-            F.struct("v.first_us", "v.host_ip", "samples", "deviation", F.col("v.period"))
+
+
+FIRST_CONTACT_US = 10_000_000
+
+
+def steadiest_host(steady: DataFrame) -> DataFrame:
+    """Per peer, the host whose interval the ranking reports.
+
+    Hosts are visited by first contact, and a later host replaces the best one when it has more
+    intervals or a smaller deviation. The walk ends at the first host that no later host beats in
+    either measure: any earlier best that this host could not replace would itself be unbeaten.
+    So the maximum and minimum over later hosts decide; they are taken inside slots of first
+    contact and over slot summaries, and no peer is gathered in one place.
+    """
+    slot = F.floor(F.col("first_us") / FIRST_CONTACT_US)
+    rows = steady.withColumn("slot", slot)
+    later = lambda w: w.rowsBetween(1, Window.unboundedFollowing)
+    between = later(Window.partitionBy("candidate_ip").orderBy("slot"))
+    inside = later(Window.partitionBy("candidate_ip", "slot").orderBy("first_us", "host_ip"))
+    slots = (
+        rows.groupBy("candidate_ip", "slot")
+        .agg(F.max("samples").alias("ms"), F.min("deviation").alias("md"))
+        .select(
+            "candidate_ip",
+            "slot",
+            F.max("ms").over(between).alias("ms"),
+            F.min("md").over(between).alias("md"),
         )
     )
-    start = F.struct(
-        F.lit(0).cast("bigint").alias("samples"),
-        F.lit(1.0).alias("deviation"),
-        F.lit(0.0).alias("period"),
-    )
-    better = lambda best, x: (x["samples"] > best["samples"]) | (
-        x["deviation"] < best["deviation"]
+    most = F.greatest(F.max("samples").over(inside), F.col("ms"))
+    least = F.least(F.min("deviation").over(inside), F.col("md"))
+    unbeaten = (F.col("most").isNull() | (F.col("samples") >= F.col("most"))) & (
+        F.col("least").isNull() | (F.col("deviation") <= F.col("least"))
     )
-    step = lambda best, x: F.when(
-        better(best, x),
-        F.struct(x["samples"].alias("samples"), x["deviation"].alias("deviation"),
-                 x["period"].alias("period")),
-    ).otherwise(best)
     return (
-        distinct.groupBy("candidate_ip")
-        .agg(F.aggregate(visit, start, step).alias("best"))
+        rows.join(slots, ["candidate_ip", "slot"])
+        .withColumns({"most": most, "least": least})
+        .filter(unbeaten)
+        .groupBy("candidate_ip")
+        .agg(
+            F.min_by(
+                F.struct("samples", "deviation", "period"), F.struct("first_us", "host_ip")
+            ).alias("best")
+        )
         .select("candidate_ip", "best.*")
     )
 
@@ -117,11 +135,25 @@ def synchronized_peak(oriented: DataFrame) -> DataFrame:
     )
 
 
-def _robust(totals: DataFrame, value: str) -> tuple[Column, Column]:
-    """Median and MAD over all peers as scalar subqueries."""
-    center = exact_quantile(totals, [], value, 0.5, "m")
-    off = totals.select(F.abs(F.col(value) - center.scalar()).alias("d"))
-    return center.scalar(), exact_quantile(off, [], "d", 0.5, "m").scalar()
+def _robust(totals: DataFrame) -> DataFrame:
+    """One row with median and MAD of flows and bytes over all peers."""
+    pairs = F.array(
+        *[
+            F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
+            for c in ("flow_count", "total_bytes")
+        ]
+    )
+    values = totals.select(F.inline(pairs))
+    center = exact_quantile(values, ["feature"], "value", 0.5, "center")
+    off = values.join(center, "feature").withColumn("dev", F.abs(F.col("value") - F.col("center")))
+    both = exact_quantile(off, ["feature"], "dev", 0.5, "mad").join(center, "feature")
+    pick = lambda f, c: F.max(F.when(F.col("feature") == f, F.col(c)))
+    return both.agg(
+        pick("flow_count", "center").alias("flow_median"),
+        pick("flow_count", "mad").alias("flow_mad"),
+        pick("total_bytes", "center").alias("byte_median"),
+        pick("total_bytes", "mad").alias("byte_mad"),
+    )
 
 
 def _factor(name: str, points: Column, metrics: dict[str, Column], when: Column) -> Column:
@@ -134,25 +166,31 @@ def _factor(name: str, points: Column, metrics: dict[str, Column], when: Column)
 
 
 def prefilter(
-    oriented: DataFrame, trusted: Iterable[str] = (), limit: int | None = None
+    oriented: DataFrame,
+    trusted: Iterable[str] = (),
+    limit: int | None = None,
+    table: Stage = materialize,
 ) -> DataFrame:
     """Every peer with its score (0–100) and the factors that make it up, ranked."""
     if limit is not None and limit < 1:
         raise ValueError("limit must be positive")
-    totals = peer_totals(oriented)
-    flow_median, flow_mad = _robust(totals, "flow_count")
-    byte_median, byte_mad = _robust(totals, "total_bytes")
-    z = lambda v, m, d: (F.col(v) - m) / F.greatest(F.lit(1.0), MAD_TO_SIGMA * d)
-    table = (
-        totals.join(steadiest_host(oriented), "candidate_ip", "left")
+    totals = table(peer_totals(oriented), "peers")
+    steady = table(steady_hosts(oriented, table), "steady")
+    robust = table(_robust(totals), "robust")
+    limits = {c: robust.select(c).scalar() for c in robust.columns}
+    z = lambda v, m, d: (F.col(v) - F.col(m)) / F.greatest(
+        F.lit(1.0), MAD_TO_SIGMA * F.col(d)
+    )
+    table_rows = (
+        totals.join(steadiest_host(steady), "candidate_ip", "left")
         .join(payload_cluster(oriented), "candidate_ip", "left")
         .join(synchronized_peak(oriented), "candidate_ip", "left")
-        .withColumns({"flow_median": flow_median, "byte_median": byte_median})
+        .withColumns(limits)
         .withColumn(
             "robust_z",
             F.greatest(
-                z("flow_count", F.col("flow_median"), flow_mad),
-                z("total_bytes", F.col("byte_median"), byte_mad),
+                z("flow_count", "flow_median", "flow_mad"),
+                z("total_bytes", "byte_median", "byte_mad"),
             ),
         )
     )
@@ -225,7 +263,7 @@ def prefilter(
     )
     total = F.aggregate("factors", F.lit(0.0), lambda a, x: a + x["points"])
     score = F.greatest(F.lit(0), F.least(F.lit(100), F.rint(total))).cast("int")
-    ranked = table.withColumn("factors", factors).select(
+    ranked = table_rows.withColumn("factors", factors).select(
         "candidate_ip",
         score.alias("prefilter_score"),
         F.lit(PREFILTER_VERSION).alias("score_version"),

@@ -99,7 +99,7 @@ SIZES = """sz AS (
   FROM (SELECT cand, stddev_pop(total_bytes) AS sd, avg(total_bytes) AS m FROM g GROUP BY cand) b
   LEFT JOIN (SELECT cand, count(*) AS cn, stddev_pop(x) AS csd, avg(x) AS cm
     FROM (SELECT cand, unnest(packet_sizes) AS x FROM g) GROUP BY cand) a USING (cand))"""
-HEAD = "cand AS candidate_ip, {c} AS contribution, CAST({n} AS BIGINT) AS sample_count, {t0} AS first_us, {t1} AS last_us, {h0} AS min_host, {h1} AS max_host, CAST({s} AS INT) AS n_sensors"
+HEAD = "cand AS candidate_ip, CAST({c} AS DOUBLE) AS contribution, CAST({n} AS BIGINT) AS sample_count, {t0} AS first_us, {t1} AS last_us, {h0} AS min_host, {h1} AS max_host, CAST({s} AS INT) AS n_sensors"
 
 
 def head(c, n="n", t0="t0", t1="t1", h0="h0", h1="h1", s="sens") -> str:

@@ -40,7 +40,7 @@ md AS (SELECT median(fc) AS fm, median(tb) AS bm FROM pt),
 mm AS (SELECT median(abs(fc - fm)) AS fd, median(abs(tb - bm)) AS bd FROM pt, md),
 pr0 AS (SELECT pt.cand, fc, least(10.0, 2 + 2 * log2(fc + 1)) AS base,
     CASE WHEN v.n >= 3 THEN round(35 * (1 - least(1.0, v.d)), 2) ELSE 0 END AS beacon,
-    coalesce(round(20 * (mx / tot), 2), 0) AS cluster, coalesce(least(20.0, 5.0 * h), 0) AS sync,
+    coalesce(round(20 * (mx / tot), 2), 0) AS cluster, CASE WHEN h IS NULL THEN 0 ELSE least(20.0, 5.0 * h) END AS sync,
     CASE WHEN greatest((fc - fm) / greatest(1, 1.4826 * fd), (tb - bm) / greatest(1, 1.4826 * bd)) >= 3
       THEN least(20.0, 5 + greatest((fc - fm) / greatest(1, 1.4826 * fd), (tb - bm) / greatest(1, 1.4826 * bd))) ELSE 0 END AS anomaly,
     CASE WHEN len(ports) > 0 AND len(list_filter(ports, lambda p: p NOT IN (53, 123))) = 0 THEN -15 ELSE 0 END
@@ -139,11 +139,11 @@ pkf AS MATERIALIZED (SELECT sensor_id, direction, source_ip, destination_ip, nul
 def more_oracles() -> dict[str, str]:
     p = {
         "prefilter": f"""{ctes(*O, PRE)} SELECT cand AS candidate_ip, ps AS prefilter_score, fc AS flow_count, round(base, 2) AS baseline,
-  round(beacon, 2) AS beacon, round(cluster, 2) AS cluster, round(sync, 2) AS sync, round(anomaly, 2) AS anomaly FROM pre""",
+  round(beacon, 2) AS beacon, round(cluster, 2) AS cluster, CAST(round(sync, 2) AS DOUBLE) AS sync, round(anomaly, 2) AS anomaly FROM pre""",
         "prefilter_topk": f"""{ctes(*O, PRE)} SELECT cand AS candidate_ip, ps AS prefilter_score FROM pre ORDER BY ps DESC, cand LIMIT 20""",
         "merge_ranking": f"""{ctes(*SCORED, PRE)} SELECT coalesce(candidate_ip, pre.cand) AS candidate_ip, coalesce(score, 0) AS score,
   coalesce(ps, 0) AS prefilter_score, CASE WHEN score IS NOT NULL THEN {SEVERITY} WHEN ps >= 70 THEN 'HIGH' WHEN ps >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
-  round(0.55 * coalesce(score, 0) + 0.25 * coalesce(ps, 0), 6) AS rank_value,
+  CAST(round(0.55 * coalesce(score, 0) + 0.25 * coalesce(ps, 0), 6) AS DOUBLE) AS rank_value,
   CASE WHEN score IS NULL THEN 'ai-prefilter-' || left(sha256('job-1:' || pre.cand), 16) END AS prefilter_id
 FROM scored FULL JOIN pre ON pre.cand = candidate_ip""",
         "review_priority": f"""{ctes(CASES)}, x AS (SELECT input_tokens % 101 AS s, output_tokens % 101 AS q, confidence,
@@ -286,7 +286,7 @@ hit AS (SELECT count(*) AS h FROM top WHERE cand IN (SELECT candidate_ip FROM kb
 SELECT round(h / b, 4) AS recall_at_k, round(h / least(20, n), 4) AS precision_at_k, round(1 - least(20, n) / n, 4) AS candidate_reduction_ratio, n AS peer_count FROM hit, n, b""",
         "known_ranks": f"""{ctes(*O, EV_CTE, PRE, KNOWN)}, r AS (SELECT cand, ps, row_number() OVER (ORDER BY ps DESC, cand) AS rk FROM pre)
 SELECT cand AS candidate_ip, ps AS prefilter_score, rk AS rank FROM r WHERE cand IN (SELECT candidate_ip FROM kb)""",
-        "guidance_weights": f"""{ctes(*SCORED, STEPS)} SELECT gw.candidate_ip, gw.detector, 1.0 AS current_value, recommended_value, projected_score,
+        "guidance_weights": f"""{ctes(*SCORED, STEPS)} SELECT gw.candidate_ip, gw.detector, CAST(1.0 AS DOUBLE) AS current_value, recommended_value, projected_score,
   projected_score - score AS score_gain, CASE WHEN recommended_value <= 1.5 THEN 'MEDIUM' ELSE 'HIGH' END AS risk FROM gw JOIN scored USING (candidate_ip)""",
         "guidance": f"""{ctes(*SCORED, STEPS, ROLES)},
 bs AS (SELECT candidate_ip, detector FROM (SELECT *, row_number() OVER (PARTITION BY candidate_ip ORDER BY recommended_value, -projected_score, detector) AS rn FROM gw) WHERE rn = 1),
@@ -312,7 +312,7 @@ SELECT candidate_ip, kind, CAST(position AS INT) AS position, value FROM (SELECT
         "data_quality": f"""{ctes(F_CTE)} SELECT count(*) AS source_flow_count, CAST(0 AS BIGINT) AS flows_missing_timestamp,
   count(*) FILTER (WHERE direction = 'UNKNOWN') / count(*) AS unknown_direction_ratio, CAST(0 AS BIGINT) AS payload_fields_excluded FROM f""",
         "evidence_check": f"""{ctes(*O, EV_CTE)} SELECT type, CAST(0 AS INT) AS problems, count(*) AS n FROM ev GROUP BY type""",
-        "custom_detector": f"""{ctes(*G)} SELECT cand AS candidate_ip, 'many_ports' AS detector, 7.0 AS contribution, count(*) AS sample_count FROM g GROUP BY cand HAVING count(DISTINCT sport) >= 2""",
+        "custom_detector": f"""{ctes(*G)} SELECT cand AS candidate_ip, 'many_ports' AS detector, CAST(7.0 AS DOUBLE) AS contribution, count(*) AS sample_count FROM g GROUP BY cand HAVING count(DISTINCT sport) >= 2""",
         "retention_filter": f"""{ctes(F_CTE)} SELECT flow_no FROM f WHERE make_timestamp(ts_us) >= TIMESTAMP '2024-02-20' - INTERVAL 30 DAY""",
         "dataset_counts": f"""{ctes(F_CTE)} SELECT sensor_id, CAST(sum(packet_count) AS BIGINT) AS packet_count, count(*) AS flow_count FROM f GROUP BY 1""",
         "batch_ingest": f"""{ctes(F_CTE)}, b AS (SELECT sensor_id, concat('b', CAST(floor(flow_no / 100) AS BIGINT)) AS batch_id, count(*) AS n FROM f GROUP BY 1, 2)

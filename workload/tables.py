@@ -178,7 +178,7 @@ SELECT concat('d-', o_orderkey) AS id, concat('cand-', o_custkey) AS candidate_i
          CASE WHEN o_orderkey % 17 = 0 THEN '' ELSE 'Z' END) AS created_at
 FROM {{orders}}"""
 ACTIONS = f"""
-SELECT concat('a-', l_orderkey, '-', l_linenumber) AS id, concat('cand-', o_custkey) AS candidate_id,
+SELECT concat('a-', l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) AS id, concat('cand-', o_custkey) AS candidate_id,
   concat('d-', l_orderkey) AS verdict_id,
   CASE WHEN l_returnflag = 'N' THEN 'PENDING' WHEN l_linestatus = 'O' THEN 'IN_PROGRESS' ELSE 'COMPLETED' END AS status,
   concat({DAY.format('l_shipdate')}, 'T00:00:00Z') AS created_at
