@@ -11,7 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_V4 = r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.|$)){4}(?<!\.)$"
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+_V4 = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
 
 
 def _c(col: Column | str) -> Column:
@@ -29,9 +30,8 @@ def all_of(conditions: Iterable[Column]) -> Column:
 def ipv4_number(col: Column | str) -> Column:
     """Dotted quad as BIGINT, null for anything else."""
     ip = _c(col)
-    value = F.aggregate(
-        F.split(ip, r"\."), F.lit(0).cast("bigint"), lambda a, x: a * 256 + x.cast("bigint")
-    )
+    part = lambda i: F.split_part(ip, F.lit("."), F.lit(i)).cast("bigint")
+    value = ((part(1) * 256 + part(2)) * 256 + part(3)) * 256 + part(4)
     return F.when(ip.rlike(_V4), value)
 
 
@@ -84,13 +84,13 @@ def _networks(cidrs: Iterable[str]) -> list:
 
 
 def number_in_cidrs(number: Column, cidrs: Iterable[str]) -> Column:
-    """Whether an IPv4 number lies in any of the IPv4 networks."""
+    """Whether an IPv4 number lies in any of the IPv4 networks (one shift and compare for each)."""
     four = [n for n in _networks(cidrs) if n.version == 4]
-    # The lambda binds the number once, however many networks there are.
-    inside = lambda x: any_of(
-        x.between(int(n.network_address), int(n.broadcast_address)) for n in four
+    tests = (
+        F.shiftright(number, 32 - n.prefixlen) == int(n.network_address) >> (32 - n.prefixlen)
+        for n in four
     )
-    return F.coalesce(F.exists(F.array(number), inside), F.lit(False))
+    return F.coalesce(any_of(tests), F.lit(False))
 
 
 def ip_in_cidrs(col: Column | str, cidrs: Iterable[str]) -> Column:

@@ -46,8 +46,8 @@ def role_columns(df: DataFrame, cidrs: Iterable[str] = PRIVATE_NETWORKS) -> Data
             columns[name] = F.when(~known, ipv4_number(f"{side}_ip"))
             tests[side] = number_in_cidrs(F.col(name), cidrs)
     src, dst = tests["source"], tests["destination"]
-    direction = (
-        F.when(known, stated).when(src & ~dst, "OUTBOUND").when(dst & ~src, "INBOUND")
+    direction = F.when(known, stated).when(
+        src != dst, F.when(src, F.lit("OUTBOUND")).otherwise(F.lit("INBOUND"))
     )
     out = F.col("norm_direction") == "OUTBOUND"
     inb = F.col("norm_direction") == "INBOUND"

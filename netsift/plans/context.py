@@ -116,12 +116,16 @@ class AnalysisContext:
         return self._table(table, "features")
 
     def prepare(self) -> AnalysisContext:
-        """Write all shared tables; independent ones are submitted to Spark together."""
-        _ = self.gated
+        """Write all shared tables; those that do not depend on each other run together."""
+        early = ["profile"] + (["signature_matches"] if self.signatures is not None else [])
+        _ = self.oriented
         with ThreadPoolExecutor(5) as pool:
-            names = ["contacts", "shapes", "intervals", "profile"]
-            if self.signatures is not None:
-                names.append("signature_matches")
-            list(pool.map(lambda n: getattr(self, n), names))
+            started = [pool.submit(getattr, self, name) for name in early]
+            _ = self.gated
+            started += [
+                pool.submit(getattr, self, name) for name in ("contacts", "shapes", "intervals")
+            ]
+            for job in started:
+                job.result()
         _ = self.features
         return self

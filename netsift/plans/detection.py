@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -19,6 +20,7 @@ from netsift.operators.detectors.timing import (
 from netsift.plans.context import AnalysisContext
 from netsift.plans.registry import DetectorRegistry
 from netsift.schema import EVIDENCE
+from netsift.session import materialize
 
 ENRICHMENTS = ("tcp_session_quality", "ml_population_anomaly")
 
@@ -84,10 +86,18 @@ def run_detectors(ctx: AnalysisContext, registry: DetectorRegistry | None = None
         others.pop("analyst_payload_signature")
     if not ctx.params.ml_anomaly_enabled:
         others.pop("ml_population_anomaly")
-    parts = [_profile(ctx, list(PROFILE_DETECTORS)), *[build() for build in others.values()]]
+    steps = [lambda: _profile(ctx, list(PROFILE_DETECTORS)), *others.values()]
     if registry is not None:
-        parts += [d.run(ctx) for d in registry]
-    union = reduce(DataFrame.unionByName, [p.select(*EVIDENCE.names) for p in parts])
+        steps += [lambda d=d: d.run(ctx) for d in registry]
+    if ctx.tables:
+        # Evidence is small: each detector writes its own, and Spark runs the jobs side by side.
+        ctx.prepare()
+        store = lambda step: materialize(step().select(*EVIDENCE.names), "evidence")
+        with ThreadPoolExecutor(len(steps)) as pool:
+            parts = list(pool.map(store, steps))
+    else:
+        parts = [step().select(*EVIDENCE.names) for step in steps]
+    union = reduce(DataFrame.unionByName, parts)
     return supported_only(union, ctx.params.ml_anomaly_allow_standalone)
 
 

@@ -6,7 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-FLOW = T.StructType.fromDDL(
+_TYPES = {
+    "string": T.StringType(),
+    "int": T.IntegerType(),
+    "bigint": T.LongType(),
+    "double": T.DoubleType(),
+    "boolean": T.BooleanType(),
+    "binary": T.BinaryType(),
+    "timestamp": T.TimestampType(),
+    "array<int>": T.ArrayType(T.IntegerType()),
+    "array<string>": T.ArrayType(T.StringType()),
+    "map<string,bigint>": T.MapType(T.StringType(), T.LongType()),
+}
+
+
+def layout(text: str) -> T.StructType:
+    """A schema from ``name type, …``; unlike DDL parsing it needs no running session."""
+    pairs = (column.split(" ") for column in text.split(", "))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
+
+
+FLOW = layout(
     "sensor_id string, timestamp timestamp, source_ip string, destination_ip string, "
     "source_port int, destination_port int, protocol string, direction string, "
     "packet_count bigint, total_bytes bigint, payload_hash string, last_payload_hash string, "
@@ -36,7 +56,7 @@ FLOW_DEFAULTS = {
     "bidirectional": False,
 }
 
-EVIDENCE = T.StructType.fromDDL(
+EVIDENCE = layout(
     "candidate_ip string, type string, detector string, version string, evidence_key string, "
     "raw_score double, contribution double, description string, min_host string, "
     "max_host string, sensors array<string>, first_seen timestamp, last_seen timestamp, "
@@ -46,7 +66,7 @@ EVIDENCE = T.StructType.fromDDL(
 
 SENSITIVE_FIELDS = ("raw_packet_hex", "payload_sample_hex", "raw_packet_bytes")
 
-SIGNATURE = T.StructType.fromDDL(
+SIGNATURE = layout(
     "id string, name string, version int, enabled boolean, protocol string, direction string, "
     "service_port int, payload_hash string, payload_prefix_hash string, payload_length int, "
     "payload_entropy double, payload_printable_ratio double, payload_simhash string, "
@@ -54,7 +74,7 @@ SIGNATURE = T.StructType.fromDDL(
     "simhash_max_distance int"
 )
 
-ALLOWLIST = T.StructType.fromDDL(
+ALLOWLIST = layout(
     "type string, value string, description string, expires_at string, enabled boolean"
 )
 

@@ -158,7 +158,7 @@ def detector_query(key: str):
 def evidence_table(ctx: AnalysisContext) -> DataFrame:
     """All evidence of the analysis, stored once: scoring and review read it many times."""
     if "evidence" not in ctx.__dict__:
-        ctx.__dict__["evidence"] = ctx._table(run_detectors(ctx), "evidence")
+        ctx.__dict__["evidence"] = run_detectors(ctx)
     return ctx.__dict__["evidence"]
 
 

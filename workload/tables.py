@@ -140,7 +140,10 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _TABLES:
-        _TABLES[key] = materialize(flow_view(spark, sf_dir), "flows")
+        hour = F.floor(F.col("ts_us") / 3_600_000_000)
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        laid_out = flow_view(spark, sf_dir).repartition(parts, "sensor_id", hour)
+        _TABLES[key] = materialize(laid_out.sortWithinPartitions("sensor_id", "ts_us"), "flows")
     return _TABLES[key]
 
 
