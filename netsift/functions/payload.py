@@ -19,7 +19,6 @@ PRINTABLE_CONTROLS = (9, 10, 13)
 _PRINTABLE = np.zeros(256, dtype=bool)
 _PRINTABLE[0x20:0x7F] = True
 _PRINTABLE[list(PRINTABLE_CONTROLS)] = True
-_BITS = np.arange(64, dtype=np.uint64)
 _BLOCK = 1 << 16
 
 
@@ -37,8 +36,8 @@ def simhash(payload: bytes) -> str:
     hashes = _shingle_hashes(np.frombuffer(payload, dtype=np.uint8))
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), _BLOCK):
-        part = hashes[at : at + _BLOCK, None]
-        ones += ((part >> _BITS) & np.uint64(1)).sum(axis=0).astype(np.int64)
+        octets = hashes[at : at + _BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     value = sum(1 << bit for bit in range(64) if 2 * int(ones[bit]) >= len(hashes))
     return format(value, "016x")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -174,17 +175,29 @@ def prefilter(
     """Every peer with its score (0–100) and the factors that make it up, ranked."""
     if limit is not None and limit < 1:
         raise ValueError("limit must be positive")
-    totals = table(peer_totals(oriented), "peers")
-    steady = table(steady_hosts(oriented, table), "steady")
-    robust = table(_robust(totals), "robust")
+
+    def volumes() -> tuple[DataFrame, DataFrame]:
+        totals = table(peer_totals(oriented), "peers")
+        return totals, table(_robust(totals), "robust")
+
+    # The four parts read the same rows but not each other, so their jobs run side by side.
+    with ThreadPoolExecutor(4) as pool:
+        volume_job = pool.submit(volumes)
+        parts = [
+            pool.submit(lambda: table(steadiest_host(table(steady_hosts(oriented, table), "steady")), "best")),
+            pool.submit(lambda: table(payload_cluster(oriented), "clusters")),
+            pool.submit(lambda: table(synchronized_peak(oriented), "peaks")),
+        ]
+        totals, robust = volume_job.result()
+        best, clusters, peaks = (job.result() for job in parts)
     limits = {c: robust.select(c).scalar() for c in robust.columns}
     z = lambda v, m, d: (F.col(v) - F.col(m)) / F.greatest(
         F.lit(1.0), MAD_TO_SIGMA * F.col(d)
     )
     table_rows = (
-        totals.join(steadiest_host(steady), "candidate_ip", "left")
-        .join(payload_cluster(oriented), "candidate_ip", "left")
-        .join(synchronized_peak(oriented), "candidate_ip", "left")
+        totals.join(best, "candidate_ip", "left")
+        .join(clusters, "candidate_ip", "left")
+        .join(peaks, "candidate_ip", "left")
         .withColumns(limits)
         .withColumn(
             "robust_z",
