@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +13,18 @@ from netsift.params import RETENTION_DAYS
 from netsift.schema import FLOW, FLOW_DEFAULTS, SENSITIVE_FIELDS, as_flows, conform
 
 BATCH_KEY = ["sensor_id", "batch_id"]
+ROW_KEY = [*BATCH_KEY, "record_index"]
+LEDGER = "sensor_id string, batch_id string, record_count bigint, ingested_at timestamp"
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A Parquet table, or no rows when it does not exist yet; other failures are raised."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def read_flow_json(spark: SparkSession, path: str) -> DataFrame:
@@ -27,7 +40,7 @@ def new_batches(records: DataFrame, ledger: DataFrame) -> tuple[DataFrame, DataF
     ``records`` carry sensor_id, batch_id, record_index. A repeated delivery inside the input is
     reduced to one row per index first, so counts are those of the batch.
     """
-    unique = records.dropDuplicates([*BATCH_KEY, "record_index"])
+    unique = records.dropDuplicates(ROW_KEY)
     fresh = unique.join(ledger.select(*BATCH_KEY), BATCH_KEY, "left_anti")
     entries = fresh.groupBy(*BATCH_KEY).agg(
         F.count(F.lit(1)).alias("record_count"), F.current_timestamp().alias("ingested_at")
@@ -38,7 +51,7 @@ def new_batches(records: DataFrame, ledger: DataFrame) -> tuple[DataFrame, DataF
 def batch_results(records: DataFrame, ledger: DataFrame) -> DataFrame:
     """Per delivered batch: accepted or not, and the count (the stored one when repeated)."""
     sent = (
-        records.dropDuplicates([*BATCH_KEY, "record_index"])
+        records.dropDuplicates(ROW_KEY)
         .groupBy(*BATCH_KEY)
         .agg(F.count(F.lit(1)).alias("sent"))
     )
@@ -68,11 +81,7 @@ def ingest_batches(spark: SparkSession, records: DataFrame, table: str, ledger_p
     Rows are written before the ledger, so a failure in between leads to a repeated delivery of
     the batch; ``snapshot`` removes such rows by batch key.
     """
-    ledger_schema = "sensor_id string, batch_id string, record_count bigint, ingested_at timestamp"
-    try:
-        ledger = spark.read.schema(ledger_schema).parquet(ledger_path)
-    except Exception:  # no ledger yet
-        ledger = spark.createDataFrame([], ledger_schema)
+    ledger = read_or_empty(spark, ledger_path, LEDGER)
     rows, entries = new_batches(records, ledger)
     write_flows(rows, table)
     entries.write.mode("append").parquet(ledger_path)
@@ -105,7 +114,7 @@ def snapshot(
         & F.col("sensor_id").isin(names)
     )
     if "batch_id" in df.columns:
-        rows = rows.dropDuplicates([*BATCH_KEY, "record_index"])
+        rows = rows.dropDuplicates(ROW_KEY)
     return rows
 
 

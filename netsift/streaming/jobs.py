@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from netsift.operators.roles import orient
-from netsift.sources.flows import BATCH_KEY, new_batches, write_flows
+from netsift.sources.flows import BATCH_KEY, ROW_KEY, read_or_empty, write_flows
 
 LATE = "65 seconds"
 SESSION_KEY = ["sensor_id", "direction", "source_ip", "destination_ip", "source_port",
@@ -26,22 +26,29 @@ def dedup_stream(records: DataFrame, delay: str = LATE) -> DataFrame:
 
 
 def start_ingest(records: DataFrame, table: str, ledger: str, checkpoint: str):
-    """Append every batch once to the flow table, however often it is delivered.
+    """Append every record once to the flow table, however often its batch is delivered.
 
-    Each micro-batch is checked against the ledger table, which also covers deliveries older than
-    the watermark. Runs on what is available and stops.
+    Each micro-batch drops rows that the table already holds (same sensor, batch and index, looked
+    up only in the day folders the micro-batch touches). So a repeated delivery, a replayed
+    micro-batch and a batch spread over several files all end with each record stored once.
     """
 
     def append(batch: DataFrame, _epoch: int) -> None:
         spark = batch.sparkSession
-        schema = "sensor_id string, batch_id string, record_count bigint, ingested_at timestamp"
-        try:
-            known = spark.read.schema(schema).parquet(ledger)
-        except Exception:  # no ledger yet
-            known = spark.createDataFrame([], schema)
-        rows, entries = new_batches(batch, known)
-        write_flows(rows, table)
+        unique = batch.dropDuplicates(ROW_KEY)
+        day = F.to_date("timestamp")
+        span = batch.agg(F.min(day).alias("lo"), F.max(day).alias("hi")).first()
+        stored = read_or_empty(
+            spark, table, "sensor_id string, batch_id string, record_index bigint, event_date date"
+        ).filter(F.col("event_date").between(span.lo, span.hi))
+        fresh = unique.withColumn("record_index", F.col("record_index").cast("bigint")).join(
+            stored.select(*ROW_KEY), ROW_KEY, "left_anti"
+        )
+        entries = fresh.groupBy(*BATCH_KEY).agg(
+            F.count(F.lit(1)).alias("record_count"), F.current_timestamp().alias("ingested_at")
+        )
         entries.write.mode("append").parquet(ledger)
+        write_flows(fresh, table)
 
     return (
         records.writeStream.foreachBatch(append)

@@ -23,7 +23,7 @@ def by_ip(df):
 
 def ctx(spark, rows, **kw):
     params = kw.pop("params", Params())
-    return AnalysisContext(frame(spark, rows), params, tables=False, **kw)
+    return AnalysisContext(frame(spark, rows), params, **kw)
 
 
 def test_scenario_periodic_beacon(spark):
