@@ -38,17 +38,21 @@ def start_ingest(records: DataFrame, table: str, ledger: str, checkpoint: str):
         unique = batch.dropDuplicates(ROW_KEY)
         day = F.to_date("timestamp")
         span = batch.agg(F.min(day).alias("lo"), F.max(day).alias("hi")).first()
-        stored = read_or_empty(
-            spark, table, "sensor_id string, batch_id string, record_index bigint, event_date date"
-        ).filter(F.col("event_date").between(span.lo, span.hi))
+        layout = "sensor_id string, batch_id string, record_index bigint, event_date date"
+        near = F.col("event_date").between(span.lo, span.hi)
+        stored = lambda: read_or_empty(spark, table, layout).filter(near)
         fresh = unique.withColumn("record_index", F.col("record_index").cast("bigint")).join(
-            stored.select(*ROW_KEY), ROW_KEY, "left_anti"
+            stored().select(*ROW_KEY), ROW_KEY, "left_anti"
         )
-        entries = fresh.groupBy(*BATCH_KEY).agg(
-            F.count(F.lit(1)).alias("record_count"), F.current_timestamp().alias("ingested_at")
+        write_flows(fresh, table)
+        # The ledger states what the table holds by now, so a replay states the same again.
+        entries = (
+            stored()
+            .join(unique.select(*BATCH_KEY).distinct(), BATCH_KEY, "left_semi")
+            .groupBy(*BATCH_KEY)
+            .agg(F.count(F.lit(1)).alias("record_count"), F.current_timestamp().alias("ingested_at"))
         )
         entries.write.mode("append").parquet(ledger)
-        write_flows(fresh, table)
 
     return (
         records.writeStream.foreachBatch(append)
