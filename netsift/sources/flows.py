@@ -88,10 +88,13 @@ def ingest_batches(spark: SparkSession, records: DataFrame, table: str, ledger_p
 
 
 def write_flows(rows: DataFrame, table: str, mode: str = "append") -> None:
-    """One folder per day; sorted inside files so that sensor and time filters skip row groups."""
+    """One folder per day; sorted inside files so that sensor and time filters skip row groups.
+
+    Rebalancing lets AQE split the partition of a busy sensor and merge those of quiet ones.
+    """
     (
         rows.withColumn("event_date", F.to_date("timestamp"))
-        .repartition("event_date", "sensor_id", F.hour("timestamp"))
+        .hint("rebalance", "event_date", "sensor_id")
         .sortWithinPartitions("event_date", "sensor_id", "timestamp")
         .write.partitionBy("event_date")
         .mode(mode)

@@ -258,3 +258,11 @@ def test_stream_ingest(spark, tmp_path):
     st.start_ingest(stream, str(tmp_path / "flows"), str(tmp_path / "ledger"), str(tmp_path / "state")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "flows")).count() == 6
     assert spark.read.parquet(str(tmp_path / "ledger")).agg(F.max_by("record_count", "ingested_at")).first()[0] == 6
+
+
+def test_scan_budget(spark):
+    data = [(f"f{i}", i // 2, 10, 3, bytes([i]), hashlib.sha256(bytes([i if i != 2 else 9])).hexdigest()) for i in range(6)]
+    files = spark.createDataFrame(data, "id string, t long, byte_count long, packet_count long, content binary, sha256 string").withColumn("uploaded_at", F.timestamp_seconds("t"))
+    rows = cap.scan_budget(files, 35, 8).orderBy("id").collect()
+    assert [r.reason for r in rows] == [None, None, "SOURCE_PACKET_LIMIT", "SOURCE_BYTE_LIMIT", "SOURCE_BYTE_LIMIT", "SOURCE_BYTE_LIMIT"]
+    assert [r.verified for r in rows] == [True, True, False, True, True, True]
