@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from workload import tables as tb
 from workload.oracles import (
-    EV_CTE, F_CTE, G, GAP_CTE, O, S_CTE, SCORED, SEVERITY, SIG_CTES, T_CTE, TRAFFIC, KINDS, ctes, score_ctes,
+    END_US, EV_CTE, F_CTE, G, O, S_CTE, SCORED, SEVERITY, START_US, ctes, score_ctes,
 )
 from workload.tables import duck
 
@@ -321,6 +321,18 @@ SELECT sensor_id, batch_id, n + 1 < 50 AS accepted, CASE WHEN n + 1 < 50 THEN n
 SELECT cand AS candidate_ip, host AS host_ip, count(*) AS n, min(ts_us) AS oldest FROM r WHERE rn <= 3 GROUP BY 1, 2""",
         "payload_hashes": """SELECT doc_id, sha256(text) AS payload_hash, sha256(CASE WHEN strlen(text) <= 32 THEN encode(text) ELSE encode(text)[1:32] END) AS payload_prefix_hash,
   CAST(strlen(text) AS INT) AS payload_length FROM documents""",
+        "capture_decode": """SELECT 'doc-' || doc_id AS path, doc_id * 1000000 AS ts_us, 'UDP' AS protocol, 'OUTBOUND' AS direction, 40000 AS source_port,
+  9000 AS destination_port, CAST(strlen(text) + 48 AS BIGINT) AS total_bytes, sha256(text) AS payload_hash, CAST(strlen(text) AS INT) AS payload_length, 6 AS ip_version FROM documents""",
+        "capture_summary": """SELECT 'doc-' || doc_id AS path, 'PCAP' AS capture_format, CAST(1 AS BIGINT) AS captured_packet_count, CAST(1 AS BIGINT) AS parsed_packet_count,
+  doc_id * 1000000 AS start_us FROM documents""",
+        "sensor_page": f"""{ctes(SENS)} SELECT sensor_id, epoch_us(last_heartbeat_at) AS beat_us FROM ss WHERE abs(clock_offset_ms) <= 2000 AND dropped_packets % 2 = 0
+ORDER BY last_heartbeat_at DESC, sensor_id LIMIT 40""",
+        "segment_page": f"""{ctes(JOBS)} SELECT id, epoch_us(created_at) AS at_us FROM jj WHERE length(name) = 16 ORDER BY created_at DESC, id LIMIT 50 OFFSET 50""",
+        "enrichment_selection": f"""{ctes(*SCORED)} SELECT candidate_ip, score FROM scored ORDER BY score DESC, candidate_ip LIMIT 15""",
+        "verdict_history": f"""{ctes(DEC)} SELECT candidate_id, id, verdict, CAST(row_number() OVER (PARTITION BY candidate_id ORDER BY created_at, id) AS INT) AS position
+FROM dd WHERE confidence IN ('CONFIRMED', 'HIGH', 'MEDIUM', 'LOW') AND note <> '' AND created_at LIKE '%Z'""",
+        "stream_sync_windows": f"""{ctes(*O).replace(f"WHERE ts_us BETWEEN {START_US} AND {END_US}", "")}, w AS (SELECT cand, floor(ts_us / 2e6) AS b, count(*) AS c FROM o GROUP BY 1, 2)
+SELECT cand AS candidate_ip, count(*) AS windows, CAST(sum(c) AS BIGINT) AS flows FROM w WHERE (b + 1) * 2000000 <= (SELECT max(ts_us) FROM f) - 1000000 GROUP BY 1""",
         "simhash_distance": f"""{ctes(F_CTE, S_CTE)} SELECT CAST(bit_count(xor(('0x' || payload_simhash)::UBIGINT, ('0x' || 'e627bf19152d67b3')::UBIGINT)) AS INT) AS distance, count(*) AS n
 FROM s WHERE payload_simhash IS NOT NULL GROUP BY 1""",
         "stream_sessionize": f"""{ctes(F_CTE, PKF)} SELECT protocol, count(*) AS flows, CAST(sum(packet_count) AS BIGINT) AS packets FROM pkf

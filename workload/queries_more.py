@@ -18,6 +18,7 @@ from netsift.plans.detection import evidence_hosts
 from netsift.plans.registry import DetectorRegistry, evidence_problems
 from netsift.plans.scoring import allowlisted, override_score, score_candidates
 from netsift.session import shared_dir
+from netsift.sources import captures as cap
 from netsift.sources import flows as src
 from netsift.streaming import jobs as st
 from workload import tables as tb
@@ -510,6 +511,55 @@ def q_payload_features(spark, sf):
         "doc_id", "payload_entropy", "payload_printable_ratio", "payload_simhash")
 
 
+def capture_files(spark, sf) -> DataFrame:
+    """Every document as a capture file: one IPv6/UDP packet that carries the whole text."""
+    word = lambda c, n: F.lpad(F.hex(c), n, "0")
+    text = F.encode("text", "UTF-8")
+    size = F.length(text) + 48
+    header = F.lit("A1B2C3D4" "0002" "0004" "00000000" "00000000" "01000000" "00000065")
+    record = F.concat(word(F.col("doc_id"), 8), F.lit("00000000"), word(size, 8), word(size, 8))
+    ip = F.concat(F.lit("60000000" "0000" "1140" "FD00"), word(F.col("doc_id"), 28), F.lit("20010DB8"), word(F.col("doc_id") % 1000, 24))
+    udp = F.lit("9C40" "2328" "0000" "0000")
+    content = F.unhex(F.concat(header, record, ip, udp, F.hex(text)))
+    docs = tb.table(spark, sf, "documents")
+    return docs.select(F.concat(F.lit("doc-"), "doc_id").alias("path"), content.alias("content"))
+
+
+def q_capture_decode(spark, sf):
+    rows = cap.flow_rows(cap.captured_packets(capture_files(spark, sf)), "sensor-a", ["fd00::/8"])
+    return rows.select("path", "ts_us", "protocol", "direction", "source_port", "destination_port", "total_bytes",
+                       "payload_hash", "payload_length", "ip_version")
+
+
+def q_capture_summary(spark, sf):
+    s = cap.capture_summary(cap.captured_packets(capture_files(spark, sf)))
+    return s.select("path", "capture_format", "captured_packet_count", "parsed_packet_count", us("start_time", "start_us"))
+
+
+def q_sensor_page(spark, sf):
+    s = sensors(spark, sf).withColumn("enabled", F.col("dropped_packets") % 2 == 0)
+    return triage.sensor_page(s, status="ONLINE", enabled=True, sort="-last_heartbeat_at", page=1, size=40).select("sensor_id", us("last_heartbeat_at", "beat_us"))
+
+
+def q_segment_page(spark, sf):
+    seg = jobs(spark, sf).select("id", F.concat(F.lit("sensor-"), F.length("name")).alias("sensor_id"), F.col("name").alias("analysis_job_id"), F.col("created_at").alias("uploaded_at"))
+    return triage.segment_page(seg, sensor_id="sensor-16", page=2, size=50).select("id", us("uploaded_at", "at_us"))
+
+
+def q_enrichment(spark, sf):
+    return triage.enrichment_selection(scored_table(context(spark, sf)), 15).select("candidate_ip", "score")
+
+
+def q_history(spark, sf):
+    d = triage.valid_decisions(view(spark, sf, tb.DECISIONS))
+    return rv.history(d, "candidate_id", ["id", "verdict"]).select("candidate_id", "id", "verdict", "position")
+
+
+def q_stream_windows(spark, sf):
+    out = _run_stream(spark, st.sync_windows_stream(flow_stream(spark, sf), window="2 seconds", delay="1 second"), "append")
+    return out.groupBy("candidate_ip").agg(F.count(F.lit(1)).alias("windows"), F.sum("flows").alias("flows"))
+
+
 def q_simhash_distance(spark, sf):
     f = context(spark, sf).scoped.filter(F.col("payload_simhash").isNotNull())
     d = simhash_distance("payload_simhash", F.lit("e627bf19152d67b3"))
@@ -569,6 +619,8 @@ def more_queries() -> dict:
         "custom_detector": q_custom, "retention_filter": q_retention, "dataset_counts": q_dataset_counts,
         "batch_ingest": q_ingest, "rolling_sample": q_rolling, "payload_hashes": q_payload_hashes,
         "payload_features": q_payload_features, "simhash_distance": q_simhash_distance,
-        "stream_sessionize": q_stream_sessions, "stream_dedup": q_stream_dedup,
+        "capture_decode": q_capture_decode, "capture_summary": q_capture_summary, "sensor_page": q_sensor_page,
+        "segment_page": q_segment_page, "enrichment_selection": q_enrichment, "verdict_history": q_history,
+        "stream_sync_windows": q_stream_windows, "stream_sessionize": q_stream_sessions, "stream_dedup": q_stream_dedup,
     }
     return names
