@@ -140,15 +140,16 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _TABLES:
-        hour = F.floor(F.col("ts_us") / 3_600_000_000)
+        # The narrow source rows are spread before the wide projection, which then runs everywhere.
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        laid_out = flow_view(spark, sf_dir).repartition(parts, "sensor_id", hour)
-        _TABLES[key] = materialize(laid_out.sortWithinPartitions("sensor_id", "ts_us"), "flows")
+        events = table(spark, sf_dir, "events").repartition(parts, "event_id")
+        laid_out = flow_view(spark, events).sortWithinPartitions("sensor_id", "ts_us")
+        _TABLES[key] = materialize(laid_out, "flows")
     return _TABLES[key]
 
 
-def flow_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
+def flow_view(spark: SparkSession, events: DataFrame) -> DataFrame:
+    """The flow view as an engine input."""
     df = spark.sql(flow_sql("spark", "{events}"), events=events)
     flags = F.create_map(
         F.lit("ack"), F.col("tcp_ack_count"), F.lit("rst"), F.col("tcp_rst_count"),
