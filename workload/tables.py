@@ -225,12 +225,15 @@ SELECT o_orderkey AS id, CAST(o_orderkey % 101 AS INT) AS raw_score, o_totalpric
   o_orderstatus = 'F' AS strong_evidence, o_orderkey % 10 = 0 AS analyst_exact_match,
   CASE WHEN o_custkey % 3 = 0 THEN 'C2' ELSE 'BENIGN' END AS label
 FROM {orders}"""
-FLOW_LABELS = """
-SELECT concat('l-', l.doc_id, '-', x.n) AS id, 'job-1' AS job_id, l.doc_id AS flow_id,
-  CASE WHEN (l.toxic + x.n) % 2 = 1 THEN 'C2' ELSE 'BENIGN' END AS verdict, 'HIGH' AS confidence,
-  concat('2024-02-', lpad(CAST(x.n + l.doc_id % 9 + 1 AS VARCHAR(2)), 2, '0'), 'T00:00:00Z') AS created_at
-FROM {labels} l CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 AS n UNION ALL SELECT 2 AS n) x
-WHERE x.n <= l.quality + l.toxic"""
+# Up to three labels per flow, one branch for each.
+FLOW_LABELS = " UNION ALL ".join(
+    f"""
+SELECT concat('l-', doc_id, '-{n}') AS id, 'job-1' AS job_id, doc_id AS flow_id,
+  CASE WHEN (toxic + {n}) % 2 = 1 THEN 'C2' ELSE 'BENIGN' END AS verdict, 'HIGH' AS confidence,
+  concat('2024-02-', lpad(CAST({n} + doc_id % 9 + 1 AS VARCHAR(2)), 2, '0'), 'T00:00:00Z') AS created_at
+FROM {{labels}} WHERE {n} <= quality + toxic"""
+    for n in range(3)
+)
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
