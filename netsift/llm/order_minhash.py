@@ -16,7 +16,7 @@ Plan. Equal texts are one class from the start. A bucket (function, key) is not
 its members meet its leader only. What these stars leave open (two non-leading members of a bucket in
 different components) is settled exactly: members are first discarded if fewer than ``threshold`` of
 their shingles occur in any other open component, which is a proof and not a guess, repeated because
-each discard exposes more; the few that remain meet all members of other components in their buckets.
+each discard exposes more; those that remain meet all members of other components in blocks.
 So no link between documents sharing a bucket is lost, and copies of one text never multiply.
 At similarity 0.8 two documents share no bucket of 16 with a probability near 1e-5.
 
@@ -40,7 +40,7 @@ from netsift.llm.components import connected_components
 from netsift.session import materialize
 
 WORDS, THRESHOLD, FUNCTIONS, PICKED = 5, 0.8, 16, 3
-DISCARD_ROUNDS = 3
+DISCARD_ROUNDS, BLOCK_SHINGLES = 3, 1 << 16
 
 
 def labelled_shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -210,6 +210,77 @@ def _survivors(nodes: DataFrame, texts: tuple, words: int, threshold: float) ->
     return rows.select("digest", "component").distinct()
 
 
+def _settled(waiting: DataFrame, nodes: DataFrame, texts: tuple, words: int, threshold: float) -> DataFrame:
+    """Links (a, b) that join components among the surviving ``nodes``. Nodes sharing buckets, directly
+    or through others, form a cluster; a cluster is cut into blocks of ``BLOCK_SHINGLES``, those of its
+    largest component apart, and each pair of blocks is one task that compares its texts as a matrix and
+    reports a spanning forest. Two blocks of the largest component never meet."""
+    shared = waiting.join(nodes.select("digest"), "digest", "left_semi").select("digest", "leader").distinct()
+    clusters = connected_components(shared).select(F.col("node").alias("digest"), F.col("component").alias("cluster"))
+    sized = materialize(
+        waiting.select("digest", "component", "n").distinct().join(nodes.select("digest"), "digest", "left_semi")
+        .join(clusters, "digest"),
+        "open-nodes",
+    )
+    parts = sized.groupBy("cluster", "component").agg(F.sum("n").alias("n"))
+    shape = parts.groupBy("cluster").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("main"))
+    shape = shape.where("all > main.n").select(
+        "cluster",
+        F.col("main.component").alias("main"),
+        F.ceil((F.col("all") - F.col("main.n")) / BLOCK_SHINGLES).cast("int").alias("others"),
+        F.ceil(F.col("main.n") / BLOCK_SHINGLES).cast("int").alias("mains"),
+    )
+    placed = salted_join(sized, shape, ["cluster"], "digest")
+    is_main = F.col("component") == F.col("main")
+    k = F.pmod(F.xxhash64("digest"), F.when(is_main, F.col("mains")).otherwise(F.col("others"))).cast("int")
+    placed = placed.withColumn("k", k)
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    meet = lambda lo, kind, hi: F.struct(lo.alias("lo"), F.lit(kind).alias("kind"), hi.alias("hi"))
+    own = F.col("k")
+    places = F.when(is_main, F.transform(each("others"), lambda j: meet(j, "main", own))).otherwise(
+        F.concat(
+            F.transform(each("others"), lambda j: meet(F.least(own, j), "other", F.greatest(own, j))),
+            F.transform(each("mains"), lambda j: meet(own, "main", j)),
+        )
+    )
+    located = materialize(placed.select("digest", "component", "cluster", places.alias("places")), "open-places")
+    held = _texts_of(located.select("digest"), texts).join(located, "digest")
+    rows = held.withColumn("at", F.explode("places")).select("cluster", "at.*", "digest", "component", "text")
+
+    def compare(block: pd.DataFrame) -> pd.DataFrame:
+        docs = [labelled_shingles(t, words) for t in block["text"]]
+        sizes = np.array([len(d) for d in docs])
+        _, flat, times = np.unique(np.concatenate(docs), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(docs)), sizes)
+        keep = times[flat] > 1
+        column, owner = np.unique(flat[keep], return_inverse=True)[1], owner[keep]
+        overlap = np.zeros((len(docs), len(docs)), np.float32)
+        for lo in range(0, int(column.max(initial=-1)) + 1, 4096):
+            inside = (column >= lo) & (column < lo + 4096)
+            m = np.zeros((len(docs), 4096), np.float32)
+            m[owner[inside], column[inside] - lo] = 1
+            overlap += m @ m.T
+        near = np.triu(overlap >= threshold * (sizes[:, None] + sizes[None, :] - overlap) - 1e-3, 1)
+        root = {c: c for c in block["component"]}
+
+        def find(c: bytes) -> bytes:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        digests, components = block["digest"].tolist(), block["component"].tolist()
+        out = []
+        for i, j in np.argwhere(near).tolist():
+            x, y = find(components[i]), find(components[j])
+            if x != y and aligned_similarity(docs[i], docs[j], threshold) >= threshold:
+                root[max(x, y)] = min(x, y)
+                out.append((digests[i], digests[j]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return rows.groupBy("cluster", "lo", "kind", "hi").applyInPandas(compare, "a binary, b binary")
+
+
 def near_duplicate_classes(
     documents: DataFrame,
     words: int = WORDS,
@@ -253,16 +324,7 @@ def near_duplicate_classes(
     )
     waiting = materialize(_open_members(placed), "open-members")
     nodes = _survivors(waiting.select("digest", "component").distinct(), texts, words, threshold)
-    left = waiting.join(nodes.select("digest"), "digest", "left_semi").select("f", "key", "digest", "component", "n")
-    right = left.select("f", "key", *[F.col(c).alias("o_" + c) for c in ("digest", "component", "n")])
-    close = F.least("n", "o_n") >= threshold * F.greatest("n", "o_n")
-    rest = (
-        left.join(right, ["f", "key"])
-        .where((F.col("component") < F.col("o_component")) & close)
-        .select(F.least("digest", "o_digest").alias("a"), F.greatest("digest", "o_digest").alias("b"))
-        .distinct()
-    )
-    more = materialize(_verified(materialize(rest, "rest-pairs"), texts, words, threshold), "links")
+    more = materialize(_settled(waiting, nodes, texts, words, threshold), "links")
     joined = found.unionByName(more.select(F.col("a").alias("node"), F.col("b").alias("component")))
     merged = materialize(connected_components(joined), "components")
 
