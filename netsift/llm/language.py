@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -100,7 +101,7 @@ def language_model(
         if least is not None:
             bounds.append((lang, n, least))
     langs = sorted({lang for lang, _ in totals})
-    model: dict = {"langs": langs, "tables": {}, "floors": {}, "prior": None}
+    model: dict = {"langs": langs, "tables": {}, "scores": None, "prior": None}
     if not langs:
         return model
     limit = counted.sparkSession.createDataFrame(bounds, "lang string, n int, least int")
@@ -110,57 +111,88 @@ def language_model(
         if r["gram"] not in table:
             table[r["gram"]] = [0] * len(langs)
         table[r["gram"]][langs.index(r["lang"])] = r["times"]
-    for n, table in model["tables"].items():
+    # one matrix of log frequencies; each table maps a gram to its row
+    blocks, row = [], 0
+    for n, table in sorted(model["tables"].items()):
         size = np.array([totals.get((lang, n), 0) for lang in langs], float)
         many = np.array([kinds.get((lang, n), 0) for lang in langs], float)
-        floor = np.log(0.1) - np.log(size + 0.1 * many + 1)
-        model["floors"][n] = floor.tolist()
-        for gram, times in table.items():
-            table[gram] = np.where(np.array(times) > 0, np.log(np.array(times) + 0.1) - np.log(size + 0.1 * many + 1), floor)
+        times = np.array(list(table.values()), float)
+        blocks.append(np.log(times + 0.1) - np.log(size + 0.1 * many + 1))
+        model["tables"][n] = dict(zip(table, range(row, row + len(table)), strict=True))
+        row += len(table)
+    model["scores"] = np.concatenate(blocks)
     words = np.array([totals.get((lang, 0), 0) for lang in langs], float)
     model["prior"] = int(words.argmax())
     return model
 
 
-def word_scores(model: dict, word: str) -> np.ndarray | None:
-    """Log scores of a lower-case word per language; None if not even its letters are known."""
-    known = model["tables"].get(0, {}).get(word)
-    if known is not None:
-        return known - known.max()
-    for n in ORDERS:
-        table = model["tables"].get(n, {})
-        found = [table[g] for g in _grams(word, n) if g in table]
-        if found:
-            mean = np.mean(found, axis=0)
-            return STEP_WEIGHT[n] * (mean - mean.max())
-    return None
-
-
-def identify(model: dict, text: str | None, cache: dict | None = None) -> tuple[str, float]:
+class Identifier:
+    """Scores texts with a model, each distinct word once while there is room for it."""
+
+    def __init__(self, model: dict, room: int = 400_000):
+        self.model, self.room = model, room
+        self.rows: dict[str, int] = {}
+        self.known = np.empty((0, len(model["langs"]) + 1))
+
+    def _learn(self, words: list[str]) -> None:
+        tables, scores = self.model["tables"], self.model["scores"]
+        whole = tables.get(0, {})
+        orders = [(n, tables[n]) for n in ORDERS if n in tables]
+        flat, sizes, weights = [], [], []
+        for word in words:
+            row = whole.get(word)
+            if row is not None:
+                flat.append(row)
+                sizes.append(1)
+                weights.append(1.0)
+                continue
+            for n, table in orders:
+                found = [table[g] for g in _grams(word, n) if g in table]
+                if found:
+                    flat += found
+                    sizes.append(len(found))
+                    weights.append(STEP_WEIGHT[n])
+                    break
+            else:
+                flat.append(0)
+                sizes.append(1)
+                weights.append(0.0)
+        size, weight = np.array(sizes), np.array(weights)
+        mean = np.add.reduceat(scores[flat], np.cumsum(size) - size) / size[:, None]
+        got = weight[:, None] * (mean - mean.max(1, keepdims=True))
+        self.rows.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.known = np.concatenate([self.known, np.column_stack([got, weight > 0])])
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        langs = self.model["langs"]
+        if len(self.rows) > self.room:
+            self.rows, self.known = {}, self.known[:0]
+        cut = [LETTERS.findall(t.lower()) if t and langs else [] for t in texts]
+        new = set(chain.from_iterable(cut)).difference(self.rows)
+        if new:
+            self._learn(list(new))
+        out = []
+        for words in cut:
+            if not words:
+                out.append((UNKNOWN, 0.0))
+                continue
+            total = self.known[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))].sum(0)
+            n = total[-1]
+            if not n:
+                out.append((langs[self.model["prior"]], 1.0 / len(langs)))
+                continue
+            mean = total[:-1] / n * min(n, 16)
+            p = np.exp(mean - mean.max())
+            best = int(mean.argmax())
+            out.append((langs[best], float(p[best] / p.sum())))
+        return out
+
+
+def identify(model: dict, text: str | None) -> tuple[str, float]:
     """(language, probability). ``und`` for null, no letter or a model without languages. Of equal
     scores the first language by name wins; a text of unknown letters gets the commonest language.
     The probability comes from the mean score of a word, as if from at most 16 words."""
-    words = LETTERS.findall(text.lower()) if text else []
-    if not words or not model["langs"]:
-        return UNKNOWN, 0.0
-    cache = {} if cache is None else cache
-    total, n = np.zeros(len(model["langs"])), 0
-    for word, times in Counter(words).items():
-        if word in cache:
-            got = cache[word]
-        else:
-            got = word_scores(model, word)
-            if len(cache) < 500_000:
-                cache[word] = got
-        if got is not None:
-            total += times * got
-            n += times
-    if not n:
-        return model["langs"][model["prior"]], 1.0 / len(model["langs"])
-    mean = total / n * min(n, 16)
-    p = np.exp(mean - mean.max())
-    best = int(mean.argmax())
-    return model["langs"][best], float(p[best] / p.sum())
+    return Identifier(model)([text])[0]
 
 
 def with_language(documents: DataFrame, model: dict) -> DataFrame:
@@ -170,9 +202,10 @@ def with_language(documents: DataFrame, model: dict) -> DataFrame:
 
     @F.pandas_udf("lang string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        cache: dict = {}
+        told = Identifier(shared.value)
         for texts in batches:
-            yield pd.DataFrame([identify(shared.value, t, cache) for t in texts], columns=["lang", "score"])
+            got = [x for lo in range(0, len(texts), 500) for x in told(texts.iloc[lo : lo + 500].tolist())]
+            yield pd.DataFrame(got, columns=["lang", "score"])
 
     both = documents.withColumn("lang_pred", predict("text"))
     return both.withColumn("lang_score", F.col("lang_pred.score")).withColumn("lang_pred", F.col("lang_pred.lang"))
