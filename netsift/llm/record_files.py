@@ -4,7 +4,8 @@ Layout of ``part-<k>-<attempt>.rec``, little endian, one frame per document in a
 
     u64 length | u32 masked checksum of the length | payload | u32 masked checksum of the payload
 
-The payload is u8 (1 if the doc_id is null), i64 doc_id, then the ids as u32. Checksums are CRC-32,
+The payload is u8 flags (1: the doc_id is null; 2: ids of two bytes), i64 doc_id, then the ids, as u16 if
+all of them are below 65,536 and as u32 else. Checksums are CRC-32,
 masked as ((crc >> 15 | crc << 17) + 0xa282ead8), so a checksum stored among data it covers stays
 harmless. ``.idx`` beside it is the offset index for shuffled reads: u64 offset and u64 length of each
 frame's payload, again little endian.
@@ -17,6 +18,8 @@ attempt are in no manifest. Files go through the file system of the folder's add
 from __future__ import annotations
 
 import struct
+import sys
+import types
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -31,8 +34,8 @@ from netsift.llm.common import docs_of
 from netsift.session import materialize, shared_dir
 
 END_ID = 2
-#: Words whose ids are remembered by a task at most.
-CACHE_WORDS = 1_000_000
+#: Words whose ids a worker process remembers at most; beyond, it starts afresh.
+CACHE_WORDS = 900_000
 GROUP_CHARS = 8_000_000
 
 
@@ -46,13 +49,20 @@ def masked(data: bytes) -> int:
 
 
 def frame(doc_id: int | None, ids: np.ndarray) -> bytes:
-    payload = struct.pack("<Bq", doc_id is None, doc_id or 0) + ids.astype("<u4").tobytes()
+    short = not len(ids) or int(ids.max()) < 1 << 16
+    payload = struct.pack("<Bq", (doc_id is None) | short << 1, doc_id or 0) + ids.astype("<u2" if short else "<u4").tobytes()
     length = struct.pack("<Q", len(payload))
     return b"".join((length, struct.pack("<I", masked(length)), payload, struct.pack("<I", masked(payload))))
 
 
-def read_frames(stream) -> Iterator[tuple[int | None, bytes]]:
-    """(doc_id, bytes of the ids) of each frame of an open file, in order."""
+def unpacked(payload: bytes) -> tuple[int | None, np.ndarray]:
+    flags, doc_id = struct.unpack("<Bq", payload[:9])
+    ids = np.frombuffer(payload, "<u2" if flags & 2 else "<u4", offset=9).astype("<u4")
+    return (None if flags & 1 else doc_id), ids
+
+
+def read_frames(stream) -> Iterator[tuple[int | None, np.ndarray]]:
+    """(doc_id, ids) of each frame of an open file, in order."""
     while head := stream.read(12):
         if len(head) < 12 or masked(head[:8]) != struct.unpack("<I", head[8:])[0]:
             raise CorruptRecord("length of a record")
@@ -60,8 +70,7 @@ def read_frames(stream) -> Iterator[tuple[int | None, bytes]]:
         body = stream.read(size + 4)
         if len(body) < size + 4 or masked(body[:size]) != struct.unpack("<I", body[size:])[0]:
             raise CorruptRecord("payload of a record")
-        null, doc_id = struct.unpack("<Bq", body[:9])
-        yield (None if null else doc_id), body[9:size]
+        yield unpacked(body[:size])
 
 
 def _open(uri: str):
@@ -71,6 +80,14 @@ def _open(uri: str):
     return fs.FileSystem.from_uri(where if "://" in where else f"file://{where}")
 
 
+def encoder_of(path: str) -> WordEncoder:
+    """The encoder of this worker process, kept from task to task with the words it has learned."""
+    kept = sys.modules.setdefault("netsift_word_encoders", types.ModuleType("netsift_word_encoders")).__dict__
+    if path not in kept:
+        kept[path] = WordEncoder(path)
+    return kept[path]
+
+
 class WordEncoder:
     """``encode_batch`` of a tokenizer that drops white space and lower-cases, with each distinct word
     encoded once: no token of it crosses ASCII white space, so the ids of a text are those of its words."""
@@ -87,8 +104,7 @@ class WordEncoder:
         at = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(words) + 1))
         self.flat = np.concatenate([self.flat, np.array(got.ids, np.uint32)])
         self.starts = np.concatenate([self.starts, self.starts[-1] + at[1:]])
-        for w in words:
-            self.index[w] = len(self.index)
+        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.index) > CACHE_WORDS:
@@ -97,7 +113,7 @@ class WordEncoder:
         cut = [(t.encode() if "<|" in t else t.encode().lower()).split() for t in texts]
         new = set(chain.from_iterable(cut)).difference(self.index)
         if new:
-            self._learn(sorted(new))
+            self._learn(list(new))
         sizes = np.diff(self.starts)
         out = []
         for words in cut:
@@ -134,7 +150,7 @@ def write_records(
             at = 0
             while at < len(ids):
                 if data is None:
-                    encoder = WordEncoder(vocabulary)
+                    encoder = encoder_of(vocabulary)
                     files, path = _open(target)
                     files.create_dir(path, recursive=True)
                     name, lowest = f"part-{uuid.uuid4().hex}", ids[0]
@@ -181,10 +197,9 @@ def read_records(manifest: DataFrame) -> DataFrame:
                     rows: list = []
                     held = 0
                     for doc_id, ids in read_frames(stream):
-                        n = len(ids) // 4
-                        rows.append((doc_id, start, n, zlib.crc32(ids), ids))
-                        start += n
-                        held += len(ids)
+                        rows.append((doc_id, start, len(ids), zlib.crc32(ids), ids))
+                        start += len(ids)
+                        held += 4 * len(ids)
                         if held > 8_000_000:
                             yield _batch(rows)
                             rows, held = [], 0
@@ -198,7 +213,7 @@ def read_records(manifest: DataFrame) -> DataFrame:
 def _batch(rows: list) -> pa.RecordBatch:
     doc_id, start, n, crc, ids = zip(*rows, strict=True) if rows else ((),) * 5
     offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
-    flat = np.frombuffer(b"".join(ids), "<i4")
+    flat = np.concatenate(ids).view("<i4") if ids else np.empty(0, np.int32)
     return pa.RecordBatch.from_arrays(
         [pa.array(c, pa.int64()) for c in (doc_id, start, n, crc)] + [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
         names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
@@ -217,6 +232,5 @@ def read_at(name: str, places: list[int]) -> list[tuple[int | None, np.ndarray]]
             body = data.read(size + 4)
             if masked(body[:size]) != struct.unpack("<I", body[size:])[0]:
                 raise CorruptRecord("payload of a record")
-            null, doc_id = struct.unpack("<Bq", body[:9])
-            out.append((None if null else doc_id, np.frombuffer(body[9:size], "<u4")))
+            out.append(unpacked(body[:size]))
     return out
