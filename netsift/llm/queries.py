@@ -51,7 +51,7 @@ def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = record_files.write_records(table(spark, sf_dir, "documents"))
-    return record_files.read_records(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return record_files.read_records(manifest, with_ids=False)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

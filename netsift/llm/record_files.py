@@ -186,8 +186,9 @@ def write_records(
     return written.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
 
-def read_records(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, ids) of each record of the files of a manifest."""
+def read_records(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, ids) of each record of the files of a manifest; ids are left
+    out on request."""
 
     def read(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got in frames:
@@ -197,27 +198,29 @@ def read_records(manifest: DataFrame) -> DataFrame:
                     rows: list = []
                     held = 0
                     for doc_id, ids in read_frames(stream):
-                        rows.append((doc_id, start, len(ids), zlib.crc32(ids), ids))
+                        rows.append((doc_id, start, len(ids), zlib.crc32(ids), ids if with_ids else None))
                         start += len(ids)
-                        held += 4 * len(ids)
+                        held += 4 * len(ids) if with_ids else 64
                         if held > 8_000_000:
-                            yield _batch(rows)
+                            yield _batch(rows, with_ids)
                             rows, held = [], 0
-                    yield _batch(rows)
+                    yield _batch(rows, with_ids)
 
-    schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids array<int>"
+    schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids array<int>" if with_ids else "")
     files = manifest.select("file", "start").repartition(F.col("file"))
     return files.mapInArrow(read, schema)
 
 
-def _batch(rows: list) -> pa.RecordBatch:
+def _batch(rows: list, with_ids: bool) -> pa.RecordBatch:
     doc_id, start, n, crc, ids = zip(*rows, strict=True) if rows else ((),) * 5
-    offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
-    flat = np.concatenate(ids).view("<i4") if ids else np.empty(0, np.int32)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, pa.int64()) for c in (doc_id, start, n, crc)] + [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-        names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-    )
+    columns = [pa.array(c, pa.int64()) for c in (doc_id, start, n, crc)]
+    names = ["doc_id", "start", "n_tokens", "ids_crc32"]
+    if with_ids:
+        offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+        flat = np.concatenate(ids).view("<i4") if ids else np.empty(0, np.int32)
+        columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
+        names.append("ids")
+    return pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def read_at(name: str, places: list[int]) -> list[tuple[int | None, np.ndarray]]:
