@@ -114,13 +114,16 @@ class WordEncoder:
         new = set(chain.from_iterable(cut)).difference(self.index)
         if new:
             self._learn(list(new))
-        sizes = np.diff(self.starts)
+        starts = self.starts.astype(np.int32)
+        sizes = np.diff(starts)
         out = []
         for words in cut:
-            k = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+            k = np.fromiter(map(self.index.__getitem__, words), np.int32, len(words))
             many = sizes[k]
-            total = int(many.sum())
-            out.append(self.flat[np.repeat(self.starts[k] - np.cumsum(many) + many, many) + np.arange(total)])
+            ends = np.cumsum(many, dtype=np.int32)
+            at = np.repeat(starts[k] - ends + many, many)
+            at += np.arange(len(at), dtype=np.int32)
+            out.append(self.flat[at])
         return out
 
 
@@ -207,7 +210,8 @@ def read_records(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
                     yield _batch(rows, with_ids)
 
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids array<int>" if with_ids else "")
-    files = manifest.select("file", "start").repartition(F.col("file"))
+    spread = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    files = manifest.select("file", "start").repartition(spread, "file")
     return files.mapInArrow(read, schema)
 
 
