@@ -2,6 +2,74 @@
 
 from __future__ import annotations
 
+WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+
+OP4 = rf"""
+WITH d AS (SELECT doc_id, source, {WORDS} AS size FROM documents),
+h AS (SELECT *, ('0x' || substr(md5('17|' || coalesce(doc_id::VARCHAR, '') || '|' || size), 1, 10))::BIGINT AS h FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, 2.0 * source_size AS lim,
+        [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight,
+        1.5 * sum(source_size) OVER () AS total FROM s),
+f AS (SELECT *, row_number() OVER o AS place,
+        coalesce(sum(lim) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS given,
+        sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS busy
+      FROM w WINDOW o AS (ORDER BY lim / weight, encode(source) NULLS LAST)),
+l AS (SELECT *, (total - given)::DOUBLE / busy AS level FROM f),
+one AS (SELECT arg_min(level, place) AS level FROM l WHERE level * weight <= lim),
+t AS (SELECT l.source, l.source_size, least(l.lim::DOUBLE, coalesce(one.level * l.weight, l.lim::DOUBLE)) AS target FROM l, one),
+q AS (SELECT h.doc_id, h.size, t.source_size, t.target,
+        coalesce(sum(h.size) OVER (PARTITION BY h.source ORDER BY h.h, h.doc_id, h.size
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+      FROM h JOIN t ON h.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+  (greatest(0, least(size, floor(target + 1e-6) - ahead))
+   + greatest(0, least(size, floor(target + 1e-6) - source_size - ahead)))::BIGINT AS taken
+FROM q
+"""
+
+OP5 = """
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k,
+        role, text FROM conversations WHERE conv_id IS NOT NULL),
+last AS (SELECT conv_id, max(k) AS k FROM t WHERE role = 'assistant' GROUP BY conv_id),
+reply AS (SELECT t.conv_id, t.k, t.text FROM t JOIN last USING (conv_id, k)),
+pair AS (SELECT a.conv_id, a.k AS last, b.text AS reply FROM reply a JOIN reply b ON b.conv_id = xor(a.conv_id, 1)),
+side AS (
+  SELECT t.conv_id, 'chosen' AS side, k, role, text FROM t JOIN pair USING (conv_id)
+  UNION ALL
+  SELECT t.conv_id, 'rejected', k, role, CASE WHEN k = last THEN reply ELSE text END FROM t JOIN pair USING (conv_id) WHERE k <= last),
+differs AS (SELECT c.conv_id, min(c.k) AS k FROM side c LEFT JOIN side r ON r.side = 'rejected' AND r.conv_id = c.conv_id AND r.k = c.k
+  WHERE c.side = 'chosen' AND (r.k IS NULL OR c.role IS DISTINCT FROM r.role OR c.text IS DISTINCT FROM r.text) GROUP BY c.conv_id),
+shown AS (SELECT s.*, coalesce(s.k < d.k, true) AS common,
+    '<|' || coalesce(role, '') || '|>' || chr(10) AS head, coalesce(text, '') || '<|end|>' || chr(10) AS body
+  FROM side s LEFT JOIN differs d USING (conv_id)),
+made AS (SELECT conv_id, side, common, k, head || body AS r,
+    repeat('0', length(head)) || repeat(CASE WHEN role = 'assistant' THEN '1' ELSE '0' END, length(body)) AS m FROM shown),
+flat AS (SELECT conv_id,
+  count(*) FILTER (common AND side = 'chosen') AS n_prompt_turns,
+  coalesce(string_agg(r, '' ORDER BY k) FILTER (common AND side = 'chosen'), '') AS prompt,
+  coalesce(string_agg(r, '' ORDER BY k) FILTER (NOT common AND side = 'chosen'), '') AS chosen,
+  coalesce(string_agg(m, '' ORDER BY k) FILTER (NOT common AND side = 'chosen'), '') AS chosen_mask,
+  coalesce(string_agg(r, '' ORDER BY k) FILTER (NOT common AND side = 'rejected'), '') AS rejected,
+  coalesce(string_agg(m, '' ORDER BY k) FILTER (NOT common AND side = 'rejected'), '') AS rejected_mask
+  FROM made GROUP BY conv_id)
+SELECT *, chosen <> rejected AND contains(chosen_mask, '1') AND contains(rejected_mask, '1') AS usable FROM flat
+"""
+
+# The pages hold no canonical or refresh tags, and the plain form of an address has its host and path,
+# so no decision comes from an alias here; tests cover those that do.
+OP9 = r"""
+WITH p AS (SELECT page_id,
+    CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+q AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM p),
+r(rh, rp, rv) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+best AS (SELECT host, path, max({'n': length(rh || rp), 'allow': rv = 'allow', 'rule': rh || rp}) AS b
+  FROM (SELECT DISTINCT host, path FROM q) JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY host, path)
+SELECT page_id, host, path, b.rule AS rule, CASE WHEN b.allow IS NULL OR b.allow THEN 'allow' ELSE 'block' END AS verdict
+FROM q LEFT JOIN best USING (host, path)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_source_mix": OP4, "op5_preference_format": OP5, "op9_url_filter": OP9}
