@@ -34,8 +34,9 @@ def _in(values: set[str]) -> Column:
 def common_destination(p: Params) -> Column:
     shared = set(p.public_dns_ntp_servers)
     only = lambda n: F.col("service_ports") == F.lit([n])
-    trusted = (_in(shared | set(p.trusted_dns_servers)) & only(53)) | (
-        _in(shared | set(p.trusted_ntp_servers)) & only(123)
+    listed = lambda name: F.coalesce(F.col(name), F.lit(False))
+    trusted = ((_in(shared | set(p.trusted_dns_servers)) | listed("trusted_dns")) & only(53)) | (
+        (_in(shared | set(p.trusted_ntp_servers)) | listed("trusted_ntp")) & only(123)
     )
     suffixes = sorted({s.lower().lstrip(".").rstrip(".") for s in p.cdn_domain_suffixes})
     suffix = F.coalesce(

@@ -13,17 +13,9 @@ from netsift.plans.scoring import score_candidates, scored_filter, suppress, tru
 
 
 def with_trusted(ctx: AnalysisContext, allowlist: DataFrame, now: str) -> AnalysisContext:
-    """Add the active trusted DNS and NTP servers of the allowlist to the parameters."""
-    dns = trusted_servers(allowlist, now, "TRUSTED_DNS")
-    ntp = trusted_servers(allowlist, now, "TRUSTED_NTP")
-    p = ctx.params
-    return replace(
-        ctx,
-        params=p.override(
-            trusted_dns_servers=tuple(sorted({*p.trusted_dns_servers, *dns})),
-            trusted_ntp_servers=tuple(sorted({*p.trusted_ntp_servers, *ntp})),
-        ),
-    )
+    """The context with the active trusted DNS and NTP servers of the allowlist, which meet the
+    candidates in a join."""
+    return replace(ctx, trusted=trusted_servers(allowlist, now))
 
 
 def analyze(

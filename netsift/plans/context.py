@@ -54,6 +54,7 @@ class AnalysisContext:
     sensors: tuple[str, ...] = ()
     internal_cidrs: tuple[str, ...] = PRIVATE_NETWORKS
     signatures: DataFrame | None = None
+    trusted: DataFrame | None = None
     tables: bool = True
 
     def _table(self, df: DataFrame, name: str) -> DataFrame:
@@ -113,6 +114,14 @@ class AnalysisContext:
             ft.sensor_features(self.contacts, self.params),
         ):
             table = table.join(part, "candidate_ip", "left")
+        marks = {"TRUSTED_DNS": "trusted_dns", "TRUSTED_NTP": "trusted_ntp"}
+        if self.trusted is not None:
+            listed = self.trusted.groupBy(F.col("value").alias("candidate_ip")).agg(
+                *[F.bool_or(F.col("type") == kind).alias(name) for kind, name in marks.items()]
+            )
+            table = table.join(listed, "candidate_ip", "left")
+        else:
+            table = table.withColumns({name: F.lit(False) for name in marks.values()})
         return self._table(table, "features")
 
     def prepare(self) -> AnalysisContext:

@@ -15,7 +15,6 @@ from netsift.params import CAPS, DETECTORS
 from netsift.schema import EVIDENCE, conform
 
 MAX_SCORE = 100
-MAX_EVIDENCE = 10_000
 MAX_SAFE_INTEGER = 2**53 - 1
 
 
@@ -70,7 +69,6 @@ class CustomDetector:
     name: str
     analyze: Callable
     version: str = "1.0.0"
-    max_evidence: int = MAX_EVIDENCE
 
     def __post_init__(self) -> None:
         for label, text in (("name", self.name), ("version", self.version)):
@@ -87,12 +85,7 @@ class CustomDetector:
         produced = self.analyze(ctx)
         if not isinstance(produced, DataFrame):
             raise DetectorError(f"detector {self.name} must return a DataFrame of evidence")
-        rows = validate_evidence(produced, self.name, self.version)
-        total = rows.agg(F.count(F.lit(1)).alias("c")).scalar()
-        over = F.raise_error(F.lit(f"detector {self.name} returned too many evidence rows"))
-        return rows.withColumn(
-            "type", F.when(total <= self.max_evidence, F.col("type")).otherwise(over.cast("string"))
-        )
+        return validate_evidence(produced, self.name, self.version)
 
 
 class DetectorRegistry:

@@ -45,10 +45,10 @@ def active_allowlist(allowlist: DataFrame, now: str) -> DataFrame:
     )
 
 
-def trusted_servers(allowlist: DataFrame, now: str, kind: str) -> list[str]:
-    """Active trusted servers of one kind, a short list an operator maintains by hand."""
-    rows = active_allowlist(allowlist, now).filter(F.col("type") == kind).select("value").distinct()
-    return sorted(r[0] for r in rows.limit(10_001).collect())
+def trusted_servers(allowlist: DataFrame, now: str) -> DataFrame:
+    """(type, value) of the active trusted DNS and NTP servers, however many there are."""
+    kinds = ("TRUSTED_DNS", "TRUSTED_NTP")
+    return active_allowlist(allowlist, now).filter(F.col("type").isin(*kinds)).distinct()
 
 
 def allowlisted(evidence: DataFrame, allowlist: DataFrame, now: str) -> DataFrame:

@@ -232,3 +232,18 @@ def test_parameters_are_checked():
         Params(detector_weights={"nope": 1.0})
     with pytest.raises(ValueError):
         Params(detector_weights={"periodic_beacon": 3.0})
+
+
+def test_trusted_servers_of_a_long_allowlist_all_count(spark):
+    from netsift.plans.analysis import with_trusted
+
+    rows = [flow(i, source_ip=f"10.0.0.{i + 1}", destination_ip="203.0.113.77", destination_port=53) for i in range(12)]
+    listed = [("TRUSTED_DNS", f"198.18.{i // 250}.{i % 250}", True, None) for i in range(12_000)]
+    listed.append(("TRUSTED_DNS", "203.0.113.77", True, None))
+    allowlist = spark.createDataFrame(listed, "type string, value string, enabled boolean, expires_at string")
+    for with_list in (False, True):
+        ctx = AnalysisContext(frame(spark, rows), Params())
+        if with_list:
+            ctx = with_trusted(ctx, allowlist, "2026-01-01T00:00:00Z")
+        got = [r.metrics for r in run_detectors(ctx).filter("type = 'COMMON_DESTINATION'").collect()]
+        assert len(got) == 1 and ('"public_dns_ntp":true' in got[0]) == with_list

@@ -200,11 +200,11 @@ def test_bundle_reduction_and_checks(spark):
     cands = spark.createDataFrame([("203.0.113.5", 50, "MEDIUM")], "candidate_ip string, score int, severity string")
     sums = spark.createDataFrame([("203.0.113.5", 1, 2, 3)], "candidate_ip string, flow_count bigint, packet_count bigint, total_bytes bigint")
     full = bundle.evidence_bundle(cands, ev, sums).first()
-    assert len(full.evidence_ids) == 50 and full.evidence_ids[0] == "E-C2H-001" and not full.reduced
+    assert len(full.evidence_ids) == 50 and full.evidence_ids[0] == "E-001" and not full.reduced
     small = bundle.evidence_bundle(cands, ev, sums, 1000)
     row = small.first()
     assert row.reduced and row.estimated_tokens <= 1000 and len(row.evidence_ids) < 20
-    asked = spark.createDataFrame([("203.0.113.5", "LIKELY_C2", ["E-C2H-001"], ["E-C2H-001"]), ("203.0.113.5", "LIKELY_C2", ["E-C2H-050"], ["E-C2H-050"]), ("203.0.113.5", "INCONCLUSIVE", [], [])],
+    asked = spark.createDataFrame([("203.0.113.5", "LIKELY_C2", ["E-001"], ["E-001"]), ("203.0.113.5", "LIKELY_C2", ["E-050"], ["E-050"]), ("203.0.113.5", "INCONCLUSIVE", [], [])],
                                   "candidate_ip string, verdict string, cited_ids array<string>, supporting_ids array<string>")
     assert sorted(r.valid for r in bundle.check_assessments(asked, small).collect()) == [False, True, True]
 
