@@ -23,7 +23,6 @@ import types
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +87,18 @@ def encoder_of(path: str) -> WordEncoder:
     return kept[path]
 
 
+class Numbering(dict):
+    """Numbers words in order of first sight; new ones are listed."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        self[word] = n = len(self)
+        return n
+
+
 class WordEncoder:
     """``encode_batch`` of a tokenizer that drops white space and lower-cases, with each distinct word
     encoded once: no token of it crosses ASCII white space, so the ids of a text are those of its words."""
@@ -96,7 +107,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.index: dict[bytes, int] = {}
+        self.index = Numbering()
         self.flat, self.starts = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
     def _learn(self, words: list[bytes]) -> None:
@@ -104,21 +115,20 @@ class WordEncoder:
         at = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(words) + 1))
         self.flat = np.concatenate([self.flat, np.array(got.ids, np.uint32)])
         self.starts = np.concatenate([self.starts, self.starts[-1] + at[1:]])
-        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.index) > CACHE_WORDS:
-            self.index, self.flat, self.starts = {}, np.empty(0, np.uint32), np.zeros(1, np.int64)
+            self.index, self.flat, self.starts = Numbering(), np.empty(0, np.uint32), np.zeros(1, np.int64)
         # ASCII letters are lowered here already, but for texts that may hold a special token
         cut = [(t.encode() if "<|" in t else t.encode().lower()).split() for t in texts]
-        new = set(chain.from_iterable(cut)).difference(self.index)
-        if new:
-            self._learn(list(new))
+        numbers = [np.fromiter(map(self.index.__getitem__, words), np.int32, len(words)) for words in cut]
+        if self.index.new:
+            self._learn(self.index.new)
+            self.index.new = []
         starts = self.starts.astype(np.int32)
         sizes = np.diff(starts)
         out = []
-        for words in cut:
-            k = np.fromiter(map(self.index.__getitem__, words), np.int32, len(words))
+        for k in numbers:
             many = sizes[k]
             ends = np.cumsum(many, dtype=np.int32)
             at = np.repeat(starts[k] - ends + many, many)
