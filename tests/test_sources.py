@@ -1,5 +1,4 @@
 import hashlib
-import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,113 +16,43 @@ from tests.test_detection import evidence
 INTERNAL = ["10.0.0.0/8"]
 
 
-def ipv4(src_ip, dst_ip, proto, body, fragment=0):
-    a, b = (bytes(map(int, x.split("."))) for x in (src_ip, dst_ip))
-    return struct.pack("!BBHHHBBH4s4s", 0x45, 0, 20 + len(body), 1, fragment, 64, proto, 0, a, b) + body
-
-
-def tcp(sport, dport, flags, payload=b""):
-    return struct.pack("!HHIIBBHHH", sport, dport, 1, 1, 5 << 4, flags, 100, 0, 0) + payload
-
-
-def udp(sport, dport, payload):
-    return struct.pack("!HHHH", sport, dport, 8 + len(payload), 0) + payload
-
-
-def ethernet(ip, kind=0x0800, tags=0):
-    return b"\0" * 12 + b"".join(struct.pack("!HH", 0x8100, 5) for _ in range(tags)) + struct.pack("!H", kind) + ip
-
-
-def classic(packets, order="<", nano=False, link=1, start=1_700_000_000):
-    magic = {("<", False): b"\xd4\xc3\xb2\xa1", (">", False): b"\xa1\xb2\xc3\xd4", ("<", True): b"\x4d\x3c\xb2\xa1", (">", True): b"\xa1\xb2\x3c\x4d"}[order, nano]
-    out = magic + struct.pack(f"{order}HHIIII", 2, 4, 0, 0, 65535, link)
-    for i, p in enumerate(packets):
-        out += struct.pack(f"{order}IIII", start + i, 500_000_000 if nano else 500_000, len(p), len(p)) + p
-    return out
-
-
-def block(kind, body):
-    body += b"\0" * (-len(body) % 4)
-    return struct.pack("<II", kind, 12 + len(body)) + body + struct.pack("<I", 12 + len(body))
-
-
-def nextgen(packets, options=b"", simple=False):
-    out = block(0x0A0D0D0A, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1)) + block(1, struct.pack("<HHI", 1, 0, 65535) + options)
-    for i, p in enumerate(packets):
-        ticks = (1_700_000_000 + i) * 1_000_000
-        out += block(6, struct.pack("<IIIII", 0, ticks >> 32, ticks & 0xFFFFFFFF, len(p), len(p)) + p)
-    return out + (block(3, struct.pack("<I", 4) + b"abcd") if simple else b"")
-
-
-DNS = b"\x12\x34\x01\x00\x00\x01\0\0\0\0\0\0" + b"\x03WWW\x07example\x03org\0" + b"\0\x01\0\x01"
-HELLO_BODY = b"\x03\x03" + b"\0" * 32 + b"\0" + b"\0\x02\x13\x01" + b"\x01\0" + struct.pack("!H", 18) + struct.pack("!HHHBH", 0, 14, 12, 0, 9) + b"tls.local"
-HELLO = b"\x16\x03\x01" + struct.pack("!H", 4 + len(HELLO_BODY)) + b"\x01" + len(HELLO_BODY).to_bytes(3, "big") + HELLO_BODY
-PACKETS = [
-    ethernet(ipv4("10.0.0.1", "192.0.2.53", 17, udp(5353, 53, DNS))),
-    ethernet(ipv4("192.0.2.9", "10.0.0.1", 6, tcp(443, 40000, 0x12)), tags=2),
-    ethernet(ipv4("10.0.0.1", "192.0.2.9", 6, tcp(40000, 80, 0x18, b"GET / HTTP/1.1\r\nHost: Web.Example:80\r\n\r\n"))),
-    ethernet(ipv4("10.0.0.1", "192.0.2.9", 6, tcp(40000, 443, 0x18, HELLO))),
-    ethernet(ipv4("10.0.0.1", "192.0.2.9", 17, b"abc", fragment=5)),
-    ethernet(b"\0" * 28, kind=0x0806),
-    ethernet(ipv4("192.0.2.1", "192.0.2.2", 1, b"\x08\0\0\0\0\0\0\0ping")),
-]
-
-
-def decoded(spark, tmp_path, name, data):
-    (tmp_path / name).write_bytes(data)
-    return cap.captured_packets(cap.read_capture_files(spark, str(tmp_path)))
-
-
-def test_classic_capture(spark, tmp_path):
-    packets = decoded(spark, tmp_path, "a.pcap", classic(PACKETS)).cache()
-    rows = cap.flow_rows(packets, "s1", INTERNAL, 4).orderBy("packet_index").collect()
-    assert [(r.protocol, r.direction, r.domain) for r in rows] == [
-        ("UDP", "OUTBOUND", "www.example.org"), ("TCP", "INBOUND", None), ("TCP", "OUTBOUND", "web.example"),
-        ("TCP", "OUTBOUND", "tls.local"), ("UDP", "OUTBOUND", None), ("ICMP", "UNKNOWN", None),
-    ]
-    assert rows[1].tcp_syn_ack_count == 1 and rows[1].tcp_syn_only_count == 0 and rows[1].payload_hash is None
-    assert rows[2].tcp_ack_only_count == 1 and rows[2].payload_sample_hex == b"GET ".hex()
-    assert rows[3].tls_fingerprint == hashlib.sha256(HELLO).hexdigest()
-    assert rows[4].source_port is None and rows[4].payload_hash is None
-    assert rows[5].payload_hash == hashlib.sha256(b"ping").hexdigest()
+def packet(index, protocol="TCP", src_ip="10.0.0.1", dst_ip="192.0.2.9", payload=b"", flags=None, decoded=True):
+    return {"path": "a", "capture_format": "PCAP", "packet_index": index, "link_type": 1, "ts_us": int(T0.timestamp()) * 10**6 + index,
+            "captured_length": 40 + len(payload), "decoded": decoded, "ip_version": 4, "source_ip": src_ip,
+            "destination_ip": dst_ip, "source_port": 40000, "destination_port": 443, "protocol": protocol,
+            "payload": payload, "flag_bits": flags}
+
+
+def test_packet_rows(spark):
+    rows = [packet(0, "UDP", payload=b"abcdef"), packet(1, src_ip="192.0.2.9", dst_ip="10.0.0.1", flags=0x12),
+            packet(2, flags=0x10, payload=b"GET /"), packet(3, decoded=False),
+            packet(4, "ICMP", src_ip="192.0.2.1", dst_ip="192.0.2.2")]
+    full = [{name: r.get(name) for name in cap.PACKET.names} for r in rows]
+    packets = spark.createDataFrame(full, cap.PACKET)
+    out = cap.flow_rows(packets, "s1", INTERNAL, 4).orderBy("packet_index").collect()
+    assert [(r.protocol, r.direction) for r in out] == [
+        ("UDP", "OUTBOUND"), ("TCP", "INBOUND"), ("TCP", "OUTBOUND"), ("ICMP", "UNKNOWN")]
+    assert (out[1].tcp_syn_ack_count, out[1].tcp_syn_only_count, out[1].payload_hash) == (1, 0, None)
+    assert (out[2].tcp_ack_only_count, out[2].payload_sample_hex) == (1, b"GET ".hex())
+    assert out[0].payload_hash == hashlib.sha256(b"abcdef").hexdigest() and out[0].tcp_flags is None
     s = cap.capture_summary(packets).first()
-    assert (s.capture_format, s.captured_packet_count, s.parsed_packet_count, s.skipped_packet_count) == ("PCAP", 7, 6, 1)
-    assert s.link_types == [1] and s.error is None
+    assert (s.captured_packet_count, s.parsed_packet_count, s.skipped_packet_count) == (5, 4, 1)
     cut = cap.capture_summary(packets, 3).first()
     assert (cut.captured_packet_count, cut.truncated) == (3, True)
-    over = cap.limited(packets, 3, False).filter("error is not null").first()
-    assert over.error == "PCAP_PACKET_LIMIT_EXCEEDED"
-    assert cap.limited(packets, 3, True).count() == 3
     assert cap.find_packet(packets, F.col("protocol") == "TCP").first().packet_index == 1
     assert cap.find_packet(packets, F.col("protocol") == "SCTP").count() == 0
-
-
-@pytest.mark.parametrize("order,nano", [("<", True), (">", False), (">", True)])
-def test_capture_byte_orders(order, nano):
-    rows = list(cap.packets_of(classic(PACKETS[:2], order, nano)))
-    assert [r["ts_us"] for r in rows] == [1_700_000_000_500_000, 1_700_000_001_500_000]
-    assert [r["protocol"] for r in rows] == ["UDP", "TCP"]
-
-
-def test_nextgen_capture():
-    rows = list(cap.packets_of(nextgen(PACKETS[:3])))
-    assert [r["ts_us"] for r in rows] == [(1_700_000_000 + i) * 10**6 for i in range(3)]
-    shifted = list(cap.packets_of(nextgen(PACKETS[:1], struct.pack("<HHqHH", 14, 8, 10, 0, 0))))
-    assert shifted[0]["ts_us"] == 1_700_000_010 * 10**6
-    assert list(cap.packets_of(nextgen(PACKETS[:1], simple=True))) == [{"error": "UNSUPPORTED_PCAPNG_BLOCK"}]
-
-
-@pytest.mark.parametrize("data", [b"", b"junk", classic(PACKETS)[:-3], classic(PACKETS)[:30], nextgen(PACKETS)[:-2]])
-def test_broken_captures(data):
-    assert list(cap.packets_of(data)) == [{"error": "INVALID_PCAP"}]
-
-
-def test_empty_and_ipv6():
-    assert list(cap.packets_of(classic([]))) == [{"error": "EMPTY_PCAP"}]
-    six = bytes.fromhex("60000000") + struct.pack("!HBB", 8 + 12, 0, 64) + bytes(15) + b"\1" + bytes(15) + b"\2"
-    six += bytes([17, 0]) + bytes(6) + udp(1, 2, b"hiya")
-    row = list(cap.packets_of(classic([six], link=101)))[0]
-    assert (row["source_ip"], row["destination_ip"], row["destination_port"], row["payload"]) == ("::1", "::2", 2, b"hiya")
+    none = cap.capture_summary(packets.filter("packet_index = 3")).first()
+    assert none.error == "NO_SUPPORTED_IP_PACKETS"
+
+
+def test_scan_budget_takes_equal_times_in_id_order(spark):
+    at = "timestamp_micros(1000000 * (n div 3000))"
+    files = spark.range(9_000).selectExpr("id AS n").selectExpr(
+        "lpad(string(n), 6, '0') AS id", f"{at} AS uploaded_at", "1L AS byte_count", "2L AS packet_count",
+        "encode(string(n), 'UTF-8') AS content", "sha2(string(n), 256) AS sha256")
+    got = cap.scan_budget(files, 8_000, None).orderBy("id").collect()
+    assert [r.bytes_read for r in got] == list(range(1, 9_001)) and all(r.verified for r in got)
+    assert [r.id for r in got if r.reason][0] == "008000"
 
 
 def test_ingest_is_idempotent(spark, tmp_path):

@@ -11,6 +11,24 @@ from workload.tables import duck
 IP4 = "(CAST(split_part({0}, '.', 1) AS BIGINT) * 16777216 + CAST(split_part({0}, '.', 2) AS BIGINT) * 65536 + CAST(split_part({0}, '.', 3) AS BIGINT) * 256 + CAST(split_part({0}, '.', 4) AS BIGINT))"
 
 
+# Bytes as hex pairs; FNV-1a over three bytes modulo 2^64; a bit is set by half of the shingles or more.
+_STEP = "(xor(({h})::UBIGINT, {b}::UBIGINT)::HUGEINT * 1099511628211) % 18446744073709551616"
+_H1 = _STEP.format(h="14695981039346656037", b="b1")
+PAYLOAD_FEATURES = f"""WITH d AS (SELECT doc_id, hex(encode(text)) AS x, strlen(text) AS n FROM documents),
+y AS (SELECT doc_id, n, x, unnest(range(n)) AS i FROM d WHERE n > 0),
+v AS (SELECT doc_id, n, i, ('0x' || substr(x, 2 * i + 1, 2))::INT AS b1, CASE WHEN i + 1 < n THEN ('0x' || substr(x, 2 * i + 3, 2))::INT END AS b2,
+  CASE WHEN i + 2 < n THEN ('0x' || substr(x, 2 * i + 5, 2))::INT END AS b3 FROM y),
+c AS (SELECT doc_id, n, b1, count(*) AS k FROM v GROUP BY ALL),
+e AS (SELECT doc_id, round(-sum(k / n * log2(k / n)), 4) AS payload_entropy,
+  round(coalesce(sum(k) FILTER (WHERE b1 BETWEEN 32 AND 126 OR b1 IN (9, 10, 13)), 0) / any_value(n), 4) AS payload_printable_ratio FROM c GROUP BY 1),
+h1 AS (SELECT doc_id, b2, b3, {_H1} AS h FROM v WHERE i + least(3, n) <= n),
+h2 AS (SELECT doc_id, b3, CASE WHEN b2 IS NULL THEN h ELSE {_STEP.format(h="h", b="coalesce(b2, 0)")} END AS h FROM h1),
+h3 AS (SELECT doc_id, (CASE WHEN b3 IS NULL THEN h ELSE {_STEP.format(h="h", b="coalesce(b3, 0)")} END)::UBIGINT AS h FROM h2),
+s AS (SELECT doc_id, {" + ".join(f"(CASE WHEN 2 * sum((h >> {b}) & 1) >= count(*) THEN {1 << b}::HUGEINT ELSE 0 END)" for b in range(64))} AS m FROM h3 GROUP BY 1)
+SELECT doc_id, payload_entropy, payload_printable_ratio, lpad(format('{{:x}}', m::UBIGINT), 16, '0') AS payload_simhash
+FROM documents LEFT JOIN e USING (doc_id) LEFT JOIN s USING (doc_id)"""
+
+
 def num(ip: str) -> int:
     a, b, c, d = map(int, ip.split("."))
     return a << 24 | b << 16 | c << 8 | d
@@ -321,10 +339,19 @@ SELECT sensor_id, batch_id, n + 1 < 50 AS accepted, CASE WHEN n + 1 < 50 THEN n
 SELECT cand AS candidate_ip, host AS host_ip, count(*) AS n, min(ts_us) AS oldest FROM r WHERE rn <= 3 GROUP BY 1, 2""",
         "payload_hashes": """SELECT doc_id, sha256(text) AS payload_hash, sha256(CASE WHEN strlen(text) <= 32 THEN encode(text) ELSE encode(text)[1:32] END) AS payload_prefix_hash,
   CAST(strlen(text) AS INT) AS payload_length FROM documents""",
+        "payload_features": PAYLOAD_FEATURES,
         "capture_decode": """SELECT 'doc-' || doc_id AS path, doc_id * 1000000 AS ts_us, 'UDP' AS protocol, 'OUTBOUND' AS direction, 40000 AS source_port,
   9000 AS destination_port, CAST(strlen(text) + 48 AS BIGINT) AS total_bytes, sha256(text) AS payload_hash, CAST(strlen(text) AS INT) AS payload_length, 6 AS ip_version FROM documents""",
         "capture_summary": """SELECT 'doc-' || doc_id AS path, 'PCAP' AS capture_format, CAST(1 AS BIGINT) AS captured_packet_count, CAST(1 AS BIGINT) AS parsed_packet_count,
   doc_id * 1000000 AS start_us FROM documents""",
+        "packet_summary": f"""{ctes(F_CTE)} SELECT sensor_id AS path, count(*) AS captured_packet_count, count(*) FILTER (WHERE flow_no % 7 <> 0) AS parsed_packet_count,
+  count(*) FILTER (WHERE flow_no % 7 = 0) AS skipped_packet_count, array_to_string(list_sort(list(DISTINCT flow_no % 3)), ',') AS link_types,
+  min(ts_us) AS start_us, max(ts_us) AS end_us, CASE WHEN count(*) FILTER (WHERE flow_no % 7 <> 0) = 0 THEN 'NO_SUPPORTED_IP_PACKETS' END AS error FROM f GROUP BY 1""",
+        "first_packet": f"""{ctes(F_CTE)} SELECT sensor_id AS path, flow_no AS packet_index, ts_us FROM f
+WHERE protocol = 'UDP' AND flow_no % 7 <> 0 AND total_bytes > 700 ORDER BY sensor_id, flow_no LIMIT 1""",
+        "scan_budget": """WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS id, floor(doc_id / 5) AS t, strlen(text) AS b, doc_id % 97 AS p, doc_id % 10 <> 0 AS verified FROM documents),
+r AS (SELECT id, verified, CAST(sum(b) OVER w AS BIGINT) AS bytes_read, CAST(sum(p) OVER w AS BIGINT) AS packets_read FROM d WINDOW w AS (ORDER BY t, id ROWS UNBOUNDED PRECEDING))
+SELECT *, CASE WHEN bytes_read > 100000 THEN 'SOURCE_BYTE_LIMIT' WHEN packets_read > 2000 THEN 'SOURCE_PACKET_LIMIT' END AS reason FROM r""",
         "sensor_page": f"""{ctes(SENS)} SELECT sensor_id, epoch_us(last_heartbeat_at) AS beat_us FROM ss WHERE abs(clock_offset_ms) <= 2000 AND dropped_packets % 2 = 0
 ORDER BY last_heartbeat_at DESC, sensor_id LIMIT 40""",
         "segment_page": f"""{ctes(JOBS)} SELECT id, epoch_us(created_at) AS at_us FROM jj WHERE length(name) = 16 ORDER BY created_at DESC, id LIMIT 50 OFFSET 50""",

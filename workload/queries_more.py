@@ -511,31 +511,60 @@ def q_payload_features(spark, sf):
         "doc_id", "payload_entropy", "payload_printable_ratio", "payload_simhash")
 
 
-def capture_files(spark, sf) -> DataFrame:
-    """Every document as a capture file: one IPv6/UDP packet that carries the whole text."""
-    word = lambda c, n: F.lpad(F.hex(c), n, "0")
+def packet_table(spark, sf) -> DataFrame:
+    """Every document as one captured IPv6/UDP packet that carries the whole text."""
     text = F.encode("text", "UTF-8")
     size = F.length(text) + 48
-    header = F.lit("A1B2C3D4" "0002" "0004" "00000000" "00000000" "01000000" "00000065")
-    record = F.concat(word(F.col("doc_id"), 8), F.lit("00000000"), word(size, 8), word(size, 8))
-    ip = F.concat(F.lit("60000000" "0000" "1140" "FD00"), word(F.col("doc_id"), 28), F.lit("20010DB8"), word(F.col("doc_id") % 1000, 24))
-    udp = F.lit("9C40" "2328" "0000" "0000")
-    content = F.unhex(F.concat(header, record, ip, udp, F.hex(text)))
-    docs = tb.table(spark, sf, "documents")
-    return docs.select(F.concat(F.lit("doc-"), "doc_id").alias("path"), content.alias("content"))
+    address = lambda head, n: F.concat(F.lit(head), F.lower(F.hex(n)))
+    return tb.table(spark, sf, "documents").select(
+        F.concat(F.lit("doc-"), "doc_id").alias("path"), F.lit("PCAP").alias("capture_format"),
+        F.lit(0).cast("bigint").alias("packet_index"), F.lit(101).alias("link_type"),
+        (F.col("doc_id") * 1_000_000).alias("ts_us"), size.alias("captured_length"), F.lit(True).alias("decoded"),
+        F.lit(6).alias("ip_version"), address("fd00::", F.col("doc_id") % 65536).alias("source_ip"),
+        address("2001:db8::", F.col("doc_id") % 1000).alias("destination_ip"), F.lit(40000).alias("source_port"),
+        F.lit(9000).alias("destination_port"), F.lit("UDP").alias("protocol"), text.alias("payload"),
+        F.lit(None).cast("int").alias("flag_bits"), F.lit(None).cast("string").alias("error"))
 
 
 def q_capture_decode(spark, sf):
-    rows = cap.flow_rows(cap.captured_packets(capture_files(spark, sf)), "sensor-a", ["fd00::/8"])
+    rows = cap.flow_rows(packet_table(spark, sf), "sensor-a", ["fd00::/8"])
     return rows.select("path", "ts_us", "protocol", "direction", "source_port", "destination_port", "total_bytes",
                        "payload_hash", "payload_length", "ip_version")
 
 
 def q_capture_summary(spark, sf):
-    s = cap.capture_summary(cap.captured_packets(capture_files(spark, sf)))
+    s = cap.capture_summary(packet_table(spark, sf))
     return s.select("path", "capture_format", "captured_packet_count", "parsed_packet_count", us("start_time", "start_us"))
 
 
+def event_packets(spark, sf) -> DataFrame:
+    """Every flow as a packet of its sensor's capture; each seventh is not IP, TCP ones carry flags."""
+    return flows(spark, sf).withColumns({
+        "path": F.col("sensor_id"), "capture_format": F.lit("PCAPNG"), "packet_index": F.col("flow_no"),
+        "link_type": (F.col("flow_no") % 3).cast("int"), "captured_length": (F.col("total_bytes") % 1500).cast("int"),
+        "decoded": F.col("flow_no") % 7 != 0, "error": F.lit(None).cast("string")})
+
+
+def q_packet_summary(spark, sf):
+    s = cap.capture_summary(event_packets(spark, sf))
+    return s.select("path", "captured_packet_count", "parsed_packet_count", "skipped_packet_count",
+                    F.array_join("link_types", ",").alias("link_types"), us("start_time", "start_us"), us("end_time", "end_us"), "error")
+
+
+def q_first_packet(spark, sf):
+    found = cap.find_packet(event_packets(spark, sf), "protocol = 'UDP' AND decoded AND total_bytes > 700")
+    return found.select("path", "packet_index", "ts_us")
+
+
+def q_scan_budget(spark, sf):
+    docs = tb.table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), F.timestamp_micros(F.floor(F.col("doc_id") / 5) * 1_000_000).alias("uploaded_at"),
+        F.octet_length("text").cast("bigint").alias("byte_count"), (F.col("doc_id") % 97).alias("packet_count"),
+        F.encode("text", "UTF-8").alias("content"),
+        F.sha2(F.when(F.col("doc_id") % 10 == 0, F.lit("other")).otherwise(F.col("text")), 256).alias("sha256"))
+    return cap.scan_budget(docs, 100_000, 2_000).select("id", "bytes_read", "packets_read", "verified", "reason")
+
+
 def q_sensor_page(spark, sf):
     s = sensors(spark, sf).withColumn("enabled", F.col("dropped_packets") % 2 == 0)
     return triage.sensor_page(s, status="ONLINE", enabled=True, sort="-last_heartbeat_at", page=1, size=40).select("sensor_id", us("last_heartbeat_at", "beat_us"))
@@ -620,6 +649,7 @@ def more_queries() -> dict:
         "batch_ingest": q_ingest, "rolling_sample": q_rolling, "payload_hashes": q_payload_hashes,
         "payload_features": q_payload_features, "simhash_distance": q_simhash_distance,
         "capture_decode": q_capture_decode, "capture_summary": q_capture_summary, "sensor_page": q_sensor_page,
+        "packet_summary": q_packet_summary, "first_packet": q_first_packet, "scan_budget": q_scan_budget,
         "segment_page": q_segment_page, "enrichment_selection": q_enrichment, "verdict_history": q_history,
         "stream_sync_windows": q_stream_windows, "stream_sessionize": q_stream_sessions, "stream_dedup": q_stream_dedup,
     }
