@@ -22,7 +22,7 @@ PAYLOAD = [
     "payload_simhash",
     "payload_feature_version",
 ]
-COMPARISONS = 20
+PAYLOAD_GROUP = ["candidate_ip", "sensor_id", *PAYLOAD]
 SIGNATURE_DEFAULTS = {
     "version": 1,
     "length_tolerance_ratio": 0.15,
@@ -39,14 +39,15 @@ def active_signatures(signatures: DataFrame) -> DataFrame:
     """Enabled signatures with an id, defaults filled, columns prefixed with ``sig_``."""
     df = conform(signatures, SIGNATURE, SIGNATURE_DEFAULTS).select(*SIGNATURE.names)
     df = _blank_to_null(
-        df, ["id", "protocol", "direction", "payload_hash", "payload_prefix_hash", "payload_simhash"]
+        df, ["id", "protocol", "direction", "payload_hash", "payload_prefix_hash", "payload_simhash",
+             "payload_feature_version"]
     ).filter(F.col("enabled") & F.col("id").isNotNull())
     return df.select(*[F.col(c).alias(f"sig_{c}") for c in df.columns])
 
 
-def payload_groups(oriented: DataFrame) -> DataFrame:
-    """Rows reduced to distinct payload descriptions per candidate before any matching."""
-    rows = _blank_to_null(
+def payload_rows(oriented: DataFrame) -> DataFrame:
+    """Rows with a payload description; empty hashes count as none."""
+    return _blank_to_null(
         oriented,
         [
             "payload_hash",
@@ -59,7 +60,11 @@ def payload_groups(oriented: DataFrame) -> DataFrame:
             "payload_hash", "last_payload_hash", "payload_prefix_hash", "payload_simhash"
         ).isNotNull()
     )
-    return rows.groupBy("candidate_ip", "sensor_id", *PAYLOAD).agg(
+
+
+def payload_groups(oriented: DataFrame) -> DataFrame:
+    """Rows reduced to distinct payload descriptions per candidate before any matching."""
+    return payload_rows(oriented).groupBy(*PAYLOAD_GROUP).agg(
         F.count(F.lit(1)).alias("n"),
         F.min("ts_us").alias("first_us"),
         F.max("ts_us").alias("last_us"),
@@ -193,6 +198,21 @@ def signature_matches(
     return exact.unionByName(structural.select(*exact.columns))
 
 
+def comparison_rows(matches: DataFrame) -> DataFrame:
+    """Every distinct comparison behind the evidence with its flows and their first moment.
+
+    Exact matches displace structural ones, as in the evidence. The list is a relation because
+    its length has no bound; a short report takes the earliest.
+    """
+    key = ["candidate_ip", "sig_id"]
+    exact = matches.filter("mode = 'EXACT'").select(*key).distinct()
+    structural = matches.filter("mode <> 'EXACT'").join(exact, key, "left_anti")
+    chosen = matches.filter("mode = 'EXACT'").unionByName(structural.select(*matches.columns))
+    return chosen.groupBy(*key, "mode", "comparison").agg(
+        F.sum("n").alias("n"), F.min("first_us").alias("first_us")
+    )
+
+
 def analyst_payload_signature(matches: DataFrame) -> DataFrame:
     """One evidence row per (candidate, signature); exact matches displace structural ones.
 
@@ -208,21 +228,11 @@ def analyst_payload_signature(matches: DataFrame) -> DataFrame:
         F.sort_array(F.collect_set("sensor_id")).alias("sensors"),
         F.first("sig_name").alias("sig_name"),
         F.first("sig_version").alias("sig_version"),
-    )
-    # The comparison list is a top-20 report: the earliest distinct ones.
-    seen = matches.groupBy(*key, "comparison").agg(F.min("first_us").alias("at"))
-    order = Window.partitionBy(*key).orderBy("at", "comparison")
-    listed = (
-        seen.withColumn("__rn", F.row_number().over(order))
-        .filter(F.col("__rn") <= COMPARISONS)
-        .groupBy(*key)
-        .agg(F.sort_array(F.collect_list(F.struct("__rn", "comparison"))).alias("__list"))
+        F.count_distinct("comparison").alias("comparisons"),
     )
     best = Window.partitionBy("candidate_ip", "sig_id").orderBy("mode")
     chosen = (
-        totals.join(listed, key)
-        .withColumn("__best", F.row_number().over(best))
-        .filter(F.col("__best") == 1)
+        totals.withColumn("__best", F.row_number().over(best)).filter(F.col("__best") == 1)
     )
     is_exact = F.col("mode") == "EXACT"
     pick = lambda a, b: F.when(is_exact, F.lit(a)).otherwise(F.lit(b))
@@ -234,7 +244,7 @@ def analyst_payload_signature(matches: DataFrame) -> DataFrame:
         "matched_flow_count": F.col("n"),
         "sample_count": F.col("n"),
         "action": pick("alert", "monitor"),
-        "comparisons": F.col("__list.comparison"),
+        "comparison_count": F.col("comparisons"),
         "analyst_confirmed": is_exact,
     }
     row = evidence(

@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 from netsift.operators.detectors.population import population_anomaly
 from netsift.operators.detectors.profile import PROFILE_DETECTORS
 from netsift.operators.detectors.quality import tcp_session_quality
-from netsift.operators.detectors.signature import analyst_payload_signature
+from netsift.operators.detectors.signature import (
+    PAYLOAD_GROUP,
+    analyst_payload_signature,
+    payload_rows,
+)
 from netsift.operators.detectors.timing import (
     command_attack,
     periodic_beacon,
@@ -140,26 +144,14 @@ def evidence_hosts(ctx: AnalysisContext, evidence: DataFrame) -> DataFrame:
         .unionByName(kinds.filter(~whole & ~signature).join(named, ["candidate_ip", "type"]))
     )
     if ctx.signatures is not None:
-        payload = [
-            "candidate_ip",
-            "sensor_id",
-            "payload_hash",
-            "last_payload_hash",
-            "payload_prefix_hash",
-            "payload_simhash",
-            "payload_length",
-            "payload_entropy",
-            "protocol",
-            "direction",
-            "service_port",
-        ]
+        # The same rows and the same full key that the groups were made of.
         matched = ctx.signature_matches.select(
-            *[F.col(c).alias(f"m_{c}") for c in payload],
+            *[F.col(c).alias(f"m_{c}") for c in PAYLOAD_GROUP],
             F.col("sig_id").alias("evidence_key"),
             F.col("mode").alias("match_mode"),
         )
-        rows = ctx.oriented.select(*payload, "host_ip").distinct()
-        same = [F.col(c).eqNullSafe(F.col(f"m_{c}")) for c in payload]
+        rows = payload_rows(ctx.oriented).select(*PAYLOAD_GROUP, "host_ip").distinct()
+        same = [F.col(c).eqNullSafe(F.col(f"m_{c}")) for c in PAYLOAD_GROUP]
         hosts = rows.join(matched, same).select(
             "candidate_ip", "evidence_key", "match_mode", "host_ip"
         ).distinct()

@@ -4,13 +4,39 @@ from __future__ import annotations
 
 from workload import tables as tb
 from workload.oracles import (
-    END_US, EV_CTE, F_CTE, G, O, S_CTE, SCORED, SEVERITY, START_US, ctes, score_ctes,
+    END_US, EV_CTE, F_CTE, G, GAP_CTE, O, S_CTE, SCORED, SEVERITY, SIG_CTES, START_US, ctes, score_ctes,
 )
 from workload.tables import duck
 
 IP4 = "(CAST(split_part({0}, '.', 1) AS BIGINT) * 16777216 + CAST(split_part({0}, '.', 2) AS BIGINT) * 65536 + CAST(split_part({0}, '.', 3) AS BIGINT) * 256 + CAST(split_part({0}, '.', 4) AS BIGINT))"
 
 
+# Every flow that meets a signature in the stronger of its two ways.
+SIG_MATCHES = SIG_CTES + """,
+sm AS MATERIALIZED (SELECT * FROM (SELECT *, max(ex) OVER (PARTITION BY cand, id) AS best FROM (
+  SELECT o.cand, sg.id, o.host, o.ts_us, coalesce(o.payload_hash = sg.payload_hash, false) OR coalesce(o.last_payload_hash = sg.payload_hash, false) AS ex
+  FROM o JOIN sg ON o.protocol = sg.protocol AND o.direction = sg.direction
+  WHERE coalesce(o.payload_hash = sg.payload_hash, false) OR coalesce(o.last_payload_hash = sg.payload_hash, false)
+    OR ((coalesce(o.payload_prefix_hash = sg.payload_prefix_hash, false) OR coalesce(bit_count(xor(
+          ('0x' || o.payload_simhash)::UBIGINT, ('0x' || sg.payload_simhash)::UBIGINT)) <= 8, false))
+      AND abs(o.payload_length - sg.payload_length) <= greatest(16, round_even(sg.payload_length * 0.15, 0))
+      AND abs(o.payload_entropy - sg.payload_entropy) <= 0.75))) WHERE ex = best)"""
+EVIDENCE_HOSTS = f"""{ctes(*G, GAP_CTE, EV_CTE, SIG_MATCHES)},
+bq AS (SELECT cand, CASE WHEN median(mean) >= 5 THEN round_even(median(mean) / 5, 0) * 5 ELSE median(mean) END AS period
+  FROM iv WHERE n >= 5 AND mean > 0 AND cv <= 0.30 GROUP BY cand),
+own AS (
+  SELECT cand, host, 'NON_WELL_KNOWN_PORT' AS type FROM g WHERE sport > 1023
+  UNION ALL SELECT iv.cand, iv.host, 'PERIODIC_BEACON' FROM iv JOIN bq USING (cand)
+    WHERE n >= 5 AND mean > 0 AND cv <= 0.30 AND abs(mean - period) / period <= 0.30
+  UNION ALL SELECT cand, host, 'COMMAND_ATTACK_CORRELATION' FROM g WHERE direction = 'INBOUND'
+  UNION ALL SELECT cand, host, 'TCP_SESSION_QUALITY' FROM conn WHERE NOT supp AND meta AND qual
+  UNION ALL SELECT cand, host, 'SYNCHRONIZED_COMMUNICATION' FROM (
+    SELECT cand, unnest(hs) AS host FROM (SELECT cand, floor(ts_us / 2e6) AS b, list(DISTINCT host) AS hs FROM g GROUP BY ALL) WHERE len(hs) >= 3))
+SELECT DISTINCT ev.candidate_ip, ev.type, '' AS evidence_key, own.host AS host_ip FROM ev JOIN own ON own.cand = ev.candidate_ip AND own.type = ev.type
+UNION ALL SELECT DISTINCT ev.candidate_ip, ev.type, '', g.host FROM ev JOIN g ON g.cand = ev.candidate_ip
+  WHERE ev.type <> 'ANALYST_PAYLOAD_SIGNATURE' AND ev.type NOT IN ('NON_WELL_KNOWN_PORT', 'PERIODIC_BEACON', 'COMMAND_ATTACK_CORRELATION', 'TCP_SESSION_QUALITY', 'SYNCHRONIZED_COMMUNICATION')
+UNION ALL SELECT DISTINCT cand, 'ANALYST_PAYLOAD_SIGNATURE', id, host FROM sm"""
+
 # Bytes as hex pairs; FNV-1a over three bytes modulo 2^64; a bit is set by half of the shingles or more.
 _STEP = "(xor(({h})::UBIGINT, {b}::UBIGINT)::HUGEINT * 1099511628211) % 18446744073709551616"
 _H1 = _STEP.format(h="14695981039346656037", b="b1")
@@ -320,6 +346,9 @@ SELECT candidate_ip, rec AS recommendation, CASE WHEN rec = 'DETECTOR_WEIGHT' TH
 SELECT candidate_ip, type AS evidence_type, detector, CAST(wt AS DOUBLE) AS current_weight,
   round(least(cap * 2, least(cap, tot) * wtot / tot) * contribution / tot, 2) AS weighted_contribution FROM w""",
         "weighted_scores": f"{ctes(*SCORED, score_ctes('ev', '', CUSTOM_W, 'ws'))} SELECT candidate_ip, score FROM ws",
+        "evidence_hosts": EVIDENCE_HOSTS,
+        "comparison_rows": f"""{ctes(*O, SIG_MATCHES)} SELECT cand AS candidate_ip, id AS evidence_key, CASE WHEN ex THEN 'EXACT' ELSE 'STRUCTURAL' END AS mode,
+  count(*) AS flows, min(ts_us) AS first_us FROM sm GROUP BY ALL""",
         "flow_summary": f"""{ctes(*TOUCHED)} SELECT candidate_ip, count(*) AS flow_count, CAST(sum(packet_count) AS BIGINT) AS packet_count, CAST(sum(total_bytes) AS BIGINT) AS total_bytes,
   min(ts_us) AS first_us, max(ts_us) AS last_us, count(*) FILTER (WHERE direction = 'INBOUND') AS inbound, count(*) FILTER (WHERE protocol = 'TCP') AS tcp FROM tc GROUP BY 1""",
         "protocol_values": f"""{ctes(*TOUCHED)}, v AS (SELECT DISTINCT candidate_ip, kind, value FROM (SELECT candidate_ip, 'domain' AS kind, domain AS value FROM tc

@@ -13,6 +13,7 @@ from netsift.operators import packets as pk
 from netsift.operators import review as rv
 from netsift.operators import traffic as tr
 from netsift.operators.roles import classify_direction
+from netsift.operators.detectors.signature import comparison_rows
 from netsift.plans import bundle, dashboard, evaluation, guidance, prefilter, triage
 from netsift.plans.detection import evidence_hosts
 from netsift.plans.registry import DetectorRegistry, evidence_problems
@@ -424,7 +425,13 @@ def q_weighted(spark, sf):
 def q_evidence_hosts(spark, sf):
     ctx = context(spark, sf)
     hosts = evidence_hosts(ctx, evidence_table(ctx))
-    return hosts.groupBy("type").agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("host_ip").alias("hosts"))
+    return hosts.select("candidate_ip", "type", F.coalesce("evidence_key", F.lit("")).alias("evidence_key"), "host_ip")
+
+
+def q_comparison_rows(spark, sf):
+    rows = comparison_rows(context(spark, sf).signature_matches)
+    return rows.groupBy("candidate_ip", F.col("sig_id").alias("evidence_key"), "mode").agg(
+        F.sum("n").alias("flows"), F.min("first_us").alias("first_us"))
 
 
 def q_flow_summary(spark, sf):
@@ -642,7 +649,7 @@ def more_queries() -> dict:
         "packet_export": q_export, "flow_validation": q_validation, "confusion_matrix": q_evaluate,
         "model_ranking": q_rank_models, "policy_backtest": q_backtest, "recall_at_k": q_recall,
         "known_ranks": q_known_ranks, "guidance_weights": q_guidance_weights, "guidance": q_guidance,
-        "condition_breakdown": q_conditions, "weighted_scores": q_weighted, "evidence_hosts": q_evidence_hosts,
+        "condition_breakdown": q_conditions, "weighted_scores": q_weighted, "evidence_hosts": q_evidence_hosts, "comparison_rows": q_comparison_rows,
         "flow_summary": q_flow_summary, "protocol_values": q_protocol_values, "tcp_flag_totals": q_tcp_flags,
         "data_quality": q_data_quality, "evidence_bundles": q_bundles, "evidence_check": q_evidence_check,
         "custom_detector": q_custom, "retention_filter": q_retention, "dataset_counts": q_dataset_counts,
