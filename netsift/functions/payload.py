@@ -128,12 +128,10 @@ def simhash_bands(col: Column | str, bands: Column | int) -> Column:
     )
 
 
-@F.pandas_udf(T.StringType())
-def payload_ascii(samples: pd.Series) -> pd.Series:
+def payload_ascii(sample: Column | str) -> Column:
     """Readable rendering of hex bytes: printable as is, CR/LF/TAB escaped, a dot otherwise."""
-    table = {i: chr(i) if 0x20 <= i <= 0x7E else "." for i in range(256)}
-    table |= {13: "\\r", 10: "\\n", 9: "\\t"}
-    text = {i: table[i] for i in range(256)}
-    return samples.map(
-        lambda h: None if h is None else "".join(text[b] for b in bytes.fromhex(h))
-    )
+    text = F.decode(F.unhex(sample), "ISO-8859-1")
+    shown = F.regexp_replace(text, r"[^\x20-\x7E\r\n\t]", ".")
+    for raw, escaped in (("\r", "\\r"), ("\n", "\\n"), ("\t", "\\t")):
+        shown = F.replace(shown, F.lit(raw), F.lit(escaped))
+    return shown

@@ -32,7 +32,10 @@ FLAGS = ("fin", "syn", "rst", "psh", "ack", "urg", "ece", "cwr")
 
 def packet_fingerprint(bucket_ms: int = 10) -> Column:
     bucket = F.floor(F.floor(F.col("ts_us") / 1000) / bucket_ms)
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in IDENTITY]
+    # A value starts with "=", so a missing one differs from an empty one.
+    parts = [
+        F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in IDENTITY
+    ]
     return F.sha2(F.concat_ws("|", *parts, bucket.cast("string")), 256)
 
 
@@ -170,13 +173,11 @@ def mark_bidirectional(flows: DataFrame, idle_seconds: int = 60) -> DataFrame:
     slots = F.explode(
         F.sequence(F.floor(F.col("ts_us") / slot_us), F.floor((F.col("end_us") + idle) / slot_us))
     )
-    ident = F.xxhash64(*FLOW_KEY, "ts_us")
     mine = flows.select(
         "sensor_id", "ip_version", "protocol", F.col("direction").alias("d"),
         F.col("source_ip").alias("a"), port("source_port").alias("ap"),
         F.col("destination_ip").alias("b"), port("destination_port").alias("bp"),
-        F.col("ts_us").alias("t0"), F.col("end_us").alias("t1"), ident.alias("fid"),
-        slots.alias("slot"),
+        F.col("ts_us").alias("t0"), F.col("end_us").alias("t1"), slots.alias("slot"),
     )
     other = flows.select(
         "sensor_id", "ip_version", "protocol", flip.alias("d"),
@@ -186,12 +187,17 @@ def mark_bidirectional(flows: DataFrame, idle_seconds: int = 60) -> DataFrame:
     )
     # A packet of either flow arrives while the other is active.
     meets = (F.col("u0") < F.col("t1") + idle) & (F.col("t0") < F.col("u1") + idle)
-    paired = mine.join(other, key).filter(meets).select("fid").distinct()
-    return (
-        flows.withColumn("fid", ident)
-        .join(paired.withColumn("bidirectional", F.lit(True)), "fid", "left")
-        .withColumn("bidirectional", F.coalesce("bidirectional", F.lit(False)))
-        .drop("fid")
+    # A flow is known by its whole key and start; a hash of them could flag another flow.
+    whole = ["sensor_id", "ip_version", "protocol", "d", "a", "ap", "b", "bp", "t0"]
+    paired = mine.join(other, key).filter(meets).select(*[F.col(c).alias(f"__{c}") for c in whole])
+    named = {"d": F.col("direction"), "a": F.col("source_ip"), "ap": port("source_port"),
+             "b": F.col("destination_ip"), "bp": port("destination_port"), "t0": F.col("ts_us")}
+    same = [named.get(c, F.col(c)) == F.col(f"__{c}") for c in whole]
+    marked = flows.drop("bidirectional").join(
+        paired.distinct().withColumn("__both", F.lit(True)), same, "left"
+    )
+    return marked.withColumn("bidirectional", F.coalesce("__both", F.lit(False))).drop(
+        "__both", *[f"__{c}" for c in whole]
     )
 
 

@@ -87,16 +87,36 @@ def sessions_stream(packets: DataFrame, idle_seconds: int = 60, delay: str = LAT
 def sync_windows_stream(
     flows: DataFrame, offsets: DataFrame | None = None, window: str = "2 seconds", delay: str = LATE
 ) -> DataFrame:
-    """Distinct hosts per candidate and tumbling window, on times corrected by sensor offsets."""
+    """Exact distinct hosts per candidate and tumbling window, on times corrected by sensor offsets.
+
+    Hosts are states of their own first, so a window with very many hosts is spread out; a second
+    aggregation counts them. The rule of at least three hosts is the reader's filter on ``hosts``.
+    """
     rows = orient(flows)
     if offsets is not None:
         rows = corrected_stream(rows, offsets)
     per_host = rows.withWatermark("timestamp", delay).groupBy(
-        "candidate_ip", F.window("timestamp", window).alias("w")
+        "candidate_ip", "host_ip", F.window("timestamp", window).alias("w")
+    ).agg(F.count(F.lit(1)).alias("n"))
+    return (
+        per_host.groupBy("candidate_ip", F.window("w", window).alias("w"))
+        .agg(F.count(F.lit(1)).alias("hosts"), F.sum("n").alias("flows"))
+        .select("candidate_ip", F.col("w.start").alias("start"), "hosts", "flows")
     )
-    return per_host.agg(
-        F.approx_count_distinct("host_ip", 0.01).alias("hosts"), F.count(F.lit(1)).alias("flows")
-    ).select("candidate_ip", F.col("w.start").alias("start"), "hosts", "flows")
+
+
+def write_closing_row(rows: DataFrame, folder: str) -> None:
+    """One row a year after the others, as a file of its own.
+
+    Event-time operators emit what the watermark has passed. A finished source that ends with such
+    a row gives its last windows and sessions too; the row's own window stays open.
+    """
+    last = rows.agg(F.max("timestamp")).scalar()
+    one = rows.filter(F.col("direction").isin("INBOUND", "OUTBOUND")).limit(1)
+    closing = one.withColumn("timestamp", last + F.make_dt_interval(F.lit(365)))
+    if "ts_us" in rows.columns:
+        closing = closing.withColumn("ts_us", F.unix_micros("timestamp"))
+    closing.select(*rows.columns).coalesce(1).write.parquet(folder)
 
 
 def corrected_stream(flows: DataFrame, offsets: DataFrame) -> DataFrame:

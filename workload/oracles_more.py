@@ -387,12 +387,12 @@ ORDER BY last_heartbeat_at DESC, sensor_id LIMIT 40""",
         "enrichment_selection": f"""{ctes(*SCORED)} SELECT candidate_ip, score FROM scored ORDER BY score DESC, candidate_ip LIMIT 15""",
         "verdict_history": f"""{ctes(DEC)} SELECT candidate_id, id, verdict, CAST(row_number() OVER (PARTITION BY candidate_id ORDER BY created_at, id) AS INT) AS position
 FROM dd WHERE confidence IN ('CONFIRMED', 'HIGH', 'MEDIUM', 'LOW') AND note <> '' AND created_at LIKE '%Z'""",
-        "stream_sync_windows": f"""{ctes(*O).replace(f"WHERE ts_us BETWEEN {START_US} AND {END_US}", "")}, w AS (SELECT cand, floor(ts_us / 2e6) AS b, count(*) AS c FROM o GROUP BY 1, 2)
-SELECT cand AS candidate_ip, count(*) AS windows, CAST(sum(c) AS BIGINT) AS flows FROM w WHERE (b + 1) * 2000000 <= (SELECT max(ts_us) FROM f) - 1000000 GROUP BY 1""",
+        "stream_sync_windows": f"""{ctes(*O).replace(f"WHERE ts_us BETWEEN {START_US} AND {END_US}", "")} SELECT cand AS candidate_ip, CAST(floor(ts_us / 2e6) AS BIGINT) * 2000000 AS start_us,
+  count(DISTINCT host) AS hosts, count(*) AS flows FROM o GROUP BY 1, 2""",
         "simhash_distance": f"""{ctes(F_CTE, S_CTE)} SELECT CAST(bit_count(xor(('0x' || payload_simhash)::UBIGINT, ('0x' || 'e627bf19152d67b3')::UBIGINT)) AS INT) AS distance, count(*) AS n
 FROM s WHERE payload_simhash IS NOT NULL GROUP BY 1""",
-        "stream_sessionize": f"""{ctes(F_CTE, PKF)} SELECT protocol, count(*) AS flows, CAST(sum(packet_count) AS BIGINT) AS packets FROM pkf
-WHERE end_us + 59999999 <= (SELECT max(ts_us) FROM f) - 1000000 GROUP BY 1""",
+        "stream_sessionize": f"""{ctes(F_CTE, PKF)} SELECT sensor_id, direction, source_ip, destination_ip, source_port, destination_port, protocol,
+  ts_us AS first_us, end_us AS last_us, packet_count, total_bytes, b0 AS min_size, b1 AS max_size FROM pkf""",
         "stream_dedup": f"""{ctes(F_CTE)} SELECT sensor_id, count(DISTINCT (CAST(floor(flow_no / 100) AS BIGINT), flow_no % 50)) AS n FROM f GROUP BY 1""",
     }
     return p

@@ -592,8 +592,8 @@ def q_history(spark, sf):
 
 
 def q_stream_windows(spark, sf):
-    out = _run_stream(spark, st.sync_windows_stream(flow_stream(spark, sf), window="2 seconds", delay="1 second"), "append")
-    return out.groupBy("candidate_ip").agg(F.count(F.lit(1)).alias("windows"), F.sum("flows").alias("flows"))
+    out = _run_stream(spark, st.sync_windows_stream(closed_stream(spark, sf), window="2 seconds", delay="1 second"), "append")
+    return out.select("candidate_ip", us("start", "start_us"), "hosts", "flows")
 
 
 def q_simhash_distance(spark, sf):
@@ -617,9 +617,19 @@ def flow_stream(spark, sf):
     return spark.readStream.schema(batch.schema).parquet(path)
 
 
+def closed_stream(spark, sf):
+    """The flows and a closing row, so that the last windows and sessions come out."""
+    batch = flows(spark, sf)
+    path = batch.inputFiles()[0].rsplit("/", 1)[0]
+    end = f"{shared_dir(spark)}/netsift/end-{uuid.uuid4().hex}"
+    st.write_closing_row(batch, end)
+    base, rest = path.rsplit("/", 1)
+    return spark.readStream.schema(batch.schema).parquet(f"{base}/{{{rest},{end.rsplit('/', 1)[1]}}}")
+
+
 def q_stream_sessions(spark, sf):
-    out = _run_stream(spark, st.sessions_stream(flow_stream(spark, sf), 60, "1 second"), "append")
-    return out.groupBy("protocol").agg(F.count(F.lit(1)).alias("flows"), F.sum("packet_count").alias("packets"))
+    out = _run_stream(spark, st.sessions_stream(closed_stream(spark, sf), 60, "1 second"), "append")
+    return out.select(*st.SESSION_KEY, us("first_seen", "first_us"), us("last_seen", "last_us"), "packet_count", "total_bytes", "min_size", "max_size")
 
 
 def q_stream_dedup(spark, sf):
