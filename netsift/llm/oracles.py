@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from netsift.llm.line_rules import BOILERPLATE, ENDS
+
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
 OP4 = rf"""
@@ -70,6 +72,45 @@ SELECT page_id, host, path, b.rule AS rule, CASE WHEN b.allow IS NULL OR b.allow
 FROM q LEFT JOIN best USING (host, path)
 """
 
+# All pairs in double precision, components by repeated steps to the smallest reachable id.
+OP2 = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+u AS (SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS norm FROM v
+  WHERE x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+n AS (SELECT vec_id, list_transform(x, lambda c: c / norm) AS x FROM u WHERE norm > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_dot_product(a.x, b.x) >= 0.9),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.vec_id) AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v JOIN c USING (vec_id)
+"""
+
+_SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_MARKS = "len(s) - len(translate(s, '#*$%&|<>', ''))"
+_SHORT = " OR ".join(f"contains(lower(s), '{x}')" for x in BOILERPLATE)
+OP10 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+u AS (SELECT r, unnest(ws) AS a, generate_subscripts(ws, 1) AS i FROM w),
+g AS (SELECT r, i, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM u WINDOW o AS (PARTITION BY r ORDER BY i)),
+h AS (SELECT r, i, c IS NOT NULL AND count(*) OVER (PARTITION BY r, a, b, c) > 1 AS hit FROM g),
+rep AS (SELECT r, count(*) FILTER (near) AS n_repeat_words
+  FROM (SELECT r, bool_or(hit) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS near FROM h) GROUP BY r),
+l AS (SELECT r, line, count(*) AS k, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+    regexp_replace(line, '^{_SPACE}+|{_SPACE}+$', '', 'g') AS s
+  FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) GROUP BY ALL),
+j AS (SELECT r, k, n, s <> '' AND (len(regexp_extract_all(s, '{_SPACE}[|»›·>]{_SPACE}|{_SPACE}\|$')) >= 2
+    OR (n < 30 AND ({_SHORT})) OR {_MARKS} > 0.3::DOUBLE * n OR (n < 30 AND NOT contains('{ENDS.replace("'", "''")}', right(s, 1)))) AS bad FROM l WHERE n > 0),
+x AS (SELECT r, sum(k - 1) AS dups, coalesce(sum(k) FILTER (bad), 0) AS gone, coalesce(sum(k * n) FILTER (bad), 0) AS lost FROM j GROUP BY r),
+m AS (SELECT doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+    length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, coalesce(dups, 0)::BIGINT AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(gone, 0)::BIGINT AS lines_removed, coalesce(lost, 0)::BIGINT AS words_lost
+  FROM w LEFT JOIN rep USING (r) LEFT JOIN x USING (r))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND words_lost <= 0.4::DOUBLE * n_words AS kept FROM m
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mix": OP4, "op5_preference_format": OP5, "op9_url_filter": OP9}
+    return {"op2_embedding_neardup": OP2, "op10_quality_rules": OP10, "op4_source_mix": OP4, "op5_preference_format": OP5, "op9_url_filter": OP9}
