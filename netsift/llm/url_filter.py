@@ -58,7 +58,10 @@ def _links(pages: DataFrame) -> DataFrame:
     target = lambda t: F.when(t.rlike(r"""(?is)\brel\s*=\s*["']?canonical\b"""), href(t)).when(
         t.rlike(r"""(?is)\bhttp-equiv\s*=\s*["']?refresh\b"""), goes(t)
     )
-    full = lambda u: F.when(u.startswith("/"), F.concat(F.regexp_extract("url", r"(?s)^.*?://[^/?#]*", 0), u)).otherwise(u)
+    scheme = F.regexp_extract("url", r"(?s)^(.*?:)//", 1)
+    full = lambda u: F.when(u.startswith("//"), F.concat(scheme, u)).when(
+        u.startswith("/"), F.concat(F.regexp_extract("url", r"(?s)^.*?://[^/?#]*", 0), u)
+    ).otherwise(u)
     told = F.transform(tags, lambda t: full(target(t)))
     plain = F.regexp_replace(F.regexp_replace("url", r"(?s)#.*$", ""), r"^(?i)http://", "https://")
     found = pages.where("url IS NOT NULL").select(F.col("url").alias("a"), F.explode(F.array_append(F.coalesce(told, F.array().cast("array<string>")), plain)).alias("b"))

@@ -131,8 +131,9 @@ def test_vector_links(spark):
     edges = brute_links(vectors, 0.9)
     degree = Counter(n for e in edges for n in e)
     group = groups_of(edges, [i for i, _ in vectors])
-    got = hnsw_links.linked_vectors(frame, block_rows=128, shards=4).collect()
-    assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in got} == {(i, degree[i], group[i], group[i] == i) for i, _ in vectors}
+    for block_rows in (128, 16):  # 16: several blocks in one unit of work
+        got = hnsw_links.linked_vectors(frame, block_rows=block_rows, shards=4).collect()
+        assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in got} == {(i, degree[i], group[i], group[i] == i) for i, _ in vectors}
     assert not rows(hnsw_links.linked_vectors(frame.limit(0)))
 
 
@@ -387,6 +388,8 @@ def test_url_equivalence(spark):
         (9, "http://example.net", "<p>"),
         (10, "https://a.com/1#top", None),  # plain form of 2 by way of https
         (10, "https://a.com/1#top", None),
+        (11, "https://d.com/1", canonical.format("//b.net/2")),  # address without a scheme
+        (12, "https://d.com/2", refresh.format("/1")),  # path on the same host
     ]
     frame = spark.createDataFrame([(*p, "z") for p in pages], "page_id bigint, url string, html string, rule string")
     got = {r[0]: r[1:] for r in rows(url_filter.url_verdicts(frame, url_filter.rules_frame(spark)))}
@@ -394,7 +397,7 @@ def test_url_equivalence(spark):
         1: ("a.net", "/x", "net/", "block"), 2: ("a.com", "/1", None, "block"), 3: ("a.com", "/3", None, "allow"),
         4: ("a.com", "/5", None, "allow"), 5: ("example.com", "/de/5", "example.com/de/", "block"), 6: ("", "", None, "allow"),
         7: ("", "", None, "allow"), 8: ("deep.sub.org", "/fr/x", "org/fr/", "allow"), 9: ("example.net", "", None, "allow"),
-        10: ("a.com", "/1", None, "block"),
+        10: ("a.com", "/1", None, "block"), 11: ("d.com", "/1", None, "block"), 12: ("d.com", "/2", None, "block"),
     }
     assert url_filter.url_verdicts(frame, url_filter.rules_frame(spark)).count() == len(pages)
     assert not rows(url_filter.url_verdicts(frame.limit(0), url_filter.rules_frame(spark)))
