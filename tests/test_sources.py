@@ -129,7 +129,7 @@ def test_bundle_reduction_and_checks(spark):
     cands = spark.createDataFrame([("203.0.113.5", 50, "MEDIUM")], "candidate_ip string, score int, severity string")
     sums = spark.createDataFrame([("203.0.113.5", 1, 2, 3)], "candidate_ip string, flow_count bigint, packet_count bigint, total_bytes bigint")
     full = bundle.evidence_bundle(cands, ev, sums).first()
-    assert len(full.evidence_ids) == 50 and full.evidence_ids[0] == "E-001" and not full.reduced
+    assert len(full.evidence_ids) == 60 and full.evidence_ids[0] == "E-001" and not full.reduced
     small = bundle.evidence_bundle(cands, ev, sums, 1000)
     row = small.first()
     assert row.reduced and row.estimated_tokens <= 1000 and len(row.evidence_ids) < 20

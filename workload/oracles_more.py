@@ -353,7 +353,7 @@ SELECT candidate_ip, type AS evidence_type, detector, CAST(wt AS DOUBLE) AS curr
   min(ts_us) AS first_us, max(ts_us) AS last_us, count(*) FILTER (WHERE direction = 'INBOUND') AS inbound, count(*) FILTER (WHERE protocol = 'TCP') AS tcp FROM tc GROUP BY 1""",
         "protocol_values": f"""{ctes(*TOUCHED)}, v AS (SELECT DISTINCT candidate_ip, kind, value FROM (SELECT candidate_ip, 'domain' AS kind, domain AS value FROM tc
    UNION ALL SELECT candidate_ip, 'tls_fingerprint', tls_fingerprint FROM tc UNION ALL SELECT candidate_ip, 'certificate_fingerprint', certificate_fingerprint FROM tc) WHERE value <> '')
-SELECT candidate_ip, kind, CAST(position AS INT) AS position, value FROM (SELECT *, row_number() OVER (PARTITION BY candidate_ip, kind ORDER BY value) AS position FROM v) WHERE position <= 100""",
+SELECT candidate_ip, kind, CAST(position AS INT) AS position, value FROM (SELECT *, row_number() OVER (PARTITION BY candidate_ip, kind ORDER BY value) AS position FROM v)""",
         "tcp_flag_totals": f"""{ctes(*TOUCHED)} SELECT candidate_ip, flag, CAST(sum(n) AS BIGINT) AS total FROM (SELECT candidate_ip, 'syn' AS flag, tcp_syn_count AS n FROM tc WHERE tcp_flags_observed
   UNION ALL SELECT candidate_ip, 'ack', tcp_ack_count FROM tc WHERE tcp_flags_observed UNION ALL SELECT candidate_ip, 'rst', 0 FROM tc WHERE tcp_flags_observed) GROUP BY 1, 2""",
         "data_quality": f"""{ctes(F_CTE)} SELECT count(*) AS source_flow_count, CAST(0 AS BIGINT) AS flows_missing_timestamp,
