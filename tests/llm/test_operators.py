@@ -137,6 +137,45 @@ def test_vector_links(spark):
     assert not rows(hnsw_links.linked_vectors(frame.limit(0)))
 
 
+def unit_vectors(groups, others, width=32, seed=5):
+    """Normalised vectors in random order: near copies in groups of these sizes, and others."""
+    r = np.random.default_rng(seed)
+    x = np.concatenate([r.normal(size=width) + 0.02 * r.normal(size=(k, width)) for k in groups] + [r.normal(size=(others, width))])
+    x = x[r.permutation(len(x))].astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("others", [60, 600, 4000])
+def test_graph_answers_at_every_shard_size(others):
+    x = unit_vectors((120, 70, 5, 2), others)
+    q, at, _, recall, whole = hnsw_links.audited_links(x, hnsw_links.build_graph(x), x, 0.9, 48, 256, 0.98)
+    assert recall >= 0.98 and whole == 0
+    true = {tuple(p) for p in np.argwhere(x @ x.T >= 0.9 - 1e-4)}
+    found = set(zip(q.tolist(), at.tolist(), strict=True))
+    assert found <= true and len(found) >= 0.98 * len(true)
+
+
+def test_failed_audit_of_a_dense_group_is_found():
+    x = unit_vectors((300,), 4000)
+    near = x @ x.T >= 0.9 - 1e-4
+    group = np.flatnonzero(near.sum(1) > 48)
+    rows, adjacency = (layers := hnsw_links.build_graph(x))[-1]
+    lost = group[-60:]  # nothing leads to these any more
+    layers[-1] = rows, np.where(np.isin(adjacency, lost), -1, adjacency)
+    q, at, _, _, whole = hnsw_links.audited_links(x, layers, x, 0.9, 48, 256, 0.98)
+    assert whole == len(group)
+    assert near[group].sum() == np.isin(q, group).sum() and near[q, at].all()
+
+
+def test_vector_links_in_large_shards_and_groups(spark):
+    x = unit_vectors((120, 60), 3300)
+    near = x.astype(float) @ x.T.astype(float) >= 0.9
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    got = {r.vec_id: r for r in hnsw_links.linked_vectors(frame, shards=1).collect()}
+    assert [got[i].n_links for i in range(len(x))] == (near.sum(1) - 1).tolist()
+    assert [got[i].component_id for i in range(len(x))] == [int(np.flatnonzero(row)[0]) for row in near]
+
+
 def test_graph_search_recall():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(6000, 32)).astype(np.float32)
