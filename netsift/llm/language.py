@@ -1,10 +1,11 @@
 """Language identification by words first, then shorter and shorter character n-grams.
 
 Training counts every word of every training document per language, and the n-grams (with word
-boundary marks) of those words, all in Spark. The model keeps, per language, the most frequent words
-and n-grams of each length up to a stated number, so its size is bounded by languages times that
-number. A word the model knows is scored by its log frequency in each language; any other word falls
-back to the mean log frequency of its known 4-grams, else of its 3-grams, 2-grams or letters.
+boundary marks) of those words, all in Spark. The model keeps the words and n-grams of each length that
+are among the most frequent of any language up to a stated number, with their counts in every language,
+so its size is bounded by languages times that number. A seen word is scored by its log frequency in each
+language, in a join with the full counts if the model has no room for it; any other word falls back to
+the mean log frequency of its known 4-grams, else of its 3-grams, 2-grams or letters.
 """
 
 from __future__ import annotations
@@ -15,12 +16,11 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netsift.llm.common import docs_of
+from netsift.llm.common import docs_of, free_name, salted_join, text_digest
 from netsift.session import materialize
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -72,8 +72,14 @@ def language_model(
     training: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS
 ) -> dict:
     """The model learned from ``training`` (lang, text); rows with a null in either are ignored. Per
-    language and order the grams at or above a count are kept, the count being the smallest power of
-    two's that leaves at most ``max_words`` or ``max_grams`` of them."""
+    order the grams are kept that any language has at or above a count, the count being the smallest
+    power of two's that leaves at most ``max_words`` or ``max_grams`` of them in that language. A kept
+    gram has its counts in every language."""
+    return _learned(training, max_words, max_grams)[0]
+
+
+def _learned(training: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> tuple[dict, DataFrame | None]:
+    """The model, and the scores (word, s0, s1, ...) of all seen words it has no room for."""
     rows = docs_of(training, "lang", "text").where("lang IS NOT NULL AND text IS NOT NULL")
     counted = materialize(
         rows.mapInArrow(_counts, "lang string, n int, gram string, times bigint")
@@ -103,10 +109,11 @@ def language_model(
     langs = sorted({lang for lang, _ in totals})
     model: dict = {"langs": langs, "tables": {}, "scores": None, "prior": None}
     if not langs:
-        return model
+        return model, None
     limit = counted.sparkSession.createDataFrame(bounds, "lang string, n int, least int")
-    kept = counted.join(F.broadcast(limit), ["lang", "n"]).where(step >= F.col("least")).select("lang", "n", "gram", "times")
-    for r in kept.toLocalIterator():
+    grams = counted.join(F.broadcast(limit), ["lang", "n"]).where(step >= F.col("least")).select("n", "gram").distinct()
+    grams = materialize(grams, "language-grams")
+    for r in counted.join(grams, ["n", "gram"], "left_semi").toLocalIterator():
         table = model["tables"].setdefault(r["n"], {})
         if r["gram"] not in table:
             table[r["gram"]] = [0] * len(langs)
@@ -123,7 +130,13 @@ def language_model(
     model["scores"] = np.concatenate(blocks)
     words = np.array([totals.get((lang, 0), 0) for lang in langs], float)
     model["prior"] = int(words.argmax())
-    return model
+    beyond = counted.where("n = 0").join(grams.where("n = 0"), "gram", "left_anti").groupBy(F.col("gram").alias("word")).agg(
+        *[F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("times"))), F.lit(0)).alias(f"s{i}") for i, lang in enumerate(langs)]
+    )
+    size = [float(np.log(totals.get((lang, 0), 0) + 0.1 * kinds.get((lang, 0), 0) + 1)) for lang in langs]
+    beyond = beyond.select("word", *[(F.log(F.col(f"s{i}") + 0.1) - size[i]).alias(f"s{i}") for i in range(len(langs))])
+    top = F.array_max(F.array(*[F.col(f"s{i}") for i in range(len(langs))]))
+    return model, beyond.select("word", *[(F.col(f"s{i}") - top).alias(f"s{i}") for i in range(len(langs))])
 
 
 class Identifier:
@@ -195,20 +208,91 @@ def identify(model: dict, text: str | None) -> tuple[str, float]:
     return Identifier(model)([text])[0]
 
 
-def with_language(documents: DataFrame, model: dict) -> DataFrame:
-    """``documents`` with the columns lang_pred and lang_score, from the whole text alone. Columns of
-    these names are replaced."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+def _text_verdicts(keyed: DataFrame, model: dict, beyond: DataFrame) -> DataFrame:
+    """(key, lang_pred, lang_score) of each distinct text with a letter of ``keyed`` (key, text).
+
+    Words of the model are summed where the text is. The others of a text leave it as (key, word, times)
+    and meet their scores, of the counts if they were seen and of shorter grams if not, in a join."""
+    langs = model["langs"]
+    k = len(langs)
+    shared = keyed.sparkSession.sparkContext.broadcast(model)
+    scores = [f"s{i}" for i in range(k)]
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole, table = shared.value["tables"].get(0, {}), shared.value["scores"]
+        table = table - table.max(1, keepdims=True)
+        for batch in batches:
+            key, word, times, sums = [], [], [], []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = Counter(LETTERS.findall(text.as_py().lower()))
+                if not words:
+                    continue
+                own = [(whole[w], n) for w, n in words.items() if w in whole]
+                at, many = np.array(own, int).reshape(-1, 2).T
+                key.append(name)
+                word.append(None)
+                times.append(int(many.sum()))
+                sums.append(many @ table[at])
+                for w, n in words.items():
+                    if w not in whole:
+                        key.append(name)
+                        word.append(w)
+                        times.append(n)
+                        sums.append(None)
+            lists = [pa.array([None if x is None else x[i] for x in sums], pa.float64()) for i in range(k)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key, pa.binary()), pa.array(word, pa.string()), pa.array(times, pa.int64()), *lists],
+                names=["key", "word", "times", *scores],
+            )
+
+    columns = ", ".join(f"{c} double" for c in scores)
+    told = materialize(keyed.mapInArrow(spread, f"key binary, word string, times bigint, {columns}"), "language-words")
+
+    def shorter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            one = Identifier(shared.value)
+            if words:
+                one._learn(words)
+            got = one.known if words else np.empty((0, k + 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(got[:, i]) for i in range(k + 1)]], names=["word", *scores, "known"])
+
+    open_words = told.where("word IS NOT NULL")
+    unseen = open_words.select("word").distinct().join(beyond, "word", "left_anti")
+    unseen = unseen.mapInArrow(shorter, f"word string, {columns}, known double")
+    by_word = beyond.withColumn("known", F.lit(1.0)).unionByName(unseen)
+    met = open_words.select("key", "word", "times").join(by_word, "word").select(
+        "key", F.lit(0).alias("copies"), (F.col("times") * F.col("known")).alias("known"), *[(F.col("times") * F.col(c)).alias(c) for c in scores]
+    )
+    own = told.where("word IS NULL").select("key", F.lit(1).alias("copies"), F.col("times").cast("double").alias("known"), *scores)
+    total = own.unionByName(met).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("copies", "known", *scores)])
+    n = F.col("known") / F.col("copies")  # equal texts share a key
+    mean = F.array(*[F.col(c) / F.col("known") * F.least(n, F.lit(16.0)) for c in scores])
+    total = total.withColumn("mean", F.when(F.col("known") > 0, mean)).withColumn("top", F.array_max("mean"))
+    best = F.array_position("mean", F.col("top"))
+    share = 1 / F.aggregate("mean", F.lit(0.0), lambda a, m: a + F.exp(m - F.col("top")))
+    names = F.array(*[F.lit(lang) for lang in langs])
+    return total.select(
+        "key",
+        F.coalesce(F.get(names, (best - 1).cast("int")), F.lit(langs[model["prior"]])).alias("lang_pred"),
+        F.coalesce(share, F.lit(1.0 / k)).alias("lang_score"),
+    )
 
-    @F.pandas_udf("lang string, score double")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        told = Identifier(shared.value)
-        for texts in batches:
-            got = [x for lo in range(0, len(texts), 500) for x in told(texts.iloc[lo : lo + 500].tolist())]
-            yield pd.DataFrame(got, columns=["lang", "score"])
 
-    both = documents.withColumn("lang_pred", predict("text"))
-    return both.withColumn("lang_score", F.col("lang_pred.score")).withColumn("lang_pred", F.col("lang_pred.lang"))
+def with_language(documents: DataFrame, model: dict, beyond: DataFrame | None, spread: str) -> DataFrame:
+    """``documents`` with the columns lang_pred and lang_score, from the whole text alone. Columns of
+    these names are replaced. Equal texts are dealt over tasks by column ``spread``."""
+    rows = documents.drop("lang_pred", "lang_score")
+    if beyond is None:
+        return rows.withColumn("lang_pred", F.lit(UNKNOWN)).withColumn("lang_score", F.lit(0.0))
+    key = free_name("lang_key", rows.columns)
+    keyed = rows.where("text IS NOT NULL").select(text_digest(F.col("text")).alias("key"), "text")
+    verdicts = materialize(_text_verdicts(keyed, model, beyond), "language-verdicts").withColumnRenamed("key", key)
+    names = rows.columns
+    out = salted_join(rows.withColumn(key, text_digest(F.col("text"))), verdicts, [key], spread, "left", salts=4)
+    return out.select(
+        *names, F.coalesce("lang_pred", F.lit(UNKNOWN)).alias("lang_pred"), F.coalesce("lang_score", F.lit(0.0)).alias("lang_score")
+    )
 
 
 def held_out(doc_id: str) -> Column:
@@ -221,8 +305,8 @@ def language_verdicts(documents: DataFrame, **how) -> DataFrame:
     """Per row: doc_id, held_out, lang_pred, score. The model learns from the documents that are not
     held out and have a lang. Works on empty tables (empty result) and without any lang (all ``und``)."""
     docs = docs_of(documents, "doc_id", "text", "lang")
-    model = language_model(docs.where(~held_out("doc_id")), **how)
-    out = with_language(docs.select("doc_id", "text"), model)
+    learned = _learned(docs.where(~held_out("doc_id")), **how)
+    out = with_language(docs.select("doc_id", "text"), *learned, "doc_id")
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
@@ -231,7 +315,7 @@ def identified_documents(documents: DataFrame, least_score: float = 0.5, **how)
     names = {"lang_pred", "lang_score"}
     clash = [c for c in documents.columns if c.lower() in names]
     held = documents.withColumnsRenamed({c: f"held__{c}" for c in clash})
-    kept = with_language(held, language_model(documents, **how)).where(
+    kept = with_language(held, *_learned(documents, **how), "doc_id").where(
         (F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= least_score)
     )
     return kept.drop("lang_pred", "lang_score").withColumnsRenamed({f"held__{c}": c for c in clash}).select(documents.columns)

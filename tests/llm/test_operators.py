@@ -109,6 +109,22 @@ def test_unseen_words_fall_back_to_shorter_grams(spark):
     assert language.identify(model, "12 34") == ("und", 0.0)
 
 
+def test_seen_words_count_in_every_language_whatever_the_model_holds(spark):
+    big = " ".join(["alpha"] * 64 + ["beta"] * 32 + ["shared"] * 8 + ["rare"] * 2)
+    frame = spark.createDataFrame([(1, "aa", big), (3, "bb", "shared shared shared gamma rarest"), (4, "bb", None), (5, None, "rare"), (6, None, "rare rare shared")], "doc_id int, lang string, text string")
+    small = language.language_model(frame, max_words=2)
+    held = language.language_model(frame)
+    at = small["tables"][0]["shared"]
+    assert small["scores"][at].tolist() == held["scores"][held["tables"][0]["shared"]].tolist()
+    docs = frame.where("doc_id > 0")
+    told = lambda **how: {
+        r.doc_id: (r.lang_pred, round(r.lang_score, 9)) for r in language.with_language(docs, *language._learned(frame, **how), "doc_id").collect()
+    }
+    want = {r.doc_id: (lambda v: (v[0], round(v[1], 9)))(language.identify(held, r.text)) for r in docs.collect()}
+    assert told() == want
+    assert told(max_words=2) == want  # words beyond the model are joined with the full counts
+
+
 def brute_links(vectors, threshold):
     keep = [i for i, v in vectors if v and any(v) and not any(x is None or not np.isfinite(x) for x in v)]
     at = dict(vectors)
