@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netsift.schema import as_flows
 from netsift.session import materialize
 
+#: The flow view begins at START; times grow with the table, so ``last_time`` may lie beyond END.
 START, END = "2024-01-01T00:00:00Z", "2024-02-01T00:00:00Z"
 
 
@@ -148,6 +151,12 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _TABLES[key]
 
 
+def last_time(spark: SparkSession, sf_dir: str) -> str:
+    """The end of the analysis: END, or the time of the latest flow if that is later."""
+    last = flows(spark, sf_dir).agg(F.max("ts_us")).first()[0] or 0
+    return max(END, (datetime(1970, 1, 1, tzinfo=UTC) + timedelta(microseconds=last)).strftime("%Y-%m-%dT%H:%M:%S.%fZ"))
+
+
 def flow_view(spark: SparkSession, events: DataFrame) -> DataFrame:
     """The flow view as an engine input."""
     df = spark.sql(flow_sql("spark", "{events}"), events=events)
