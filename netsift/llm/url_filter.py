@@ -47,6 +47,47 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_after_scheme(url), r"(?s)^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def _plain(url: Column) -> Column:
+    """https and no fragment, scheme and host in lower case."""
+    bare = F.regexp_replace(url, r"(?s)#.*$", "")
+    head = F.regexp_extract(bare, r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*", 0)
+    low = F.concat(F.translate(head, UPPER, LOWER), F.substring(bare, F.length(head) + 1, F.length(bare)))
+    return F.regexp_replace(low, "^http://", "https://")
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that begins with ``/`` without its ``.`` and ``..`` parts."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    kept = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        # the first part is the empty one before the first slash
+        lambda got, p: F.when(p == ".", got).when(p == "..", F.slice(got, F.lit(1), F.greatest(F.size(got) - 1, F.lit(1))))
+        .otherwise(F.array_append(got, p)),
+    )
+    return F.array_join(F.when(last.isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept), "/")
+
+
+def _resolved(to: Column, base: Column) -> Column:
+    """``to`` as an address when it stands in the page ``base``. A base without ``://`` leaves it as it is."""
+    scheme = F.regexp_extract(base, r"(?s)^(.*?:)//", 1)
+    site = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*", 0)
+    path = F.when(path_of(base) == "", F.lit("/")).otherwise(path_of(base))
+    query = F.regexp_extract(base, r"(?s)^[^?#]*(\?[^#]*)", 1)
+    own_path = F.regexp_extract(to, r"(?s)^[^?#]*", 0)
+    rest = F.substring(to, F.length(own_path) + 1, F.length(to))
+    folder = F.regexp_extract(path, r"(?s)^.*/", 0)
+    return (
+        F.when((site == "") | (to == "") | to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), to)
+        .when(to.startswith("//"), F.concat(scheme, to))
+        .when(to.startswith("#"), F.concat(site, path, query, to))
+        .when(to.startswith("?"), F.concat(site, path, to))
+        .when(to.startswith("/"), F.concat(site, _without_dots(own_path), rest))
+        .otherwise(F.concat(site, _without_dots(F.concat(folder, own_path)), rest))
+    )
+
+
 def _links(pages: DataFrame) -> DataFrame:
     """(a, b) addresses joined by a canonical link, a refresh or the plain form of the address."""
     tag = r"(?is)<link\b[^>]*>|<meta\b[^>]*>"
@@ -58,14 +99,12 @@ def _links(pages: DataFrame) -> DataFrame:
     target = lambda t: F.when(t.rlike(r"""(?is)\brel\s*=\s*["']?canonical\b"""), href(t)).when(
         t.rlike(r"""(?is)\bhttp-equiv\s*=\s*["']?refresh\b"""), goes(t)
     )
-    scheme = F.regexp_extract("url", r"(?s)^(.*?:)//", 1)
-    full = lambda u: F.when(u.startswith("//"), F.concat(scheme, u)).when(
-        u.startswith("/"), F.concat(F.regexp_extract("url", r"(?s)^.*?://[^/?#]*", 0), u)
-    ).otherwise(u)
-    told = F.transform(tags, lambda t: full(target(t)))
-    plain = F.regexp_replace(F.regexp_replace("url", r"(?s)#.*$", ""), r"^(?i)http://", "https://")
+    told = F.transform(tags, lambda t: _resolved(F.regexp_replace(target(t), r"(?i)&amp;", "&"), F.col("url")))
+    plain = _plain(F.col("url"))
     found = pages.where("url IS NOT NULL").select(F.col("url").alias("a"), F.explode(F.array_append(F.coalesce(told, F.array().cast("array<string>")), plain)).alias("b"))
-    return found.where("b IS NOT NULL AND b <> '' AND a <> b")
+    found = found.where("b IS NOT NULL AND b <> ''")
+    # a target has a plain form too, whether it is a page or not
+    return found.unionByName(found.select(F.col("b").alias("a"), _plain(F.col("b")).alias("b"))).where("a <> b")
 
 
 def fitted_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:

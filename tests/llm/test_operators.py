@@ -458,6 +458,29 @@ def test_url_equivalence(spark):
     assert not rows(url_filter.url_verdicts(frame.limit(0), url_filter.rules_frame(spark)))
 
 
+@pytest.mark.parametrize(
+    "url, target",
+    [
+        ("https://d.com/a/1", "page.html"),
+        ("https://d.com/a/page.html?id=1", "?id=2&amp;x=3"),
+        ("https://d.com/a/b/1", "../x"),
+        ("https://d.com/a/b/1", "../.././y/../x#part"),
+        ("https://d.com", "page"),
+        ("https://d.com/1", "HTTP://D.com/Page"),
+    ],
+)
+def test_url_targets_are_resolved(spark, url, target):
+    joined = {
+        "page.html": "https://d.com/a/page.html", "?id=2&amp;x=3": "https://d.com/a/page.html?id=2&x=3", "../x": "https://d.com/a/x",
+        "../.././y/../x#part": "https://d.com/x", "page": "https://d.com/page", "HTTP://D.com/Page": "https://d.com/Page",
+    }[target]
+    link = '<link rel="canonical" href="{}">'
+    pages = [(1, url, link.format(target)), (2, joined, link.format("https://b.net/2")), (3, joined.replace("https://d", "HTTPS://D"), None)]
+    frame = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filter.url_verdicts(frame, url_filter.rules_frame(spark)).collect()}
+    assert got == {1: "block", 2: "block", 3: "block"}
+
+
 def test_line_rules(odd, empty):
     text = "\n".join(["Home | News | About |", "All rights reserved", "This is a plain sentence that goes on.", "no end here", "This is a plain sentence that goes on."])
     n, chars, symbols, dup, repeats, failed, kept, clean, removed, lost = line_rules.judge(text, 0.4)
