@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netsift.llm import (
+    alignment,
     hnsw_links,
     language,
     line_rules,
@@ -15,9 +16,11 @@ from netsift.llm import (
     order_minhash,
     preferences,
     record_files,
+    simhash,
     unigram,
     url_filter,
     weak_quality,
+    whitening,
 )
 from netsift.llm.common import table
 
@@ -66,9 +69,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.line_verdicts(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whitened_vectors(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.document_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_language_id, op2_embedding_neardup, op3_sentencepiece, op4_source_mix, op5_preference_format,
         op6_minhash_neardup, op7_token_records, op8_quality_classifier, op9_url_filter, op10_quality_rules,
+        op11_token_alignment, op12_whitening, op13_simhash,
     )
     return {f.__name__: f for f in named}
