@@ -6,13 +6,15 @@ the start of each token the other side's token that covers it. The union of both
 tokens whose byte ranges overlap: of two overlapping tokens, one starts inside the other. Where an A and a B
 token start at the same byte, the tokens before end at the same byte, which cuts a document into groups.
 
-Encoding is done once per distinct chunk a worker process sees: texts are cut at single blanks between two
-characters that are no white space, and no token of either vocabulary crosses such a cut (checked on the
-files; texts are encoded uncut otherwise). Long texts are aligned in runs of chunks, so memory is bounded.
+Encoding is done once per distinct chunk a worker process sees: texts are cut before white space that follows
+another character, and no token of either vocabulary crosses such a cut (checked on the files; texts are
+encoded uncut otherwise). Long texts are aligned in runs of chunks, so memory is bounded.
 
 Two passes. The first counts, per pair of ids, the links of the whole corpus, summed in each task and then by
-Spark. The most frequent pairs, up to ``max_pairs``, go to every task of the second pass; the others leave a
-document as (pair, times) and meet their counts in a join. Nothing is left out at any size.
+Spark. As no token crosses a cut, a document's links are those of its chunks: a task counts its chunks and
+aligns each distinct one once, keyed by chunk. The second pass aligns the documents. The most frequent pairs,
+up to ``max_pairs``, go to every task of the second pass; the others leave a document as (pair, times) and
+meet their counts in a join. Nothing is left out at any size.
 """
 
 from __future__ import annotations
@@ -24,10 +26,12 @@ import sys
 import types
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,12 +41,26 @@ from netsift.session import materialize
 MARK = "▁"
 #: Pairs that tasks know by heart at most: 17 bytes each.
 MAX_PAIRS = 1_000_000
-#: Bytes of text aligned in one step, and chunks an encoder remembers before it starts afresh.
-STEP_BYTES, CACHE_CHUNKS = 2_000_000, 600_000
+#: Characters of text cut together, bytes aligned in one step, and chunks an encoder remembers before it
+#: starts afresh.
+GROUP_CHARS, STEP_BYTES, CACHE_CHUNKS = 6_000_000, 2_000_000, 400_000
 #: Distinct pairs a task of the first pass holds before it hands them on.
 HELD_PAIRS = 2_000_000
-CUT = re.compile(r"(?<=\S) (?=\S)")
-UNEVEN = re.compile(r"^ |\s | \s| $")
+CUT = re.compile(r"(?<=\S)(?=[ \t\n])")
+WHITE = [chr(i) for i in range(0x3001) if chr(i).isspace()]
+
+
+def even(text: str) -> bool:
+    """Whether every blank and line end stands alone between two characters that are no white space."""
+    if text[0].isspace() or text[-1].isspace():
+        return False
+    return not any(w in text and any(x in text for x in (f"{w} ", f" {w}", f"{w}\n", f"\n{w}")) for w in WHITE)
+
+
+def chunks_of(text: str) -> list[str]:
+    """Space + text cut before each run of blanks, tabs and line ends that follows another character. A chunk
+    that is led by one blank comes without it, any other with all its white space."""
+    return [c[1:] if c[0] == " " and c[1:2].strip() else c for c in CUT.split(f" {text}")]
 
 
 def byte_level() -> dict[str, int]:
@@ -64,14 +82,23 @@ class Side:
     def forget(self) -> None:
         self.ids, self.starts = np.empty(0, np.int32), np.zeros(1, np.int64)
 
-    def learn(self, ids: list[list[int]], wanted: list[bytes]) -> np.ndarray:
-        """Whether the tokens of each chunk spell it. Chunks whose tokens don't are kept without tokens."""
-        surfaces = self.surfaces
-        same = [b"".join([surfaces[i] for i in got]) == want for got, want in zip(ids, wanted, strict=True)]
-        kept = [got if ok else [] for got, ok in zip(ids, same, strict=True)]
-        self.ids = np.concatenate([self.ids, *[np.array(got, np.int32) for got in kept if got]])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(got) for got in kept])])
-        return np.array(same, bool)
+    def learn(self, ids: np.ndarray, many: np.ndarray, wanted: list[bytes]) -> np.ndarray:
+        """Add chunks, ``many`` of the flat ``ids`` each; returns whether the tokens of each chunk spell it."""
+        ends = np.cumsum(many)
+        sizes = np.diff(np.append(0, np.append(0, np.cumsum(self.size[ids]))[ends]))
+        same = (sizes == np.fromiter(map(len, wanted), np.int64, len(wanted))) & (many > 0)
+        if same.all():
+            kept, rows = ids, wanted
+        else:
+            kept, rows = ids[np.repeat(same, many)], [w for w, ok in zip(wanted, same.tolist(), strict=True) if ok]
+        spelled = np.frombuffer(b"".join(map(self.surfaces.__getitem__, kept.tolist())), np.uint8)
+        other = np.flatnonzero(spelled != np.frombuffer(b"".join(rows), np.uint8))
+        if len(other):
+            places = np.flatnonzero(same)
+            same[places[np.searchsorted(np.cumsum(sizes[places]), other, side="right")]] = False
+        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + ends])
+        return same
 
     def tokens(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the tokens of a run of chunks, and the place in the run of each token's chunk."""
@@ -103,8 +130,9 @@ class PairEncoder:
         pre = shape.get("pre_tokenizer") or {}
         self.cuts = (
             not shape.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-            and not any(MARK in t.lstrip(MARK) for i, t in enumerate(pieces) if not self.b.is_byte(i))
+            and not any(MARK in t.lstrip(MARK) or len(t) > 1 and {"\t", "\n"} & set(t) for i, t in enumerate(pieces) if not self.b.is_byte(i))
         )
+        self.blank = self.b.piece_to_id(MARK)
         self.comma = [np.array([f"{i}," for i in range(len(s.surfaces))], object) for s in (self.left, self.right)]
         self.last = [np.array([f"{i}{mark}" for i in range(len(s.surfaces))], object) for s, mark in ((self.left, "|"), (self.right, ";"))]
         self.forget()
@@ -116,29 +144,57 @@ class PairEncoder:
         self.left.forget()
         self.right.forget()
 
-    def cut(self, text: str) -> list[str]:
+    def cut(self, texts: list[str]) -> pa.ListArray:
+        """The chunks of each text, as :func:`chunks_of` has them."""
         if not self.cuts:
-            return [text]
-        return CUT.split(text) if UNEVEN.search(text) else text.split(" ")
-
-    def numbers(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """Chunk numbers of cut texts."""
-        if len(self.index) > CACHE_CHUNKS:
+            return pa.array([[t if t.strip() == t else f" {t}"] for t in texts], pa.list_(pa.string()))
+        plain = np.array([even(t) for t in texts], bool)
+        parts = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()), "\n", " \n"), " ")
+        if plain.all():
+            return parts
+        odd = pa.array([chunks_of(t) for t, ok in zip(texts, plain.tolist(), strict=True) if not ok], pa.list_(pa.string()))
+        place = np.empty(len(texts), np.int64)
+        place[plain], place[~plain] = np.flatnonzero(plain), len(texts) + np.arange(len(odd))
+        return pa.concat_arrays([parts, odd]).take(pa.array(place))
+
+    def pieces(self, chunks: list[str]) -> list[list[int]]:
+        """B's ids of chunks with their white space. The encoder puts a blank before a text."""
+        got = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
+        for k, c in enumerate(chunks):
+            if c[0] != " ":
+                got[k] = got[k][1:]
+            elif c == " ":
+                got[k] = [self.blank]
+        return got
+
+    def numbers(self, texts: list[str]) -> list[np.ndarray]:
+        """The chunk numbers of each text. Numbers given before are void if :meth:`full` was true."""
+        if self.full():
             self.forget()
-        index = self.index
-        new = list(dict.fromkeys(c for chunks in texts for c in chunks if c not in index))
+        cut = self.cut(texts)
+        coded = cut.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        known = list(map(self.index.get, words))
+        new = [w for w, k in zip(words, known, strict=True) if k is None]
         if new:
-            raw = [c.encode() for c in new]
-            got = self.a.encode([f" {c}" for c in new], is_pretokenized=True, add_special_tokens=False)
-            at = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(new) + 1)).tolist()
-            ids = got.ids
-            spaced = [b" " + r for r in raw]
-            sound = self.left.learn([ids[i:j] for i, j in zip(at, at[1:])], spaced)
-            sound &= self.right.learn(self.b.encode(new, num_threads=1), spaced)
-            index.update(zip(new, range(len(index), len(index) + len(new)), strict=True))
+            whole = [c if c[0].isspace() else f" {c}" for c in new]
+            spaced = [c.encode() for c in whole]
+            got = self.a.encode(whole, is_pretokenized=True, add_special_tokens=False)
+            many = np.bincount(np.array(got.word_ids, np.int64), minlength=len(new))
+            sound = self.left.learn(np.array(got.ids, np.int64), many, spaced)
+            pieces = self.pieces(whole)
+            many = np.fromiter(map(len, pieces), np.int64, len(pieces))
+            sound &= self.right.learn(np.fromiter(chain.from_iterable(pieces), np.int64, int(many.sum())), many, spaced)
+            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
             self.sound = np.concatenate([self.sound, sound])
-            self.bytes = np.concatenate([self.bytes, [len(s) for s in spaced]])
-        return [np.fromiter(map(index.__getitem__, chunks), np.int64, len(chunks)) for chunks in texts]
+            self.bytes = np.concatenate([self.bytes, np.fromiter(map(len, spaced), np.int64, len(spaced))])
+            known = map(self.index.__getitem__, words)
+        flat = np.fromiter(known, np.int64, len(words))[coded.indices.to_numpy()]
+        lengths = pc.list_value_length(cut).to_numpy()
+        return np.split(flat, np.cumsum(lengths)[:-1])
+
+    def full(self) -> bool:
+        return len(self.index) > CACHE_CHUNKS
 
 
 def encoder_of(a_path: str, b_path: str) -> PairEncoder:
@@ -156,7 +212,6 @@ class Aligned:
     def __init__(self, encoder: PairEncoder, runs: list[tuple[int, np.ndarray]]):
         chunks = np.concatenate([c for _, c in runs])
         run_of = np.repeat(np.arange(len(runs)), [len(c) for _, c in runs])
-        base = np.cumsum(encoder.bytes[chunks]) - encoder.bytes[chunks]
         frames, self.ids, self.run = [], [], []
         for side in (encoder.left, encoder.right):
             ids, where = side.tokens(chunks)
@@ -167,7 +222,6 @@ class Aligned:
             self.ids.append(ids)
             self.run.append(run_of[where])
         self.runs, self.encoder = runs, encoder
-        assert all(len(f) and f["start"].iat[-1] >= base[-1] for f in frames)
         left, right = frames
         # the token of the other side that covers each token's start
         over_a = pd.merge_asof(left, right, on="start", by="doc", suffixes=("", "_other"))["token_other"].to_numpy(np.int64)
@@ -213,74 +267,97 @@ class Aligned:
         return ["".join(parts[i:j])[:-1].encode() for i, j in zip([0, *ends], ends)]
 
 
-def _steps(encoder: PairEncoder, texts: list[str | None]) -> Iterator[Aligned]:
-    """Aligned runs of the documents whose tokens spell them, ``STEP_BYTES`` of text at a time."""
+def _groups(encoder: PairEncoder, texts: list[str | None]) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """(text number, chunk numbers) of the texts whose tokens spell them, about ``GROUP_CHARS`` at a time."""
     group: list[tuple[int, str]] = []
     held = 0
     for i, text in enumerate(texts):
         if text:
             group.append((i, text))
             held += len(text)
-        if group and (held >= STEP_BYTES or i + 1 == len(texts)):
-            yield from _aligned(encoder, group)
+        if group and (held >= GROUP_CHARS or i + 1 == len(texts)):
+            numbered = encoder.numbers([t for _, t in group])
+            yield [(k, chunks) for (k, _), chunks in zip(group, numbered, strict=True) if encoder.sound[chunks].all()]
             group, held = [], 0
-    if group:
-        yield from _aligned(encoder, group)
 
 
-def _aligned(encoder: PairEncoder, group: list[tuple[int, str]]) -> Iterator[Aligned]:
-    numbered = encoder.numbers([encoder.cut(text) for _, text in group])
-    runs: list[tuple[int, np.ndarray]] = []
-    held = 0
-    for (i, _), chunks in zip(group, numbered, strict=True):
-        if not encoder.sound[chunks].all():
-            continue
-        ends = np.cumsum(encoder.bytes[chunks])
-        # a long document is several runs
-        cuts = np.searchsorted(ends, np.arange(STEP_BYTES, int(ends[-1]), STEP_BYTES)) + 1
-        for run in np.split(chunks, cuts):
-            if not len(run):
-                continue
-            runs.append((i, run))
-            held += int(encoder.bytes[run].sum())
-            if held >= STEP_BYTES:
-                yield Aligned(encoder, runs)
-                runs, held = [], 0
-    if runs:
-        yield Aligned(encoder, runs)
+def _steps(encoder: PairEncoder, texts: list[str | None]) -> Iterator[Aligned]:
+    """Aligned runs of the documents whose tokens spell them; a long document is several runs."""
+    for group in _groups(encoder, texts):
+        runs: list[tuple[int, np.ndarray]] = []
+        held = 0
+        for i, chunks in group:
+            ends = np.cumsum(encoder.bytes[chunks])
+            cuts = np.searchsorted(ends, np.arange(STEP_BYTES, int(ends[-1]), STEP_BYTES)) + 1
+            for run in np.split(chunks, cuts):
+                if not len(run):
+                    continue
+                runs.append((i, run))
+                held += int(encoder.bytes[run].sum())
+                if held >= STEP_BYTES:
+                    yield Aligned(encoder, runs)
+                    runs, held = [], 0
+        if runs:
+            yield Aligned(encoder, runs)
+
+
+class PairSums:
+    """Links per id pair of the texts of a task, each distinct chunk aligned once."""
+
+    def __init__(self, encoder: PairEncoder):
+        self.encoder = encoder
+        self.chunks: list[np.ndarray] = []
+        self.held = 0
+        self.codes, self.times = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def add(self, texts: list[str | None]) -> None:
+        groups = _groups(self.encoder, texts)
+        while True:
+            if self.encoder.full() or self.held > 10_000_000:  # chunk numbers are about to be given anew
+                self.settle()
+            group = next(groups, None)
+            if group is None:
+                break
+            self.chunks += [chunks for _, chunks in group]
+            self.held += sum(len(chunks) for _, chunks in group)
+
+    def settle(self) -> None:
+        """Align the chunks counted so far."""
+        if not self.held:
+            return
+        encoder = self.encoder
+        often = np.bincount(np.concatenate(self.chunks))
+        self.chunks, self.held = [], 0
+        seen = np.flatnonzero(often)
+        steps = np.cumsum(encoder.bytes[seen]) // STEP_BYTES
+        codes, times = [self.codes], [self.times]
+        for part in np.split(seen, np.flatnonzero(np.diff(steps)) + 1):
+            step = Aligned(encoder, [(k, part[k : k + 1]) for k in range(len(part))])
+            codes.append(step.codes())
+            times.append(often[part][step.run[0][step.link_a]])
+        found, pair = pd.factorize(np.concatenate(codes))
+        self.codes, self.times = pair, np.zeros(len(pair), np.int64)
+        np.add.at(self.times, found, np.concatenate(times))
 
 
 def _pair_counts(texts: DataFrame, paths: tuple[str, str]) -> DataFrame:
     """(code, times): how many links of all texts hold each id pair."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, times = np.empty(0, np.int64), np.empty(0, np.int64)
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def settle() -> None:
-            nonlocal codes, times
-            every = np.concatenate([codes, *[c for c, _ in waiting]])
-            sums = np.concatenate([times, *[t for _, t in waiting]])
-            waiting.clear()
-            order = np.argsort(every, kind="stable")
-            every = every[order]
-            first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.empty(0, int)
-            codes, times = every[first], np.add.reduceat(sums[order], first) if len(first) else sums
+        sums = None
 
         def out() -> pa.RecordBatch:
+            codes, times = sums.codes, sums.times
+            sums.codes, sums.times = codes[:0], times[:0]
             return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(times)], names=["code", "times"])
 
         for batch in batches:
-            for step in _steps(encoder_of(*paths), batch.column(0).to_pylist()):
-                waiting.append(np.unique(step.codes(), return_counts=True))
-                if sum(len(c) for c, _ in waiting) > HELD_PAIRS:
-                    settle()
-                if len(codes) > HELD_PAIRS:
-                    yield out()
-                    codes, times = codes[:0], times[:0]
-        if waiting:
-            settle()
-        if len(codes):
+            sums = sums or PairSums(encoder_of(*paths))
+            sums.add(batch.column(0).to_pylist())
+            if len(sums.codes) > HELD_PAIRS:
+                yield out()
+        if sums:
+            sums.settle()
             yield out()
 
     return texts.mapInArrow(count, "code bigint, times bigint").groupBy("code").agg(F.sum("times").alias("times"))
@@ -338,7 +415,7 @@ def aligned_documents(
             rare: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
             for step in _steps(encoder_of(*paths), batch.column(1).to_pylist()):
                 docs = np.array([i for i, _ in step.runs])
-                pair, back = np.unique(step.codes(), return_inverse=True)
+                back, pair = pd.factorize(step.codes())
                 at = np.minimum(np.searchsorted(codes, pair), max(len(codes) - 1, 0))
                 seen = codes[at] == pair if len(codes) else np.zeros(len(pair), bool)
                 weigh = np.where(seen, times[at], 0) if len(codes) else np.zeros(len(pair), np.int64)
