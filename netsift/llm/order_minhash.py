@@ -35,21 +35,34 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsift.llm.common import WORD_RE, docs_of, free_name, salted_join, text_digest
+from netsift.llm.common import docs_of, free_name, salted_join, text_digest
 from netsift.llm.components import connected_components
 from netsift.session import materialize
 
 WORDS, THRESHOLD, FUNCTIONS, PICKED = 5, 0.8, 16, 3
-DISCARD_ROUNDS, BLOCK_SHINGLES = 3, 1 << 16
+DISCARD_ROUNDS, BLOCK_SHINGLES, MATRIX_CELLS = 3, 1 << 16, 1 << 18
 
 
-def labelled_shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+class WordHashes(dict):
+    """Hashes of words, each made once while there is room."""
+
+    ROOM = 400_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.ROOM:
+            self.clear()
+        self[word] = out = xxhash.xxh3_64_intdigest(word)
+        return out
+
+
+def labelled_shingles(text: str | None, words: int = WORDS, hashes: WordHashes | None = None) -> np.ndarray:
     """64-bit hashes of the occurrence-labelled shingles in text order; a text of fewer words is one
-    shingle, a text without words none."""
-    found = WORD_RE.findall(text) if text else []
+    shingle, a text without words none. Words are runs of anything but ASCII white space."""
+    found = text.encode("utf-8", "surrogatepass").split() if text else []
     if not found:
         return np.empty(0, np.uint64)
-    codes = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
+    hashes = WordHashes() if hashes is None else hashes
+    codes = np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
     mult = np.uint64(0x9E3779B97F4A7C15)
     width = min(words, len(codes))
     n = len(codes) - width + 1
@@ -70,19 +83,19 @@ def labelled_shingles(text: str | None, words: int = WORDS) -> np.ndarray:
 def order_keys(shingles: np.ndarray, functions: int = FUNCTIONS, picked: int = PICKED) -> np.ndarray:
     """One 64-bit key per hash function."""
     seeds = np.random.default_rng(7).integers(1, 2**63, functions, dtype=np.uint64)
-    out = np.empty(functions, np.uint64)
     take = min(picked, len(shingles))
     mult = np.uint64(0xFF51AFD7ED558CCD)
-    for i, seed in enumerate(seeds):
-        h = (shingles ^ seed) * mult
+    at = np.empty((functions, take), np.int64)
+    step = max(1, MATRIX_CELLS // len(shingles))  # functions whose hashes stand in one matrix
+    for lo in range(0, functions, step):
+        h = (shingles[None, :] ^ seeds[lo : lo + step, None]) * mult
         h ^= h >> np.uint64(33)
-        at = np.sort(np.argpartition(h, take - 1)[:take])
-        key = seed
-        for x in shingles[at]:
-            key = np.uint64((int(key ^ x) * 0xC4CEB9FE1A85EC53) & 0xFFFFFFFFFFFFFFFF)
-            key ^= key >> np.uint64(31)
-        out[i] = key
-    return out
+        at[lo : lo + step] = np.sort(np.argpartition(h, take - 1, axis=1)[:, :take], axis=1)
+    key = seeds.copy()
+    for j in range(take):
+        key = (key ^ shingles[at[:, j]]) * np.uint64(0xC4CEB9FE1A85EC53)
+        key ^= key >> np.uint64(31)
+    return key
 
 
 def aligned_similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
@@ -113,10 +126,11 @@ def _sketches(docs: DataFrame, words: int, functions: int, picked: int) -> DataF
     """(digest, n, keys) of each distinct text with a word."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
             digests, sizes, keys = [], [], []
             for digest, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                got = labelled_shingles(text.as_py(), words)
+                got = labelled_shingles(text.as_py(), words, hashes)
                 if len(got):
                     digests.append(digest)
                     sizes.append(len(got))
@@ -142,13 +156,14 @@ def _verified(pairs: DataFrame, texts: tuple, words: int, threshold: float) -> D
     once; a text that meets very many others is a skewed join, which is split at run time."""
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
         last, left = None, None
         for batch in batches:
             keep = []
             for a, at, bt in zip(batch["a"], batch["at"], batch["bt"], strict=True):
                 if a != last:
-                    last, left = a, labelled_shingles(at, words)
-                keep.append(aligned_similarity(left, labelled_shingles(bt, words), threshold) >= threshold)
+                    last, left = a, labelled_shingles(at, words, hashes)
+                keep.append(aligned_similarity(left, labelled_shingles(bt, words, hashes), threshold) >= threshold)
             yield batch.loc[np.array(keep, bool), ["a", "b"]]
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
@@ -163,8 +178,10 @@ def _texts_of(digests: DataFrame, texts: tuple) -> DataFrame:
     """(digest, text) of the named digests, from the rows (digest, doc_id, text) that
     hold the smallest doc_id (digest, rep) of their text."""
     docs, ids = texts
-    wanted = ids.join(digests, "digest").select("digest", "rep")
-    return docs.join(wanted, ["digest"]).where("doc_id <=> rep").select("digest", "text")
+    wanted = ids.join(digests, "digest").select("digest", F.col("rep").alias("doc_id"))
+    # both are keys, so the copies of a text are spread by their ids
+    same = docs["digest"].eqNullSafe(wanted["digest"]) & docs["doc_id"].eqNullSafe(wanted["doc_id"])
+    return docs.join(wanted, same, "left_semi").select("digest", "text")
 
 
 def _open_members(members: DataFrame) -> DataFrame:
@@ -184,9 +201,10 @@ def _survivors(nodes: DataFrame, texts: tuple, words: int, threshold: float) ->
     too few shingles in common with all other components together."""
 
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
         for batch in batches:
             for digest, component, text in zip(batch["digest"], batch["component"], batch["text"], strict=True):
-                got = labelled_shingles(text, words)
+                got = labelled_shingles(text, words, hashes)
                 yield pd.DataFrame(
                     {"digest": digest, "component": component, "n": len(got), "x": got.view(np.int64)}
                 )
@@ -248,7 +266,8 @@ def _settled(waiting: DataFrame, nodes: DataFrame, texts: tuple, words: int, thr
     rows = held.withColumn("at", F.explode("places")).select("cluster", "at.*", "digest", "component", "text")
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
-        docs = [labelled_shingles(t, words) for t in block["text"]]
+        hashes = WordHashes()
+        docs = [labelled_shingles(t, words, hashes) for t in block["text"]]
         sizes = np.array([len(d) for d in docs])
         _, flat, times = np.unique(np.concatenate(docs), return_inverse=True, return_counts=True)
         owner = np.repeat(np.arange(len(docs)), sizes)

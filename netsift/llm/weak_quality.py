@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netsift.llm.common import docs_of, free_name
@@ -153,6 +153,11 @@ def train_scorer(x: np.ndarray, good: np.ndarray, rounds: int = 200, decay: floa
     return w
 
 
+def _draw() -> Column:
+    """A number below 2^30 from the hash of doc_id and text."""
+    return F.pmod(F.xxhash64(F.lit(11), "doc_id", "text"), F.lit(1 << 30))
+
+
 def quality_model(documents: DataFrame, train_rows: int = TRAIN_ROWS, dims: int = DIMS) -> dict:
     """Weights and labeller rates learned from ``documents`` (doc_id, text); weights is None when no
     document has text."""
@@ -192,7 +197,7 @@ def quality_model(documents: DataFrame, train_rows: int = TRAIN_ROWS, dims: int
 
     # a document's hash decides on the sample, so it is the same in every run
     share = min(1.0, train_rows / total)
-    drawn = docs.where(F.pmod(F.xxhash64(F.lit(11), "doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    drawn = docs.where(_draw() < int(share * (1 << 30)))
     sample = materialize(drawn.select("text"), "quality-sample")
     got = sample.coalesce(1).mapInPandas(train, "weights array<double>").collect()
     return {**model, "dims": dims, "weights": got[0]["weights"] if got else None}
@@ -219,14 +224,79 @@ def score_quality(documents: DataFrame, model: dict) -> DataFrame:
     return documents.withColumn("quality_score", score("text"))
 
 
-def quality_verdicts(documents: DataFrame, keep_score: float = KEEP_SCORE, **how) -> DataFrame:
-    """Per row of ``documents``: doc_id, quality_score, kept (score >= ``keep_score``)."""
-    scored = score_quality(docs_of(documents, "doc_id", "text"), quality_model(documents, **how))
+def _features(documents: DataFrame, dims: int) -> DataFrame:
+    """doc_id, draw, pattern, slots, vals of each row, the last three null without text. One pass over the texts;
+    the rest works on this table."""
+    rows = docs_of(documents, "doc_id", "text").select("doc_id", "text", _draw().alias("draw"))
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pattern, slots, vals = [], [], []
+            for text in batch.column(1):
+                if not text.is_valid:
+                    pattern.append(None)
+                    slots.append(None)
+                    vals.append(None)
+                    continue
+                measures, kind = _measures(text.as_py())
+                at, values = hashed_features(measures, kind, dims)
+                pattern.append(votes_of(measures))
+                # a text without a word scores 0
+                slots.append(at.astype("<u2").tobytes() if text.as_py().strip() else None)
+                vals.append(values.astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(pattern, pa.int64()), pa.array(slots, pa.binary()), pa.array(vals, pa.binary())],
+                names=["doc_id", "draw", "pattern", "slots", "vals"],
+            )
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return materialize(
+        rows.mapInArrow(extract, f"doc_id {kind}, draw bigint, pattern bigint, slots binary, vals binary"), "quality-features"
+    )
+
+
+def quality_verdicts(documents: DataFrame, keep_score: float = KEEP_SCORE, train_rows: int = TRAIN_ROWS, dims: int = DIMS) -> DataFrame:
+    """Per row of ``documents``: doc_id, quality_score, kept (score >= ``keep_score``). Null texts and texts
+    without a word score 0 and are not kept; repeated rows have repeated verdicts; an empty table gives an
+    empty result. Texts are read once, their measures and features are stored (``dims`` below 65,536)."""
+    told = _features(documents, dims)
+    counts = told.where("pattern IS NOT NULL").groupBy("pattern").agg(F.count("*").alias("rows")).orderBy("pattern").toPandas()
+    w = None
+    if len(counts):
+        posterior = estimate(counts)["posterior"]
+        share = min(1.0, train_rows / int(counts["rows"].sum()))
+
+        def train(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            x, good = [], []
+            for frame in frames:
+                for pattern, at, values in zip(frame["pattern"], frame["slots"], frame["vals"], strict=True):
+                    row = np.zeros(dims, np.float32)
+                    if at is not None:
+                        row[np.frombuffer(at, "<u2")] = np.frombuffer(values, "<f4")
+                    x.append(row)
+                    good.append(posterior[pattern])
+            if x:
+                yield pd.DataFrame({"weights": [train_scorer(np.array(x), np.array(good)).tolist()]})
+
+        drawn = told.where(F.col("pattern").isNotNull() & (F.col("draw") < int(share * (1 << 30)))).select("pattern", "slots", "vals")
+        got = drawn.coalesce(1).mapInPandas(train, "weights array<double>").collect()
+        w = np.array(got[0]["weights"]) if got else None
+
+    @F.pandas_udf("double")
+    def score(slots: pd.Series, vals: pd.Series) -> pd.Series:
+        out = np.zeros(len(slots))
+        for i, (at, values) in enumerate(zip(slots, vals, strict=True)):
+            if at is not None:
+                out[i] = 1.0 if w is None else w[np.frombuffer(at, "<u2")] @ np.frombuffer(values, "<f4").astype(float)
+        return pd.Series(out if w is None else np.where(slots.notna(), 1 / (1 + np.exp(-np.clip(out, -30, 30))), 0.0))
+
+    scored = told.select("doc_id", score("slots", "vals").alias("quality_score"))
     return scored.select("doc_id", "quality_score", (F.col("quality_score") >= keep_score).alias("kept"))
 
 
 def good_documents(documents: DataFrame, keep_score: float = KEEP_SCORE, **how) -> DataFrame:
-    """The rows of ``documents`` that the scorer keeps, with the same columns."""
+    """The rows of ``documents`` that the scorer keeps, with the same columns. Null texts and texts without a
+    word go; repeated rows stay repeated; an empty table gives an empty result."""
     name = free_name("quality_kept", documents.columns)
     model = quality_model(documents, **how)
     extra = "quality_score" in [c.lower() for c in documents.columns]
