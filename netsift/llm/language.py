@@ -11,6 +11,8 @@ the mean log frequency of its known 4-grams, else of its 3-grams, 2-grams or let
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -23,8 +25,27 @@ from pyspark.sql import functions as F
 from netsift.llm.common import docs_of, free_name, salted_join, text_digest
 from netsift.session import materialize
 
-LETTERS = re.compile(r"[^\W\d_]+")
-ORDERS, MAX_WORDS, MAX_GRAMS = (4, 3, 2, 1), 20_000, 5_000
+
+
+def _class_of(kinds: str) -> str:
+    """A character class of all characters whose Unicode category begins with one of ``kinds``."""
+    ranges: list[list[int]] = []
+    for i in range(sys.maxunicode + 1):
+        if unicodedata.category(chr(i))[0] in kinds:
+            if ranges and ranges[-1][1] == i - 1:
+                ranges[-1][1] = i
+            else:
+                ranges.append([i, i])
+    return "[" + "".join(f"\\U{lo:08x}-\\U{hi:08x}" for lo, hi in ranges) + "]"
+
+
+#: A word is a letter and the letters and marks after it; numbers that Unicode lets pass in words are none.
+LETTERS = re.compile(_class_of("L") + _class_of("LM") + "*")
+#: The same for texts without marks and without letter-like numbers, which is much faster.
+PLAIN = re.compile(r"[^\W\d_]+")
+ODD = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c)[0] == "M" or unicodedata.category(c) in ("No", "Nl"))
+ODD_LATIN = [c for c in ODD if ord(c) < 256]
+ORDERS, MAX_WORDS, MAX_GRAMS = (4, 3, 2, 1), 100_000, 50_000
 #: Each step back costs evidence: weight of a fallback to each order, against 1 for a known word.
 STEP_WEIGHT = {4: 0.6, 3: 0.5, 2: 0.4, 1: 0.2}
 UNKNOWN = "und"
@@ -35,45 +56,76 @@ def _grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
-def _counts(batches: Iterator[pa.RecordBatch], flush: int = 400_000) -> Iterator[pa.RecordBatch]:
-    """(lang, n, gram, times) sums of the texts of a task; n is 0 for words."""
+def words_of(text: str) -> list[str]:
+    """The lower-case words of a text."""
+    low = text.lower()
+    try:
+        low.encode("latin-1")
+        plain = not any(c in low for c in ODD_LATIN)
+    except UnicodeEncodeError:
+        plain = ODD.isdisjoint(low)
+    return (PLAIN if plain else LETTERS).findall(low)
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch], flush: int = 400_000) -> Iterator[pa.RecordBatch]:
+    """(lang, gram, times) sums of the words of the texts of a task."""
     words: dict[str, Counter] = {}
 
     def out() -> pa.RecordBatch:
-        lang, order, gram, times = [], [], [], []
+        lang, gram, times = [], [], []
         for name, counted in words.items():
-            per: dict[int, Counter] = {0: counted, **{n: Counter() for n in ORDERS}}
-            for word, k in counted.items():
-                for n in ORDERS:
-                    c = per[n]
-                    for g in _grams(word, n):
-                        c[g] += k
-            for n, c in per.items():
-                lang += [name] * len(c)
-                order += [n] * len(c)
-                gram += list(c)
-                times += list(c.values())
+            lang += [name] * len(counted)
+            gram += list(counted)
+            times += list(counted.values())
         words.clear()
         return pa.RecordBatch.from_arrays(
-            [pa.array(lang, pa.string()), pa.array(order, pa.int32()), pa.array(gram, pa.string()), pa.array(times, pa.int64())],
-            names=["lang", "n", "gram", "times"],
+            [pa.array(lang, pa.string()), pa.array(gram, pa.string()), pa.array(times, pa.int64())], names=["lang", "gram", "times"]
         )
 
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            words.setdefault(lang, Counter()).update(LETTERS.findall(text.as_py().lower()))
+            words.setdefault(lang, Counter()).update(words_of(text.as_py()))
             if sum(map(len, words.values())) > flush:
                 yield out()
     if words:
         yield out()
 
 
+def _gram_counts(batches: Iterator[pa.RecordBatch], flush: int = 400_000) -> Iterator[pa.RecordBatch]:
+    """(lang, n, gram, times) sums of the n-grams of counted words."""
+    per: dict[tuple[str, int], Counter] = {}
+
+    def out() -> pa.RecordBatch:
+        lang, order, gram, times = [], [], [], []
+        for (name, n), c in per.items():
+            lang += [name] * len(c)
+            order += [n] * len(c)
+            gram += list(c)
+            times += list(c.values())
+        per.clear()
+        return pa.RecordBatch.from_arrays(
+            [pa.array(lang, pa.string()), pa.array(order, pa.int32()), pa.array(gram, pa.string()), pa.array(times, pa.int64())],
+            names=["lang", "n", "gram", "times"],
+        )
+
+    for batch in batches:
+        for lang, word, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for n in ORDERS:
+                c = per.setdefault((lang, n), Counter())
+                for g in _grams(word, n):
+                    c[g] += k
+        if sum(map(len, per.values())) > flush:
+            yield out()
+    if per:
+        yield out()
+
+
 def language_model(
     training: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS
 ) -> dict:
     """The model learned from ``training`` (lang, text); rows with a null in either are ignored. Per
     order the grams are kept that any language has at or above a count, the count being the smallest
-    power of two's that leaves at most ``max_words`` or ``max_grams`` of them in that language. A kept
+    eighth of a doubling that leaves at most ``max_words`` or ``max_grams`` of them in that language. A kept
     gram has its counts in every language."""
     return _learned(training, max_words, max_grams)[0]
 
@@ -81,12 +133,12 @@ def language_model(
 def _learned(training: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> tuple[dict, DataFrame | None]:
     """The model, and the scores (word, s0, s1, ...) of all seen words it has no room for."""
     rows = docs_of(training, "lang", "text").where("lang IS NOT NULL AND text IS NOT NULL")
-    counted = materialize(
-        rows.mapInArrow(_counts, "lang string, n int, gram string, times bigint")
-        .groupBy("lang", "n", "gram")
-        .agg(F.sum("times").alias("times")),
-        "language-counts",
-    )
+    words = rows.mapInArrow(_word_counts, "lang string, gram string, times bigint").groupBy("lang", "gram")
+    words = materialize(words.agg(F.sum("times").alias("times")), "language-words")
+    # n-grams come from the counted words, each word once a language and not once an occurrence
+    grams = words.mapInArrow(_gram_counts, "lang string, n int, gram string, times bigint").groupBy("lang", "n", "gram")
+    grams = materialize(grams.agg(F.sum("times").alias("times")), "language-grams")
+    counted = words.select("lang", F.lit(0).alias("n"), "gram", "times").unionByName(grams)
     # how many grams have a count of each size; sizes are an eighth of a doubling apart
     step = F.floor(F.log2("times") * 8).cast("int")
     sizes = counted.groupBy("lang", "n", step.alias("step")).agg(F.count("*").alias("grams"), F.sum("times").alias("sum")).collect()
@@ -112,12 +164,11 @@ def _learned(training: DataFrame, max_words: int = MAX_WORDS, max_grams: int = M
         return model, None
     limit = counted.sparkSession.createDataFrame(bounds, "lang string, n int, least int")
     grams = counted.join(F.broadcast(limit), ["lang", "n"]).where(step >= F.col("least")).select("n", "gram").distinct()
-    grams = materialize(grams, "language-grams")
-    for r in counted.join(grams, ["n", "gram"], "left_semi").toLocalIterator():
-        table = model["tables"].setdefault(r["n"], {})
-        if r["gram"] not in table:
-            table[r["gram"]] = [0] * len(langs)
-        table[r["gram"]][langs.index(r["lang"])] = r["times"]
+    grams = materialize(grams, "language-kept")
+    each = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("times"))), F.lit(0)).alias(f"s{i}") for i, lang in enumerate(langs)]
+    kept = counted.join(grams, ["n", "gram"], "left_semi").groupBy("n", "gram").agg(*each).toPandas()
+    for n, part in kept.sort_values(["n", "gram"]).groupby("n"):
+        model["tables"][int(n)] = dict(zip(part["gram"], part[[f"s{i}" for i in range(len(langs))]].to_numpy().tolist(), strict=True))
     # one matrix of log frequencies; each table maps a gram to its row
     blocks, row = [], 0
     for n, table in sorted(model["tables"].items()):
@@ -130,9 +181,7 @@ def _learned(training: DataFrame, max_words: int = MAX_WORDS, max_grams: int = M
     model["scores"] = np.concatenate(blocks)
     words = np.array([totals.get((lang, 0), 0) for lang in langs], float)
     model["prior"] = int(words.argmax())
-    beyond = counted.where("n = 0").join(grams.where("n = 0"), "gram", "left_anti").groupBy(F.col("gram").alias("word")).agg(
-        *[F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("times"))), F.lit(0)).alias(f"s{i}") for i, lang in enumerate(langs)]
-    )
+    beyond = counted.where("n = 0").join(grams.where("n = 0"), "gram", "left_anti").groupBy(F.col("gram").alias("word")).agg(*each)
     size = [float(np.log(totals.get((lang, 0), 0) + 0.1 * kinds.get((lang, 0), 0) + 1)) for lang in langs]
     beyond = beyond.select("word", *[(F.log(F.col(f"s{i}") + 0.1) - size[i]).alias(f"s{i}") for i in range(len(langs))])
     top = F.array_max(F.array(*[F.col(f"s{i}") for i in range(len(langs))]))
@@ -180,7 +229,7 @@ class Identifier:
         langs = self.model["langs"]
         if len(self.rows) > self.room:
             self.rows, self.known = {}, self.known[:0]
-        cut = [LETTERS.findall(t.lower()) if t and langs else [] for t in texts]
+        cut = [words_of(t) if t and langs else [] for t in texts]
         new = set(chain.from_iterable(cut)).difference(self.rows)
         if new:
             self._learn(list(new))
@@ -211,8 +260,8 @@ def identify(model: dict, text: str | None) -> tuple[str, float]:
 def _text_verdicts(keyed: DataFrame, model: dict, beyond: DataFrame) -> DataFrame:
     """(key, lang_pred, lang_score) of each distinct text with a letter of ``keyed`` (key, text).
 
-    Words of the model are summed where the text is. The others of a text leave it as (key, word, times)
-    and meet their scores, of the counts if they were seen and of shorter grams if not, in a join."""
+    Words of the model are summed where the text is. The others of a text leave it as one array of (word,
+    times) and meet their scores, of the counts if they were seen and of shorter grams if not, in a join."""
     langs = model["langs"]
     k = len(langs)
     shared = keyed.sparkSession.sparkContext.broadcast(model)
@@ -222,31 +271,31 @@ def _text_verdicts(keyed: DataFrame, model: dict, beyond: DataFrame) -> DataFram
         whole, table = shared.value["tables"].get(0, {}), shared.value["scores"]
         table = table - table.max(1, keepdims=True)
         for batch in batches:
-            key, word, times, sums = [], [], [], []
+            key, times, sums, words, many, ends = [], [], [], [], [], [0]
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = Counter(LETTERS.findall(text.as_py().lower()))
-                if not words:
+                counted = Counter(words_of(text.as_py()))
+                if not counted:
                     continue
-                own = [(whole[w], n) for w, n in words.items() if w in whole]
-                at, many = np.array(own, int).reshape(-1, 2).T
+                own = [(whole[w], n) for w, n in counted.items() if w in whole]
+                at, often = np.array(own, int).reshape(-1, 2).T
                 key.append(name)
-                word.append(None)
-                times.append(int(many.sum()))
-                sums.append(many @ table[at])
-                for w, n in words.items():
+                times.append(int(often.sum()))
+                sums.append(often @ table[at])
+                for w, n in counted.items():
                     if w not in whole:
-                        key.append(name)
-                        word.append(w)
-                        times.append(n)
-                        sums.append(None)
-            lists = [pa.array([None if x is None else x[i] for x in sums], pa.float64()) for i in range(k)]
+                        words.append(w)
+                        many.append(n)
+                ends.append(len(words))
+            lists = [pa.array([x[i] for x in sums], pa.float64()) for i in range(k)]
+            pairs = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(many, pa.int64())], ["word", "times"])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key, pa.binary()), pa.array(word, pa.string()), pa.array(times, pa.int64()), *lists],
-                names=["key", "word", "times", *scores],
+                [pa.array(key, pa.binary()), pa.array(times, pa.int64()), *lists, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)],
+                names=["key", "times", *scores, "beyond"],
             )
 
     columns = ", ".join(f"{c} double" for c in scores)
-    told = materialize(keyed.mapInArrow(spread, f"key binary, word string, times bigint, {columns}"), "language-words")
+    told = keyed.mapInArrow(spread, f"key binary, times bigint, {columns}, beyond array<struct<word:string,times:bigint>>")
+    told = materialize(told, "language-texts")
 
     def shorter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,14 +306,14 @@ def _text_verdicts(keyed: DataFrame, model: dict, beyond: DataFrame) -> DataFram
             got = one.known if words else np.empty((0, k + 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(got[:, i]) for i in range(k + 1)]], names=["word", *scores, "known"])
 
-    open_words = told.where("word IS NOT NULL")
+    open_words = told.select("key", F.explode("beyond").alias("x")).select("key", "x.word", "x.times")
     unseen = open_words.select("word").distinct().join(beyond, "word", "left_anti")
     unseen = unseen.mapInArrow(shorter, f"word string, {columns}, known double")
     by_word = beyond.withColumn("known", F.lit(1.0)).unionByName(unseen)
     met = open_words.select("key", "word", "times").join(by_word, "word").select(
         "key", F.lit(0).alias("copies"), (F.col("times") * F.col("known")).alias("known"), *[(F.col("times") * F.col(c)).alias(c) for c in scores]
     )
-    own = told.where("word IS NULL").select("key", F.lit(1).alias("copies"), F.col("times").cast("double").alias("known"), *scores)
+    own = told.select("key", F.lit(1).alias("copies"), F.col("times").cast("double").alias("known"), *scores)
     total = own.unionByName(met).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("copies", "known", *scores)])
     n = F.col("known") / F.col("copies")  # equal texts share a key
     mean = F.array(*[F.col(c) / F.col("known") * F.least(n, F.lit(16.0)) for c in scores])

@@ -498,3 +498,12 @@ def test_lines_that_fail_reject_a_document():
     good = " ".join(f"word{i}" for i in range(60)) + "."
     junk = "\n".join(f"menu{i} entry{i} item{i}" for i in range(30))
     assert line_rules.judge(good, 0.4)[6] and not line_rules.judge(good + "\n" + junk, 0.4)[6]
+
+
+def test_words_are_letters_with_their_marks(spark):
+    assert language.words_of("² ½ ① Ⅷ 12 _") == []
+    assert language.words_of("Café हिन्दी x_1 été² 漢字") == ["café", "हिन्दी", "x", "été", "漢字"]
+    assert all(language.LETTERS.findall(t.lower()) == language.words_of(t) for t in ("Über den Wolken", "naïve — “x”", "a²b", "ét"))
+    docs = spark.createDataFrame([(1, "² ½", None), (3, "ein Haus am See", "de"), (4, "a house at sea", "en")], "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.language_verdicts(docs).collect()}
+    assert got[1] == "und"
