@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netsift.operators.ranking import with_position
 from netsift.operators.timeline import sessions
 from netsift.schema import FLOW, FLOW_DEFAULTS, conform
 
@@ -291,20 +292,11 @@ def limit_summary(flows: DataFrame, limit: int | None) -> DataFrame:
 
 def quota_allocation(sensors: DataFrame, limit: int) -> DataFrame:
     """Split a packet limit over the sensors of a run; the first ones by name get the remainder."""
-    names = sensors.select("sensor_id").distinct()
-    index = F.row_number().over(Window.orderBy("sensor_id")) - 1  # one row per sensor of a run
+    names = with_position(sensors.select("sensor_id").distinct(), ["sensor_id"], "__i")
     count = names.agg(F.count(F.lit(1)).alias("c")).scalar()
-    return (
-        names.withColumn("__i", index)
-        .withColumn("__n", count)
-        .select(
-            "sensor_id",
-            (
-                F.floor(F.lit(limit) / F.col("__n"))
-                + F.when(F.col("__i") < F.lit(limit) % F.col("__n"), 1).otherwise(0)
-            ).alias("quota"),
-        )
-    )
+    share = F.floor(F.lit(limit) / F.col("__n"))
+    more = F.when(F.col("__i") <= F.lit(limit) % F.col("__n"), 1).otherwise(0)
+    return names.withColumn("__n", count).select("sensor_id", (share + more).alias("quota"))
 
 
 PACKET_HEADER = 16

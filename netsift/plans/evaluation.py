@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netsift.operators.ranking import with_position
+
 from netsift.functions.stats import exact_quantile
 
 POSITIVE = ("LIKELY_C2", "SUSPICIOUS")
@@ -88,51 +90,12 @@ def recall_at_k(ranked: DataFrame, known: DataFrame, k: int = 20) -> DataFrame:
 
 
 def known_ranks(ranked: DataFrame, known: DataFrame) -> DataFrame:
-    """The rank of every known peer: one plus the peers before it.
-
-    Scores have 101 values, so peers are counted per score; only peers of equal score are compared
-    by address, through ranges of equal score that are counted by a window per score and address
-    prefix.
-    """
-    mine = ranked.join(known.select("candidate_ip").distinct(), "candidate_ip", "left_semi")
-    per_score = ranked.groupBy("prefilter_score").agg(F.count(F.lit(1)).alias("n"))
-    above = F.sum("n").over(
-        Window.orderBy(F.desc("prefilter_score")).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    starts = per_score.withColumn("__above", F.coalesce(above, F.lit(0))).drop("n")
-    prefix = F.substring_index("candidate_ip", ".", 2)
-    blocks = (
-        ranked.groupBy("prefilter_score", prefix.alias("__p"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min("candidate_ip").alias("__low"))
-        .withColumn(
-            "__before",
-            F.coalesce(
-                F.sum("n").over(
-                    Window.partitionBy("prefilter_score")
-                    .orderBy("__p")
-                    .rowsBetween(Window.unboundedPreceding, -1)
-                ),
-                F.lit(0),
-            ),
-        )
-        .select("prefilter_score", "__p", "__before")
+    """The rank of every known peer: one plus the peers before it by score, then address."""
+    numbered = with_position(
+        ranked.select("candidate_ip", "prefilter_score"), [F.desc("prefilter_score"), "candidate_ip"], "rank"
     )
-    inside = F.row_number().over(
-        Window.partitionBy("prefilter_score", "__p").orderBy("candidate_ip")
-    )
-    local = ranked.select("candidate_ip", "prefilter_score", prefix.alias("__p")).withColumn(
-        "__in", inside
-    )
-    return (
-        mine.select("candidate_ip")
-        .join(local, "candidate_ip")
-        .join(blocks, ["prefilter_score", "__p"])
-        .join(starts, "prefilter_score")
-        .select(
-            "candidate_ip",
-            "prefilter_score",
-            (F.col("__above") + F.col("__before") + F.col("__in")).alias("rank"),
-        )
+    return numbered.join(known.select("candidate_ip").distinct(), "candidate_ip", "left_semi").select(
+        "candidate_ip", "prefilter_score", "rank"
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from netsift.operators.ranking import with_position
 from netsift.params import RETENTION_DAYS
 from netsift.schema import FLOW, FLOW_DEFAULTS, SENSITIVE_FIELDS, as_flows, conform
 
@@ -159,9 +160,11 @@ def relayout(spark: SparkSession, source: str, target: str, cutoff: str) -> int:
 
 
 def write_candidates(candidates: DataFrame, path: str, job_id: str) -> None:
-    """Candidates of a job, replacing those of an earlier run of the same job only."""
+    """Candidates of a job with their ``position`` by score, then address, replacing those of an earlier run of
+    the same job only."""
     (
-        candidates.withColumn("job_id", F.lit(job_id))
+        with_position(candidates.drop("position"), [F.desc("score"), "candidate_ip"])
+        .withColumn("job_id", F.lit(job_id))
         .write.partitionBy("job_id")
         .mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from workload.tables import flow_sql
 
-START_US, END_US = 1704067200000000, 1706745600000000
 FLOW = flow_sql("duckdb")
 
 F_CTE = f"f AS MATERIALIZED ({FLOW})"
-S_CTE = f"s AS MATERIALIZED (SELECT * FROM f WHERE ts_us BETWEEN {START_US} AND {END_US})"
+#: The registered analysis spans all flows.
+S_CTE = "s AS MATERIALIZED (SELECT * FROM f WHERE ts_us IS NOT NULL)"
 O_CTE = """o AS MATERIALIZED (
   SELECT *, CASE WHEN nd = 'OUTBOUND' THEN destination_ip ELSE source_ip END AS cand,
     CASE WHEN nd = 'OUTBOUND' THEN source_ip ELSE destination_ip END AS host,

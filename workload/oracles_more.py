@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from workload import tables as tb
 from workload.oracles import (
-    END_US, EV_CTE, F_CTE, G, GAP_CTE, O, S_CTE, SCORED, SEVERITY, SIG_CTES, START_US, ctes, score_ctes,
+    EV_CTE, F_CTE, G, GAP_CTE, O, S_CTE, SCORED, SEVERITY, SIG_CTES, ctes, score_ctes,
 )
 from workload.tables import duck
 
@@ -94,7 +94,7 @@ pr0 AS (SELECT pt.cand, fc, least(10.0, 2 + 2 * log2(fc + 1)) AS base,
    LEFT JOIN sy ON sy.cand = pt.cand),
 pre AS MATERIALIZED (SELECT *, CAST(greatest(0, least(100, round_even(base + beacon + cluster + sync + anomaly + pen, 0))) AS INT) AS ps FROM pr0)"""
 
-TOUCH = f"""cx AS (SELECT candidate_ip FROM scored WHERE score >= 40),
+TOUCH = f"""cx AS (SELECT candidate_ip FROM scored),
 tc AS MATERIALIZED (SELECT s.*, cx.candidate_ip FROM s JOIN cx ON s.source_ip = cx.candidate_ip
   UNION ALL SELECT s.*, cx.candidate_ip FROM s JOIN cx ON s.destination_ip = cx.candidate_ip AND s.source_ip <> s.destination_ip)"""
 TOUCHED = (*SCORED, TOUCH)
@@ -328,6 +328,7 @@ SELECT policy, count(*) FILTER (WHERE aff) AS evaluated_case_count, count(*) FIL
         "recall_at_k": f"""{ctes(*O, EV_CTE, PRE, KNOWN)}, top AS (SELECT cand FROM pre ORDER BY ps DESC, cand LIMIT 20),
 hit AS (SELECT count(*) AS h FROM top WHERE cand IN (SELECT candidate_ip FROM kb)), n AS (SELECT count(*) AS n FROM pre), b AS (SELECT count(*) AS b FROM kb)
 SELECT round(h / b, 4) AS recall_at_k, round(h / least(20, n), 4) AS precision_at_k, round(1 - least(20, n) / n, 4) AS candidate_reduction_ratio, n AS peer_count FROM hit, n, b""",
+        "candidate_positions": f"""{ctes(*SCORED)} SELECT candidate_ip, score, row_number() OVER (ORDER BY score DESC, candidate_ip) AS position FROM scored""",
         "known_ranks": f"""{ctes(*O, EV_CTE, PRE, KNOWN)}, r AS (SELECT cand, ps, row_number() OVER (ORDER BY ps DESC, cand) AS rk FROM pre)
 SELECT cand AS candidate_ip, ps AS prefilter_score, rk AS rank FROM r WHERE cand IN (SELECT candidate_ip FROM kb)""",
         "guidance_weights": f"""{ctes(*SCORED, STEPS)} SELECT gw.candidate_ip, gw.detector, CAST(1.0 AS DOUBLE) AS current_value, recommended_value, projected_score,
@@ -387,7 +388,7 @@ ORDER BY last_heartbeat_at DESC, sensor_id LIMIT 40""",
         "enrichment_selection": f"""{ctes(*SCORED)} SELECT candidate_ip, score FROM scored ORDER BY score DESC, candidate_ip LIMIT 15""",
         "verdict_history": f"""{ctes(DEC)} SELECT candidate_id, id, verdict, CAST(row_number() OVER (PARTITION BY candidate_id ORDER BY created_at, id) AS INT) AS position
 FROM dd WHERE confidence IN ('CONFIRMED', 'HIGH', 'MEDIUM', 'LOW') AND note <> '' AND created_at LIKE '%Z'""",
-        "stream_sync_windows": f"""{ctes(*O).replace(f"WHERE ts_us BETWEEN {START_US} AND {END_US}", "")} SELECT cand AS candidate_ip, CAST(floor(ts_us / 2e6) AS BIGINT) * 2000000 AS start_us,
+        "stream_sync_windows": f"""{ctes(*O)} SELECT cand AS candidate_ip, CAST(floor(ts_us / 2e6) AS BIGINT) * 2000000 AS start_us,
   count(DISTINCT host) AS hosts, count(*) AS flows FROM o GROUP BY 1, 2""",
         "simhash_distance": f"""{ctes(F_CTE, S_CTE)} SELECT CAST(bit_count(xor(('0x' || payload_simhash)::UBIGINT, ('0x' || 'e627bf19152d67b3')::UBIGINT)) AS INT) AS distance, count(*) AS n
 FROM s WHERE payload_simhash IS NOT NULL GROUP BY 1""",

@@ -9,7 +9,7 @@ from netsift.params import Params
 from netsift.plans.context import AnalysisContext
 from netsift.plans.detection import detect, run_detectors
 from netsift.plans.scoring import score_candidates
-from workload.tables import START, flows, last_time
+from workload.tables import flows, time_span
 
 _CONTEXTS: dict[tuple[str, str], AnalysisContext] = {}
 
@@ -52,7 +52,7 @@ def context(spark: SparkSession, sf_dir: str, fresh: bool = False) -> AnalysisCo
     """The analysis over all flows; its shared tables are built once per session."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if fresh or key not in _CONTEXTS:
-        ctx = AnalysisContext(flows(spark, sf_dir), PARAMS, START, last_time(spark, sf_dir))
+        ctx = AnalysisContext(flows(spark, sf_dir), PARAMS, *time_span(spark, sf_dir))
         ctx.signatures = signatures(ctx.scoped)
         if fresh:
             return ctx

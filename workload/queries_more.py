@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netsift.operators.ranking import with_position
 from netsift.functions import net
 from netsift.functions.payload import simhash_distance, with_payload_features
 from netsift.operators import packets as pk
@@ -108,7 +109,7 @@ def q_allowlist(spark, sf):
 
 def touching(spark, sf):
     ctx = context(spark, sf)
-    return tr.by_endpoint(ctx.scoped, scored_table(ctx).filter("score >= 40"))
+    return tr.by_endpoint(ctx.scoped, scored_table(ctx))
 
 
 def q_traffic_buckets(spark, sf):
@@ -389,6 +390,11 @@ def q_recall(spark, sf):
     return evaluation.recall_at_k(peers(spark, sf), known_bad(spark, sf), 20)
 
 
+def q_candidate_positions(spark, sf):
+    scored = scored_table(context(spark, sf)).select("candidate_ip", "score")
+    return with_position(scored, [F.desc("score"), "candidate_ip"])
+
+
 def q_known_ranks(spark, sf):
     return evaluation.known_ranks(peers(spark, sf), known_bad(spark, sf))
 
@@ -658,7 +664,7 @@ def more_queries() -> dict:
         "packet_cap": q_packet_cap, "packet_cap_summary": q_packet_cap_summary, "quota_allocation": q_quota,
         "packet_export": q_export, "flow_validation": q_validation, "confusion_matrix": q_evaluate,
         "model_ranking": q_rank_models, "policy_backtest": q_backtest, "recall_at_k": q_recall,
-        "known_ranks": q_known_ranks, "guidance_weights": q_guidance_weights, "guidance": q_guidance,
+        "known_ranks": q_known_ranks, "candidate_positions": q_candidate_positions, "guidance_weights": q_guidance_weights, "guidance": q_guidance,
         "condition_breakdown": q_conditions, "weighted_scores": q_weighted, "evidence_hosts": q_evidence_hosts, "comparison_rows": q_comparison_rows,
         "flow_summary": q_flow_summary, "protocol_values": q_protocol_values, "tcp_flag_totals": q_tcp_flags,
         "data_quality": q_data_quality, "evidence_bundles": q_bundles, "evidence_check": q_evidence_check,

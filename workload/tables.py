@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from netsift.schema import as_flows
 from netsift.session import materialize
 
-#: The flow view begins at START; times grow with the table, so ``last_time`` may lie beyond END.
+#: The flow view begins at START; times grow with the table, so ``time_span`` may reach beyond both.
 START, END = "2024-01-01T00:00:00Z", "2024-02-01T00:00:00Z"
 
 
@@ -151,10 +151,15 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _TABLES[key]
 
 
-def last_time(spark: SparkSession, sf_dir: str) -> str:
-    """The end of the analysis: END, or the time of the latest flow if that is later."""
-    last = flows(spark, sf_dir).agg(F.max("ts_us")).first()[0] or 0
-    return max(END, (datetime(1970, 1, 1, tzinfo=UTC) + timedelta(microseconds=last)).strftime("%Y-%m-%dT%H:%M:%S.%fZ"))
+def time_span(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Start and end of the analysis: START and END, or the times of the first and the last flow beyond them."""
+    first, last = flows(spark, sf_dir).agg(F.min("ts_us"), F.max("ts_us")).first()
+    told = [
+        (datetime(1970, 1, 1, tzinfo=UTC) + timedelta(microseconds=us)).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
+        for us in (first, last)
+        if us is not None
+    ]
+    return min([START, *told]), max([END, *told])
 
 
 def flow_view(spark: SparkSession, events: DataFrame) -> DataFrame:
