@@ -35,11 +35,13 @@ WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn
         role, text FROM conversations WHERE conv_id IS NOT NULL),
 last AS (SELECT conv_id, max(k) AS k FROM t WHERE role = 'assistant' GROUP BY conv_id),
 reply AS (SELECT t.conv_id, t.k, t.text FROM t JOIN last USING (conv_id, k)),
-pair AS (SELECT a.conv_id, a.k AS last, b.text AS reply FROM reply a JOIN reply b ON b.conv_id = xor(a.conv_id, 1)),
+place AS (SELECT *, row_number() OVER (ORDER BY conv_id) AS rn, count(*) OVER () AS n FROM reply),
+pair AS (SELECT a.conv_id, a.k AS last, b.text AS reply, b.conv_id IS NOT NULL AS paired FROM place a
+  LEFT JOIN place b ON b.rn = CASE WHEN a.rn % 2 = 0 OR a.rn = a.n THEN a.rn - 1 ELSE a.rn + 1 END),
 side AS (
   SELECT t.conv_id, 'chosen' AS side, k, role, text FROM t JOIN pair USING (conv_id)
   UNION ALL
-  SELECT t.conv_id, 'rejected', k, role, CASE WHEN k = last THEN reply ELSE text END FROM t JOIN pair USING (conv_id) WHERE k <= last),
+  SELECT t.conv_id, 'rejected', k, role, CASE WHEN k = last THEN reply ELSE text END FROM t JOIN pair USING (conv_id) WHERE k <= last AND paired),
 differs AS (SELECT c.conv_id, min(c.k) AS k FROM side c LEFT JOIN side r ON r.side = 'rejected' AND r.conv_id = c.conv_id AND r.k = c.k
   WHERE c.side = 'chosen' AND (r.k IS NULL OR c.role IS DISTINCT FROM r.role OR c.text IS DISTINCT FROM r.text) GROUP BY c.conv_id),
 shown AS (SELECT s.*, coalesce(s.k < d.k, true) AS common,

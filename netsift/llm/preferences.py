@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netsift.llm.common import docs_of
+from netsift.operators.ranking import with_position
+from netsift.session import materialize
 
 #: The end mark of a turn; its head is its role between ``<|`` and ``|>``, on a line.
 END = "<|end|>\n"
@@ -75,22 +77,22 @@ def preference_records(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
 
 def neighbour_rejections(conversations: DataFrame) -> DataFrame:
     """(conv_id, turns) of rejected conversations for a table without judged pairs: each conversation up
-    to its last assistant turn, whose text is that of the last assistant turn of the neighbour (the
-    conversation whose id differs in the lowest bit). Conversations without an assistant turn, or
-    without such a neighbour, have none."""
+    to its last assistant turn, whose text is that of the last assistant turn of the neighbour. Of the
+    conversations with an assistant turn, in order of conv_id, the first and second are neighbours, the third
+    and fourth, and so on; an odd last one takes the one before it. A conversation that has no other has no
+    turns here; those without an assistant turn have no row."""
     own = turns_of(conversations)
     last = F.array_max(
         F.transform(F.col("turns"), lambda t, i: F.when(t["role"] == "assistant", i))
     )
-    told = own.withColumn("last", last).where("last IS NOT NULL")
-    replies = told.select(
-        F.col("conv_id").bitwiseXOR(F.lit(1).cast("long")).alias("conv_id"), F.get("turns", F.col("last"))["text"].alias("reply")
-    )
+    told = materialize(own.withColumn("last", last).where("last IS NOT NULL"), "told-conversations")
+    placed = materialize(with_position(told.select("conv_id"), ["conv_id"]), "conversation-places")
+    total = placed.count()
+    even = F.col("position") % 2 == 0
+    partner = F.when(even | (F.col("position") == total), F.col("position") - 1).otherwise(F.col("position") + 1)
+    replies = told.select("conv_id", F.get("turns", F.col("last"))["text"].alias("reply")).join(placed, "conv_id")
+    replies = replies.select(F.col("position").alias("partner"), "reply", F.lit(True).alias("paired"))
     swapped = lambda t: F.struct(t["turn"].alias("turn"), t["role"].alias("role"), F.col("reply").alias("text"))
-    return told.join(replies, "conv_id").select(
-        "conv_id",
-        F.concat(
-            F.slice("turns", F.lit(1), F.col("last")),
-            F.array(swapped(F.get("turns", F.col("last")))),
-        ).alias("turns"),
-    )
+    met = told.join(placed.withColumn("partner", partner), "conv_id").join(replies, "partner", "left")
+    whole = F.concat(F.slice("turns", F.lit(1), F.col("last")), F.array(swapped(F.get("turns", F.col("last")))))
+    return met.select("conv_id", F.when(F.col("paired"), whole).otherwise(F.slice("turns", 1, 0)).alias("turns"))

@@ -308,11 +308,35 @@ def test_preferences(spark):
     (same,) = preferences.preference_records(one, one).collect()
     assert (same.n_prompt_turns, same.chosen, same.usable) == (2, "", False)
     assert not rows(preferences.preference_records(one, two.limit(0)))
-    assert not rows(preferences.neighbour_rejections(frame))
+    told = {r.conv_id: [t.text for t in r.turns] for r in preferences.neighbour_rejections(frame).collect()}
+    assert told == {1: ["hi", "no"], 2: ["hi", "yes"]}
     swapped = preferences.neighbour_rejections(frame.where("conv_id = 2").unionByName(frame.where("conv_id = 1").withColumn("conv_id", F.lit(3).cast("bigint"))))
     assert {r.conv_id: [t.text for t in r.turns] for r in swapped.collect()} == {2: ["hi", "yes"], 3: ["hi", "no"]}
 
 
+def test_conversations_are_paired_by_rank(spark):
+    schema = "conv_id bigint, turn bigint, role string, text string, position string, n int"
+    talk = lambda i, reply: [(i, 0, "user", "hi", "p", 1), (i, 1, "assistant", reply, "p", 1)]
+
+    def records(ids):
+        turns = [t for i in ids for t in talk(i, f"reply {i}")] + [(99, 0, "user", "no reply", "p", 1)]
+        frame = spark.createDataFrame(turns, schema)
+        made = preferences.preference_records(preferences.turns_of(frame), preferences.neighbour_rejections(frame))
+        return {r.conv_id: r for r in made.collect()}
+
+    got = records([10, 20, 30, 40, 50])  # ids all even, an odd number of them
+    other = {i: r.rejected.split("\n")[1].removesuffix("<|end|>") for i, r in got.items()}
+    assert other == {10: "reply 20", 20: "reply 10", 30: "reply 40", 40: "reply 30", 50: "reply 40"}
+    assert all(r.usable and r.n_prompt_turns == 1 for r in got.values())
+    (alone,) = records([7]).values()
+    assert not alone.usable and alone.rejected == "" and alone.prompt == "" and "reply 7" in alone.chosen
+    repeated = spark.createDataFrame(talk(4, "same") * 2 + talk(6, "same"), schema)
+    made = preferences.preference_records(preferences.turns_of(repeated), preferences.neighbour_rejections(repeated))
+    assert len(made.collect()) == 2
+    empty = spark.createDataFrame([], schema)
+    assert not preferences.preference_records(preferences.turns_of(empty), preferences.neighbour_rejections(empty)).collect()
+
+
 def test_near_duplicates_against_all_pairs(spark, docs):
     frame = table(spark, "/root/testdata/sf0.01", "documents")
     texts = dict(rows(frame.select("doc_id", "text")))
