@@ -45,7 +45,7 @@ LETTERS = re.compile(_class_of("L") + _class_of("LM") + "*")
 PLAIN = re.compile(r"[^\W\d_]+")
 ODD = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c)[0] == "M" or unicodedata.category(c) in ("No", "Nl"))
 ODD_LATIN = [c for c in ODD if ord(c) < 256]
-ORDERS, MAX_WORDS, MAX_GRAMS = (4, 3, 2, 1), 100_000, 50_000
+ORDERS, MAX_WORDS, MAX_GRAMS = (4, 3, 2, 1), 30_000, 50_000
 #: Each step back costs evidence: weight of a fallback to each order, against 1 for a known word.
 STEP_WEIGHT = {4: 0.6, 3: 0.5, 2: 0.4, 1: 0.2}
 UNKNOWN = "und"
