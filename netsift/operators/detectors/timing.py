@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netsift.functions.stats import cv_from_sums, exact_quantile
@@ -177,56 +177,136 @@ def commands(gated: DataFrame, p: Params) -> DataFrame:
     )
 
 
-SLOT_US = 30_000_000
+#: Length of the spans before and after a command, and the delay after which traffic counts as an attack.
+SPAN_US, DELAY_US = 30_000_000, 1_000_000
+#: Seconds are dealt into blocks of this many; an interval between two bounds is shorter than a block.
+BLOCK_SECONDS = 32
+TARGET = ["target", "target_port", "target_protocol"]
 
 
-def command_reactions(flows: DataFrame, gated: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Outbound traffic of commanded hosts within 30 s around the first command.
+def _sums_before(data: DataFrame, asked: DataFrame, part: list[str], at: str) -> DataFrame:
+    """``asked`` with ``n`` and ``packets``, the sums of ``data`` in the same ``part`` strictly before ``at``.
+
+    Data and questions are sorted together and summed once on the way, so no question meets a row."""
+    empty = {"n": F.lit(0).cast("bigint"), "packets": F.lit(0).cast("bigint")}
+    both = data.withColumn("late", F.lit(1)).unionByName(
+        asked.withColumns({**empty, "late": F.lit(0)}), allowMissingColumns=True
+    )
+    so_far = (
+        Window.partitionBy(*part)
+        .orderBy(at, "late")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    sums = {c: F.sum(c).over(so_far) for c in ("n", "packets")}
+    return both.withColumns(sums).filter("late = 0").select(*asked.columns, "n", "packets")
+
 
-    The interval join is an equi join on (host, 30 s slot): each seed covers at most three slots,
-    so only traffic near a seed is matched and a busy host is spread over its slots.
-    """
-    slot = lambda us: F.floor(us / SLOT_US)
+def sums_around(flows: DataFrame, asked: DataFrame) -> DataFrame:
+    """What hosts sent to each target before and after given moments, without pairing flows and moments.
+
+    ``asked`` holds distinct (host_ip, seed_us). Per asked row and (target, port, protocol) the result has
+    ``attacks`` and ``attack_packets`` of 1 to 30 s after the moment and ``baseline_packets`` of the 30 s
+    before it. Each is the difference of two prefix sums: over the seconds of a block, and inside the two
+    seconds that the interval begins and ends in. Each second lies in two overlapping blocks, so an
+    interval never leaves its block. No sort sees more than the distinct µs of one second of one host and
+    target, or the seconds of one block, and the moments asked there."""
+    second = lambda us: F.floor(F.col(us) / 1_000_000)
+    block = lambda s: F.floor(s / BLOCK_SECONDS)
     seed = F.col("seed_us")
-    hosts = (
-        _inbound(gated)
-        .select("candidate_ip", "host_ip")
-        .distinct()
-        .join(seeds.select("candidate_ip", F.col("first_us").alias("seed_us")), "candidate_ip")
-        .withColumn(
-            "slot", F.explode(F.sequence(slot(seed - SLOT_US), slot(seed + SLOT_US)))
-        )
+    spans = F.sequence(
+        block(F.floor((seed - SPAN_US) / 1_000_000)), block(F.floor((seed + SPAN_US) / 1_000_000))
     )
+    near = asked.withColumn("block", F.explode(spans))
     sent = flows.filter(F.col("direction") == "OUTBOUND").select(
         F.col("source_ip").alias("host_ip"),
         F.col("destination_ip").alias("target"),
         F.col("destination_port").alias("target_port"),
         F.col("protocol").alias("target_protocol"),
         "packet_count",
-        "ts_us",
-        slot(F.col("ts_us")).alias("slot"),
+        F.col("ts_us").alias("at"),
+        block(second("ts_us")).alias("block"),
+    )
+    key = ["host_ip", *TARGET]
+    moments = (
+        sent.join(near.select("host_ip", "block").distinct(), ["host_ip", "block"], "left_semi")
+        .groupBy(*key, "at")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.coalesce(F.sum("packet_count"), F.lit(0)).alias("packets"),
+        )
+        .withColumn("second", second("at"))
+    )
+    seconds = moments.groupBy(*key, "second").agg(
+        F.sum("n").alias("n"), F.sum("packets").alias("packets")
+    )
+    active = (
+        seconds.select(*key, block(F.col("second")).alias("block"))
+        .distinct()
+        .join(near, ["host_ip", "block"])
+        .select(*key, "seed_us")
+        .distinct()
+    )
+    bound = lambda what, sign, low, at: F.struct(
+        F.lit(what).alias("what"), F.lit(sign).alias("sign"), (seed + low).alias("low"), (seed + at).alias("at")
+    )
+    bounds = active.select(
+        "*",
+        F.inline(
+            F.array(
+                bound("attack", -1, DELAY_US, DELAY_US),
+                bound("attack", 1, DELAY_US, SPAN_US + 1),  # the end is included
+                bound("baseline", -1, -SPAN_US, -SPAN_US),
+                bound("baseline", 1, -SPAN_US, 0),
+            )
+        ),
+    ).withColumn("second", second("at"))
+    inside = _sums_before(moments, bounds, [*key, "second"], "at")
+    this = block(F.col("second"))
+    dealt = seconds.withColumn("block", F.explode(F.array(this - 1, this)))
+    across = _sums_before(
+        dealt, bounds.withColumn("block", block(second("low"))), [*key, "block"], "second"
+    )
+    total = lambda what, c: F.sum(
+        F.when(F.col("what") == what, F.col("sign") * F.col(c)).otherwise(0)
     )
-    delta = F.col("ts_us") - seed
-    attack = delta.between(1_000_000, 30_000_000) & (F.col("target") != F.col("candidate_ip"))
-    before = (delta >= -30_000_000) & (delta < 0)
     return (
-        sent.join(hosts, ["host_ip", "slot"])
-        .withColumns({"is_attack": attack, "is_before": before})
-        .filter("is_attack or is_before")
+        inside.unionByName(across.drop("block"))
+        .groupBy(*key, "seed_us")
+        .agg(
+            total("attack", "n").alias("attacks"),
+            total("attack", "packets").alias("attack_packets"),
+            total("baseline", "n").alias("baselines"),
+            total("baseline", "packets").alias("baseline_packets"),
+        )
+        .filter("attacks > 0 or baselines > 0")
+        .drop("baselines")
+    )
+
+
+def command_reactions(flows: DataFrame, gated: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Per candidate, commanded host and target: traffic within 30 s around the first command.
+
+    Traffic to the candidate itself is no attack. Rows without attack and without earlier packets are left out."""
+    hosts = (
+        _inbound(gated)
+        .select("candidate_ip", "host_ip")
+        .distinct()
+        .join(seeds.select("candidate_ip", F.col("first_us").alias("seed_us")), "candidate_ip")
+    )
+    sums = sums_around(flows, hosts.select("host_ip", "seed_us").distinct())
+    own = F.col("target") == F.col("candidate_ip")
+    unless_own = {c: F.when(own, 0).otherwise(F.col(c)) for c in ("attacks", "attack_packets")}
+    return (
+        hosts.join(sums, ["host_ip", "seed_us"])
+        .withColumns(unless_own)
+        .filter("attacks > 0 or baseline_packets > 0")
+        .drop("seed_us")
     )
 
 
 def command_attack(flows: DataFrame, gated: DataFrame, p: Params) -> DataFrame:
     seeds = commands(gated, p)
-    reactions = command_reactions(flows, gated, seeds)
-    packets = lambda flag: F.sum(F.when(F.col(flag), F.col("packet_count")).otherwise(0))
-    per_host = reactions.groupBy(
-        "candidate_ip", "target", "target_port", "target_protocol", "host_ip"
-    ).agg(
-        F.count_if("is_attack").alias("attacks"),
-        packets("is_attack").alias("attack_packets"),
-        packets("is_before").alias("baseline_packets"),
-    )
+    per_host = command_reactions(flows, gated, seeds)
     per_flow = per_host.groupBy("candidate_ip", "target", "target_port", "target_protocol").agg(
         F.sum("attacks").alias("attacks"), F.sum("attack_packets").alias("attack_packets")
     )

@@ -37,6 +37,17 @@ UNION ALL SELECT DISTINCT ev.candidate_ip, ev.type, '', g.host FROM ev JOIN g ON
   WHERE ev.type <> 'ANALYST_PAYLOAD_SIGNATURE' AND ev.type NOT IN ('NON_WELL_KNOWN_PORT', 'PERIODIC_BEACON', 'COMMAND_ATTACK_CORRELATION', 'TCP_SESSION_QUALITY', 'SYNCHRONIZED_COMMUNICATION')
 UNION ALL SELECT DISTINCT cand, 'ANALYST_PAYLOAD_SIGNATURE', id, host FROM sm"""
 
+#: Every flow of a commanded host within 30 s of its candidate's first command, per target.
+COMMAND_REACTIONS = f"""{ctes(*G)},
+cmd AS (SELECT cand, min(ts_us) AS seed FROM g WHERE direction = 'INBOUND' GROUP BY cand HAVING count(DISTINCT host) >= 3),
+hst AS (SELECT DISTINCT g.cand, g.host, seed FROM g JOIN cmd USING (cand) WHERE direction = 'INBOUND'),
+rx AS (SELECT cand, host, s.destination_ip AS target, s.destination_port AS target_port, s.protocol AS target_protocol,
+    s.packet_count AS pk, s.ts_us - seed BETWEEN 1000000 AND 30000000 AND s.destination_ip <> cand AS hit, s.ts_us < seed AS early
+  FROM s JOIN hst ON s.source_ip = hst.host AND s.direction = 'OUTBOUND' AND s.ts_us BETWEEN seed - 30000000 AND seed + 30000000)
+SELECT cand AS candidate_ip, host AS host_ip, target, target_port, target_protocol, count(*) FILTER (WHERE hit) AS attacks,
+  CAST(coalesce(sum(pk) FILTER (WHERE hit), 0) AS BIGINT) AS attack_packets, CAST(coalesce(sum(pk) FILTER (WHERE early), 0) AS BIGINT) AS baseline_packets
+FROM rx GROUP BY ALL HAVING count(*) FILTER (WHERE hit) > 0 OR coalesce(sum(pk) FILTER (WHERE early), 0) > 0"""
+
 # Bytes as hex pairs; FNV-1a over three bytes modulo 2^64; a bit is set by half of the shingles or more.
 _STEP = "(xor(({h})::UBIGINT, {b}::UBIGINT)::HUGEINT * 1099511628211) % 18446744073709551616"
 _H1 = _STEP.format(h="14695981039346656037", b="b1")
@@ -347,7 +358,7 @@ SELECT candidate_ip, rec AS recommendation, CASE WHEN rec = 'DETECTOR_WEIGHT' TH
 SELECT candidate_ip, type AS evidence_type, detector, CAST(wt AS DOUBLE) AS current_weight,
   round(least(cap * 2, least(cap, tot) * wtot / tot) * contribution / tot, 2) AS weighted_contribution FROM w""",
         "weighted_scores": f"{ctes(*SCORED, score_ctes('ev', '', CUSTOM_W, 'ws'))} SELECT candidate_ip, score FROM ws",
-        "evidence_hosts": EVIDENCE_HOSTS,
+        "evidence_hosts": EVIDENCE_HOSTS, "command_reactions": COMMAND_REACTIONS,
         "comparison_rows": f"""{ctes(*O, SIG_MATCHES)} SELECT cand AS candidate_ip, id AS evidence_key, CASE WHEN ex THEN 'EXACT' ELSE 'STRUCTURAL' END AS mode,
   count(*) AS flows, min(ts_us) AS first_us FROM sm GROUP BY ALL""",
         "flow_summary": f"""{ctes(*TOUCHED)} SELECT candidate_ip, count(*) AS flow_count, CAST(sum(packet_count) AS BIGINT) AS packet_count, CAST(sum(total_bytes) AS BIGINT) AS total_bytes,

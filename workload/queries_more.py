@@ -15,6 +15,7 @@ from netsift.operators import review as rv
 from netsift.operators import traffic as tr
 from netsift.operators.roles import classify_direction
 from netsift.operators.detectors.signature import comparison_rows
+from netsift.operators.detectors.timing import command_reactions, commands
 from netsift.plans import bundle, dashboard, evaluation, guidance, prefilter, triage
 from netsift.plans.detection import evidence_hosts
 from netsift.plans.registry import DetectorRegistry, evidence_problems
@@ -56,6 +57,11 @@ def peers(spark, sf) -> DataFrame:
     return ctx.__dict__["prefilter"]
 
 
+def q_command_reactions(spark, sf) -> DataFrame:
+    ctx = context(spark, sf)
+    return command_reactions(ctx.scoped, ctx.gated, commands(ctx.gated, ctx.params))
+
+
 def known_bad(spark, sf) -> DataFrame:
     """Peers with an upheld detector hit of the strongest kinds, as ground truth."""
     strong = ("COMMAND_ATTACK_CORRELATION", "SYNCHRONIZED_COMMUNICATION", "SINGLE_HOST_BEACON")
@@ -647,6 +653,7 @@ def q_stream_dedup(spark, sf):
 
 def more_queries() -> dict:
     names = {
+        "command_reactions": q_command_reactions,
         "prefilter": q_prefilter, "prefilter_topk": q_prefilter_topk, "merge_ranking": q_merge_ranking,
         "review_priority": q_review_priority, "allowlist_suppression": q_allowlist, "traffic_buckets": q_traffic_buckets,
         "traffic_summary": q_traffic_summary, "traffic_values": q_traffic_values, "flow_filter_groups": q_flow_filter,
