@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -201,12 +203,16 @@ def _sums_before(data: DataFrame, asked: DataFrame, part: list[str], at: str) ->
     return both.withColumns(sums).filter("late = 0").select(*asked.columns, "n", "packets")
 
 
-def sums_around(flows: DataFrame, asked: DataFrame) -> DataFrame:
+def _lazy(df: DataFrame, name: str) -> DataFrame:
+    return df
+
+
+def sums_around(flows: DataFrame, asked: DataFrame, table: Callable = _lazy) -> DataFrame:
     """What hosts sent to each target before and after given moments, without pairing flows and moments.
 
     ``asked`` holds distinct (host_ip, seed_us). Per asked row and (target, port, protocol) the result has
     ``attacks`` and ``attack_packets`` of 1 to 30 s after the moment and ``baseline_packets`` of the 30 s
-    before it. Each is the difference of two prefix sums: over the seconds of a block, and inside the two
+    before it. ``table`` may store what is read more than once. Each sum is the difference of two prefix sums: over the seconds of a block, and inside the two
     seconds that the interval begins and ends in. Each second lies in two overlapping blocks, so an
     interval never leaves its block. No sort sees more than the distinct µs of one second of one host and
     target, or the seconds of one block, and the moments asked there."""
@@ -236,6 +242,7 @@ def sums_around(flows: DataFrame, asked: DataFrame) -> DataFrame:
         )
         .withColumn("second", second("at"))
     )
+    moments = table(moments, "reactions")
     seconds = moments.groupBy(*key, "second").agg(
         F.sum("n").alias("n"), F.sum("packets").alias("packets")
     )
@@ -283,7 +290,9 @@ def sums_around(flows: DataFrame, asked: DataFrame) -> DataFrame:
     )
 
 
-def command_reactions(flows: DataFrame, gated: DataFrame, seeds: DataFrame) -> DataFrame:
+def command_reactions(
+    flows: DataFrame, gated: DataFrame, seeds: DataFrame, table: Callable = _lazy
+) -> DataFrame:
     """Per candidate, commanded host and target: traffic within 30 s around the first command.
 
     Traffic to the candidate itself is no attack. Rows without attack and without earlier packets are left out."""
@@ -293,7 +302,8 @@ def command_reactions(flows: DataFrame, gated: DataFrame, seeds: DataFrame) -> D
         .distinct()
         .join(seeds.select("candidate_ip", F.col("first_us").alias("seed_us")), "candidate_ip")
     )
-    sums = sums_around(flows, hosts.select("host_ip", "seed_us").distinct())
+    hosts = table(hosts, "commanded")
+    sums = sums_around(flows, hosts.select("host_ip", "seed_us").distinct(), table)
     own = F.col("target") == F.col("candidate_ip")
     unless_own = {c: F.when(own, 0).otherwise(F.col(c)) for c in ("attacks", "attack_packets")}
     return (
@@ -304,9 +314,11 @@ def command_reactions(flows: DataFrame, gated: DataFrame, seeds: DataFrame) -> D
     )
 
 
-def command_attack(flows: DataFrame, gated: DataFrame, p: Params) -> DataFrame:
-    seeds = commands(gated, p)
-    per_host = command_reactions(flows, gated, seeds)
+def command_attack(
+    flows: DataFrame, gated: DataFrame, p: Params, table: Callable = _lazy
+) -> DataFrame:
+    seeds = table(commands(gated, p), "commands")
+    per_host = table(command_reactions(flows, gated, seeds, table), "per-target")
     per_flow = per_host.groupBy("candidate_ip", "target", "target_port", "target_protocol").agg(
         F.sum("attacks").alias("attacks"), F.sum("attack_packets").alias("attack_packets")
     )

@@ -44,7 +44,7 @@ def _timing_and_signatures(ctx: AnalysisContext) -> dict:
     return {
         "periodic_beacon": lambda: periodic_beacon(ctx.intervals, ctx.contacts, p),
         "synchronized_communication": lambda: synchronized_communication(ctx.gated, p),
-        "command_attack_correlation": lambda: command_attack(ctx.scoped, ctx.gated, p),
+        "command_attack_correlation": lambda: command_attack(ctx.scoped, ctx.gated, p, ctx._table),
         "analyst_payload_signature": lambda: (
             _nothing(ctx)
             if ctx.signatures is None

@@ -59,7 +59,7 @@ def peers(spark, sf) -> DataFrame:
 
 def q_command_reactions(spark, sf) -> DataFrame:
     ctx = context(spark, sf)
-    return command_reactions(ctx.scoped, ctx.gated, commands(ctx.gated, ctx.params))
+    return command_reactions(ctx.scoped, ctx.gated, commands(ctx.gated, ctx.params), ctx._table)
 
 
 def known_bad(spark, sf) -> DataFrame:
