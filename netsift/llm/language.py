@@ -15,7 +15,7 @@ import sys
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +44,8 @@ LETTERS = re.compile(_class_of("L") + _class_of("LM") + "*")
 #: The same for texts without marks and without letter-like numbers, which is much faster.
 PLAIN = re.compile(r"[^\W\d_]+")
 ODD = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c)[0] == "M" or unicodedata.category(c) in ("No", "Nl"))
-ODD_LATIN = [c for c in ODD if ord(c) < 256]
+#: For texts of the first 256 characters, none of which is a mark: letters stay, all else becomes a blank.
+LATIN = bytes(i if unicodedata.category(chr(i))[0] == "L" else 32 for i in range(256))
 ORDERS, MAX_WORDS, MAX_GRAMS = (4, 3, 2, 1), 30_000, 50_000
 #: Each step back costs evidence: weight of a fallback to each order, against 1 for a known word.
 STEP_WEIGHT = {4: 0.6, 3: 0.5, 2: 0.4, 1: 0.2}
@@ -60,11 +61,9 @@ def words_of(text: str) -> list[str]:
     """The lower-case words of a text."""
     low = text.lower()
     try:
-        low.encode("latin-1")
-        plain = not any(c in low for c in ODD_LATIN)
+        return low.encode("latin-1").translate(LATIN).decode("latin-1").split()
     except UnicodeEncodeError:
-        plain = ODD.isdisjoint(low)
-    return (PLAIN if plain else LETTERS).findall(low)
+        return (PLAIN if ODD.isdisjoint(low) else LETTERS).findall(low)
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch], flush: int = 400_000) -> Iterator[pa.RecordBatch]:
@@ -276,15 +275,14 @@ def _text_verdicts(keyed: DataFrame, model: dict, beyond: DataFrame) -> DataFram
                 counted = Counter(words_of(text.as_py()))
                 if not counted:
                     continue
-                own = [(whole[w], n) for w, n in counted.items() if w in whole]
-                at, often = np.array(own, int).reshape(-1, 2).T
+                at = np.fromiter(map(whole.get, counted, repeat(-1)), np.int64, len(counted))
+                often = np.fromiter(counted.values(), np.int64, len(counted))
+                out = at < 0
                 key.append(name)
-                times.append(int(often.sum()))
-                sums.append(often @ table[at])
-                for w, n in counted.items():
-                    if w not in whole:
-                        words.append(w)
-                        many.append(n)
+                times.append(int(often[~out].sum()))
+                sums.append(often[~out] @ table[at[~out]])
+                words += compress(counted, out.tolist())
+                many += often[out].tolist()
                 ends.append(len(words))
             lists = [pa.array([x[i] for x in sums], pa.float64()) for i in range(k)]
             pairs = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(many, pa.int64())], ["word", "times"])

@@ -531,3 +531,16 @@ def test_words_are_letters_with_their_marks(spark):
     docs = spark.createDataFrame([(1, "² ½", None), (3, "ein Haus am See", "de"), (4, "a house at sea", "en")], "doc_id bigint, text string, lang string")
     got = {r["doc_id"]: r["lang_pred"] for r in language.language_verdicts(docs).collect()}
     assert got[1] == "und"
+
+
+def test_words_of_latin_texts_are_runs_of_letters():
+    import random
+
+    from netsift.llm.language import LETTERS, words_of
+
+    rng = random.Random(5)
+    every = "".join(map(chr, range(256)))
+    texts = ["", every, "² ½", "a\x85b\xa0c", "ÀÉß µª"] + ["".join(rng.choices(every, k=80)) for _ in range(200)]
+    texts += [t + rng.choice(["’", "हिन्दी", "Ⅷ", "İ"]) for t in texts]
+    for t in texts:
+        assert words_of(t) == LETTERS.findall(t.lower())
