@@ -293,7 +293,8 @@ def _text_verdicts(keyed: DataFrame, model: dict, beyond: DataFrame) -> DataFram
 
     columns = ", ".join(f"{c} double" for c in scores)
     told = keyed.mapInArrow(spread, f"key binary, times bigint, {columns}, beyond array<struct<word:string,times:bigint>>")
-    told = materialize(told, "language-texts")
+    # a number per row travels with its words; the table is stored, so numbers stay
+    told = materialize(told.withColumn("place", F.monotonically_increasing_id()), "language-texts")
 
     def shorter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,17 +305,18 @@ def _text_verdicts(keyed: DataFrame, model: dict, beyond: DataFrame) -> DataFram
             got = one.known if words else np.empty((0, k + 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(got[:, i]) for i in range(k + 1)]], names=["word", *scores, "known"])
 
-    open_words = told.select("key", F.explode("beyond").alias("x")).select("key", "x.word", "x.times")
+    open_words = told.select("place", F.explode("beyond").alias("x")).select("place", "x.word", "x.times")
     unseen = open_words.select("word").distinct().join(beyond, "word", "left_anti")
     unseen = unseen.mapInArrow(shorter, f"word string, {columns}, known double")
     by_word = beyond.withColumn("known", F.lit(1.0)).unionByName(unseen)
-    met = open_words.select("key", "word", "times").join(by_word, "word").select(
-        "key", F.lit(0).alias("copies"), (F.col("times") * F.col("known")).alias("known"), *[(F.col("times") * F.col(c)).alias(c) for c in scores]
+    met = open_words.join(by_word, "word").select(
+        "place", (F.col("times") * F.col("known")).alias("known"), *[(F.col("times") * F.col(c)).alias(c) for c in scores]
     )
-    own = told.select("key", F.lit(1).alias("copies"), F.col("times").cast("double").alias("known"), *scores)
-    total = own.unionByName(met).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("copies", "known", *scores)])
-    n = F.col("known") / F.col("copies")  # equal texts share a key
-    mean = F.array(*[F.col(c) / F.col("known") * F.least(n, F.lit(16.0)) for c in scores])
+    own = told.select("place", F.col("times").cast("double").alias("known"), *scores)
+    total = own.unionByName(met).groupBy("place").agg(*[F.sum(c).alias(c) for c in ("known", *scores)])
+    # equal texts share a key and a verdict
+    total = told.select("place", "key").join(total, "place").dropDuplicates(["key"])
+    mean = F.array(*[F.col(c) / F.col("known") * F.least("known", F.lit(16.0)) for c in scores])
     total = total.withColumn("mean", F.when(F.col("known") > 0, mean)).withColumn("top", F.array_max("mean"))
     best = F.array_position("mean", F.col("top"))
     share = 1 / F.aggregate("mean", F.lit(0.0), lambda a, m: a + F.exp(m - F.col("top")))
