@@ -3,22 +3,29 @@
 from __future__ import annotations
 
 import ipaddress
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-_V4 = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
+_V4 = rf"^{_OCTET}(?:\.{_OCTET}){{3}}\z"
+_WORD = "[0-9a-fA-F]{1,4}"
+_V6_FULL = rf"^{_WORD}(?::{_WORD}){{7}}\z"
+_V6_SHORT = rf"^(?:{_WORD}(?::{_WORD})*)?::(?:{_WORD}(?::{_WORD})*)?\z"
+_MAPPED = "0" * 20 + "ffff"
 
 
 def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def any_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
@@ -36,47 +43,46 @@ def ipv4_number(col: Column | str) -> Column:
 
 
 def _ipv6_groups(col: Column | str) -> Column:
-    """The eight 16-bit groups of an IPv6 address as hex words (fewer or more when malformed)."""
+    """The eight 16-bit groups of an IPv6 address as hex words, null for anything else."""
     ip = F.lower(_c(col))
     tail = F.substring_index(ip, ":", -1)
     quad = lambda i: F.split_part(tail, F.lit("."), F.lit(i)).cast("bigint")
     pair = lambda i: F.hex(quad(i) * 256 + quad(i + 1))
     head = F.left(ip, F.length(ip) - F.length(tail))
-    plain = F.when(tail.rlike(_V4), F.lower(F.concat(head, pair(1), F.lit(":"), pair(3)))).otherwise(ip)
+    dotted = ip.contains(":") & tail.rlike(_V4)
+    plain = F.when(dotted, F.lower(F.concat(head, pair(1), F.lit(":"), pair(3)))).otherwise(ip)
     words = lambda text: F.filter(F.split(text, ":"), lambda w: w != "")
-    sides = F.split(plain, "::")
-    missing = F.lit(8) - F.size(words(plain))
-    return F.when(
-        F.size(sides) == 2,
-        F.concat(
+
+    def groups(plain: Column) -> Column:
+        sides = F.split(plain, "::")
+        missing = F.lit(8) - F.size(words(plain))
+        filled = F.concat(
             words(F.get(sides, F.lit(0))),
             F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))),
             words(F.get(sides, F.lit(1))),
-        ),
-    ).otherwise(words(plain))
+        )
+        return F.when(plain.rlike(_V6_FULL), F.split(plain, ":")).when(
+            plain.rlike(_V6_SHORT) & (missing > 0), filled
+        )
+
+    return F.when(ip.contains(":"), _let(plain, groups))
 
 
-_V6_TEXT = r"^[0-9a-fA-F:.]+$"
+def _joined(groups: Column, shown: Callable[[Column], Column]) -> Column:
+    """The groups put together, null without groups."""
+    return F.array_join(F.transform(groups, shown), "")
 
 
 def ipv6_hex(col: Column | str) -> Column:
     """IPv6 text as 32 lower-case hex digits, null for anything else."""
-    digits = F.concat_ws("", F.transform(_ipv6_groups(col), lambda w: F.lpad(w, 4, "0")))
-    shaped = _c(col).contains(":") & _c(col).rlike(_V6_TEXT)
-    return F.when(shaped, F.nullif(F.when(F.length(digits) == 32, digits), F.lit("")))
+    return _joined(_ipv6_groups(col), lambda w: F.lpad(w, 4, "0"))
 
 
 def ip_bits(col: Column | str) -> Column:
     """Address family and bit string, e.g. ``4:00001010…``; a prefix of it is a network."""
-    bits = F.concat_ws(
-        "",
-        F.transform(
-            _ipv6_groups(col), lambda w: F.lpad(F.bin(F.conv(w, 16, 10).cast("bigint")), 16, "0")
-        ),
-    )
-    shaped = _c(col).contains(":") & _c(col).rlike(_V6_TEXT)
-    six = F.when(shaped, F.when(F.length(bits) == 128, F.concat(F.lit("6:"), bits)))
-    return F.coalesce(F.concat(F.lit("4:"), F.lpad(F.bin(ipv4_number(col)), 32, "0")), six)
+    bits = lambda w: F.lpad(F.bin(F.conv(w, 16, 10).cast("bigint")), 16, "0")
+    four = F.concat(F.lit("4:"), F.lpad(F.bin(ipv4_number(col)), 32, "0"))
+    return F.coalesce(four, F.concat(F.lit("6:"), _joined(_ipv6_groups(col), bits)))
 
 
 def _networks(cidrs: Iterable[str]) -> list:
@@ -145,27 +151,79 @@ def ip_version(col: Column | str = "source_ip") -> Column:
     return F.when(_c(col).contains(":"), 6).otherwise(4)
 
 
-@F.pandas_udf(T.StringType())
-def canonical_ip(values: pd.Series) -> pd.Series:
-    """Canonical address text (null when invalid); meant for ingest, not for hot paths."""
-
-    def one(value: object) -> str | None:
-        try:
-            return str(ipaddress.ip_address(value))
-        except ValueError:
-            return None
-
-    return values.map(one)
-
+def _ipv4_text(number: Column) -> Column:
+    octet = lambda n: F.shiftright(number, n).bitwiseAND(F.lit(255)).cast("string")
+    dot = F.lit(".")
+    return F.concat(octet(24), dot, octet(16), dot, octet(8), dot, octet(0))
+
+
+def _ipv6_text(digits: Column) -> Column:
+    """Shortest text of 32 hex digits: the first longest run of two or more zero groups becomes
+    ``::``, and an IPv4-mapped address ends in dotted form."""
+    part = lambda d, i: F.regexp_replace(F.substring(d, 4 * i + 1, 4), "^0{1,3}", "")
+    inner = lambda x, end: F.substring(x, F.lit(2), F.length(x) - end)
+
+    def short(text: Column) -> Column:
+        result = inner(text, 2)
+        for n in range(2, 9):  # the longest run is asked last, so it wins
+            run = ":0" * n + ":"
+            at = F.instr(text, run)
+            rest = F.substring(text, at + len(run), F.lit(64))
+            cut = F.concat(inner(F.left(text, at - 1), 1), F.lit("::"), F.left(rest, F.length(rest) - 1))
+            result = F.when(at > 0, cut).otherwise(result)
+        return result
+
+    def shown(d: Column) -> Column:
+        low = F.conv(F.substring(d, 25, 8), 16, 10).cast("bigint")
+        text = F.concat(F.lit(":"), F.concat_ws(":", *[part(d, i) for i in range(8)]), F.lit(":"))
+        return F.when(d.startswith(_MAPPED), F.concat(F.lit("::ffff:"), _ipv4_text(low))).when(
+            d.isNotNull(), _let(text, short)
+        )
 
-@F.pandas_udf(T.StringType())
-def canonical_cidr(values: pd.Series) -> pd.Series:
-    """Canonical network text with host bits masked (null when invalid)."""
+    return _let(digits, shown)
 
-    def one(value: object) -> str | None:
-        try:
-            return str(ipaddress.ip_network(value, strict=False))
-        except ValueError:
-            return None
 
-    return values.map(one)
+def canonical_ip(col: Column | str) -> Column:
+    """Canonical address text, null when invalid. A zone (``%eth0``) of an IPv6 address is kept."""
+    ip = _c(col)
+    address = F.substring_index(ip, "%", 1)
+    zone = F.substring(ip, F.length(address) + 1, F.length(ip))
+    six = F.when((zone == "") | zone.rlike(r"(?s)^%[^%]+\z"), F.concat(_ipv6_text(ipv6_hex(address)), zone))
+    return F.when(ip.rlike(_V4), ip).otherwise(six)
+
+
+def canonical_cidr(col: Column | str) -> Column:
+    """Canonical network text with host bits masked, null when invalid or with a zone.
+
+    Without a prefix the network is the one address. IPv4 also takes a netmask or host mask.
+    """
+    text = _c(col)
+    address = F.substring_index(text, "/", 1)
+    given = F.when(text.contains("/"), F.substring(text, F.length(address) + 2, F.length(text)))
+    digits = F.when(given.rlike(r"^[0-9]+\z"), F.regexp_replace(given, "^0+(?=.)", ""))
+    size = F.when(F.length(digits) <= 3, digits.cast("int"))
+    mask = ipv4_number(given)
+    host = F.lit(0xFFFFFFFF).cast("bigint") - mask
+    ones = lambda n: n.bitwiseAND(n + 1) == 0
+    masked = F.when(ones(host), 32 - F.bit_count(host)).when(ones(mask), 32 - F.bit_count(mask))
+    step = lambda bits: F.pow(F.lit(2.0), bits).cast("bigint")
+
+    four = F.when(given.isNull(), 32).otherwise(F.coalesce(size, masked))
+    number = ipv4_number(address)
+    v4 = lambda n, bits: F.concat(_ipv4_text(n - n % step(32 - bits)), F.lit("/"), bits.cast("string"))
+
+    six = F.when(given.isNull(), 128).otherwise(size)
+
+    def group(word: Column, i: Column, bits: Column) -> Column:
+        value = F.conv(word, 16, 10).cast("bigint")
+        kept = F.greatest(F.least(bits - 16 * i, F.lit(16)), F.lit(0))
+        return F.lpad(F.lower(F.hex(value - value % step(16 - kept))), 4, "0")
+
+    def v6(bits: Column) -> Column:
+        cut = F.array_join(F.transform(_ipv6_groups(address), lambda w, i: group(w, i, bits)), "")
+        return F.concat(_ipv6_text(cut), F.lit("/"), bits.cast("string"))
+
+    return F.coalesce(
+        F.when(four.between(0, 32), _let(number, lambda n: _let(four, lambda bits: v4(n, bits)))),
+        F.when(six.between(0, 128), _let(six, v6)),
+    )

@@ -19,38 +19,87 @@ PRINTABLE_CONTROLS = (9, 10, 13)
 _PRINTABLE = np.zeros(256, dtype=bool)
 _PRINTABLE[0x20:0x7F] = True
 _PRINTABLE[list(PRINTABLE_CONTROLS)] = True
-_VALUE_BITS = np.unpackbits(
-    np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little"
-).astype(np.int64)
+# Four bits of a byte, each in a lane of 16 bits of one word: summed words are four counts at once.
+_LANES = np.zeros((2, 256), dtype=np.uint64)
+for _half in range(2):
+    for _lane in range(4):
+        _set = (np.arange(256) >> (4 * _half + _lane)) & 1
+        _LANES[_half] |= _set.astype(np.uint64) << np.uint64(16 * _lane)
+# Hashes whose votes share a lane (it overflows at 65,536), and bytes and payloads handled at once.
+SEGMENT = 1 << 15
+BLOCK_BYTES, BLOCK_ROWS = 1 << 20, 1 << 12
+
+
+def _simhashes(data: np.ndarray, sizes: np.ndarray) -> list[str]:
+    """64-bit SimHash over 3-byte shingles of each payload in the buffer; a tied vote sets the bit."""
+    widths = np.minimum(sizes, SHINGLE_BYTES)
+    spans = sizes - widths + 1
+    total = int(spans.sum())
+    starts = np.cumsum(spans) - spans
+    inside = np.arange(total) - np.repeat(starts, spans)
+    at = np.repeat(np.cumsum(sizes) - sizes, spans) + inside
+    state = np.full(total, FNV_OFFSET, dtype=np.uint64)
+    width = np.repeat(widths, spans) if widths.min() < SHINGLE_BYTES else None
+    for i in range(int(widths.max())):
+        rows = slice(None) if width is None else width > i
+        state[rows] = (state[rows] ^ data[at[rows] + i].astype(np.uint64)) * np.uint64(FNV_PRIME)
+    octets = state.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)
+    segments = np.flatnonzero(inside % SEGMENT == 0)
+    ones = np.empty((len(segments), 64), dtype=np.int64)
+    for bit in range(0, 64, 4):
+        sums = np.add.reduceat(_LANES[bit // 4 % 2][octets[:, bit // 8]], segments)
+        for lane in range(4):
+            ones[:, bit + lane] = (sums >> np.uint64(16 * lane)) & np.uint64(0xFFFF)
+    votes = np.add.reduceat(ones, np.searchsorted(segments, starts), axis=0)
+    packed = np.packbits(2 * votes >= spans[:, None], axis=1, bitorder="little")[:, ::-1]
+    text = packed.tobytes().hex()
+    return [text[i : i + 16] for i in range(0, len(text), 16)]
+
+
+def _block_stats(payloads: list[bytes]) -> list[tuple[float, float, str]]:
+    """Entropy, printable share and SimHash of payloads that have at least one byte each."""
+    sizes = np.fromiter(map(len, payloads), dtype=np.int64, count=len(payloads))
+    data = np.frombuffer(b"".join(payloads), dtype=np.uint8)
+    cells = np.repeat(np.arange(len(sizes)) * 256, sizes) + data
+    counts = np.bincount(cells, minlength=256 * len(sizes)).reshape(-1, 256)
+    p = counts / sizes[:, None]
+    bits = p * np.log2(p, where=counts > 0, out=np.zeros_like(p))
+    entropy = (-bits.sum(axis=1) + 0.0).tolist()
+    printable = (counts[:, _PRINTABLE].sum(axis=1) / sizes).tolist()
+    digits = lambda values: [round(v, 4) for v in values]
+    return list(zip(digits(entropy), digits(printable), _simhashes(data, sizes), strict=True))
+
+
+def batch_stats(payloads: list[bytes | None]) -> list[tuple]:
+    """Shannon entropy in bits, printable share (both 4 digits) and SimHash of each payload; nulls
+    for an empty one. Payloads lie one after another in a buffer, which numpy reduces by row."""
+    result: list[tuple] = [(None, None, None)] * len(payloads)
+    block: list[int] = []
+    held = 0
+
+    def settle() -> None:
+        for i, row in zip(block, _block_stats([payloads[i] for i in block]), strict=True):
+            result[i] = row
+
+    for i, payload in enumerate(payloads):
+        if not payload:
+            continue
+        if block and (held + len(payload) > BLOCK_BYTES or len(block) == BLOCK_ROWS):
+            settle()
+            block, held = [], 0
+        block.append(i)
+        held += len(payload)
+    if block:
+        settle()
+    return result
 
 
-def _shingle_hashes(data: np.ndarray) -> np.ndarray:
-    width = min(SHINGLE_BYTES, len(data))
-    spans = len(data) - width + 1
-    state = np.full(spans, FNV_OFFSET, dtype=np.uint64)
-    for i in range(width):
-        state = (state ^ data[i : i + spans].astype(np.uint64)) * np.uint64(FNV_PRIME)
-    return state
+def byte_stats(payload: bytes) -> tuple[float, float, str]:
+    return batch_stats([payload])[0]
 
 
 def simhash(payload: bytes) -> str:
-    """64-bit SimHash over 3-byte shingles; a tied vote sets the bit."""
-    hashes = _shingle_hashes(np.frombuffer(payload, dtype=np.uint8))
-    # Bits are counted per byte value, so a hash costs eight table updates and not 64.
-    octets = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
-    seen = [np.bincount(octets[:, i], minlength=256) for i in range(8)]
-    ones = (np.stack(seen) @ _VALUE_BITS).reshape(-1)
-    value = sum(1 << bit for bit in range(64) if 2 * int(ones[bit]) >= len(hashes))
-    return format(value, "016x")
-
-
-def byte_stats(payload: bytes) -> tuple[float, float, str]:
-    """Shannon entropy in bits, printable share (both 4 digits) and SimHash."""
-    counts = np.bincount(np.frombuffer(payload, dtype=np.uint8), minlength=256)
-    p = counts[counts > 0] / len(payload)
-    entropy = -float((p * np.log2(p)).sum()) + 0.0
-    printable = counts[_PRINTABLE].sum() / len(payload)
-    return round(entropy, 4), round(float(printable), 4), simhash(payload)
+    return byte_stats(payload)[2]
 
 
 _STATS = T.StructType(
@@ -64,9 +113,8 @@ _STATS = T.StructType(
 
 @F.pandas_udf(_STATS)
 def _byte_stats(payloads: pd.Series) -> pd.DataFrame:
-    rows = [byte_stats(bytes(x)) if x is not None and len(x) else (None,) * 3 for x in payloads]
     return pd.DataFrame(
-        rows, columns=["payload_entropy", "payload_printable_ratio", "payload_simhash"]
+        batch_stats(payloads.tolist()), columns=["payload_entropy", "payload_printable_ratio", "payload_simhash"]
     )
 
 

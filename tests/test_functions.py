@@ -1,4 +1,5 @@
 import ipaddress
+import math
 import random
 import statistics
 
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from netsift.functions import net
 from netsift.functions.payload import (
-    byte_stats, payload_ascii, simhash, simhash_bands, simhash_distance, with_payload_features,
+    FNV_OFFSET, FNV_PRIME, batch_stats, byte_stats, payload_ascii, simhash, simhash_bands, simhash_distance, with_payload_features,
 )
 from netsift.functions.stats import exact_quantile
 from netsift.operators.packets import running_total
@@ -171,3 +172,68 @@ def test_running_total(spark):
         total += v
         expected.append(total)
     assert got == expected
+
+
+def test_canonical_text_equals_the_standard_library(spark):
+    rng = random.Random(11)
+
+    def word():
+        return rng.choice(["0", "0", "0", "00", "0000", "1", "0a", "DB8", "ffff", f"{rng.getrandbits(16):x}", "12345", "g"][: rng.choice([10, 10, 12])])
+
+    ips = [a for a in ADDRESSES if a is not None] + [
+        ":::", "1::2::3", "1:2:3:4:5:6:7::8", ":1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8:", "::1.2.3.4", "::1.2.3.256", "1.2.3.4::",
+        "fe80::1%eth0", "fe80::1%", "fe80::1%a%b", "1.2.3.4\n", "::1\n", "0:0:1:0:0:1:0:0", "::ffff:0:0", "1.2.3.4%x", "1:2:3:4:5:6:1.2.3.4", "1::3:4:5:6:7:8"]
+    for _ in range(600):
+        words = [word() for _ in range(rng.choice([8, 8, 8, 7, 5]))]
+        text = ":".join(words)
+        if rng.random() < 0.5:
+            at = rng.randrange(len(words))
+            text = ":".join(words[:at]) + "::" + ":".join(words[at + rng.randint(1, 4):])
+        ips.append(text)
+    sizes = ["", "/", "/0", "/7", "/08", "/31", "/32", "/33", "/64", "/77", "/128", "/129", "/-1", "/ 8", "/255.255.240.0", "/0.0.0.255", "/255.0.255.0", "/0.0.0.0", "/8/8", "/9999999999"]
+    pairs = [(ip, (ip if "%" not in ip else "::") + rng.choice(sizes)) for ip in ips]
+    pairs += [(f"{rng.randrange(300)}.{rng.randrange(256)}.0.{rng.randrange(256)}", f"10.{rng.randrange(256)}.3.4{size}") for size in sizes]
+
+    def told(make, value):
+        try:
+            return str(make(value))
+        except ValueError:
+            return None
+
+    df = spark.createDataFrame([*pairs, (None, None)], "ip string, cidr string")
+    for r in df.select("*", net.canonical_ip("ip").alias("a"), net.canonical_cidr("cidr").alias("n"), net.ip_bits("ip").alias("b")).collect():
+        address = told(ipaddress.ip_address, r.ip) if r.ip is not None else None
+        assert r.a == address, r.ip
+        assert r.n == (told(lambda v: ipaddress.ip_network(v, strict=False), r.cidr) if r.cidr is not None else None), r.cidr
+        assert (r.b is not None) == (address is not None and "%" not in r.ip), r.ip
+
+
+def test_payload_batches_equal_single_payloads(spark):
+    """One payload at a time, byte by byte and bit by bit, against the batch kernels."""
+    rng = random.Random(5)
+    payloads = [b"", None, b"a", b"ab", b"abc", bytes(70_000), b"\x00\xff" * 40_000, rng.randbytes(66_000), *[rng.randbytes(rng.randint(1, 60)) for _ in range(5_000)]]
+
+    def slow(data):
+        if not data:
+            return (None, None, None)
+        width = min(3, len(data))
+        votes, spans = [0] * 64, len(data) - width + 1
+        cache = {}
+        for i in range(spans):
+            shingle = data[i : i + width]
+            cache[shingle] = cache.get(shingle, 0) + 1
+        for shingle, times in cache.items():
+            h = FNV_OFFSET
+            for byte in shingle:
+                h = ((h ^ byte) * FNV_PRIME) % 2**64
+            for bit in range(64):
+                votes[bit] += times * (h >> bit & 1)
+        counts = [data.count(bytes([v])) for v in set(data)]
+        entropy = -sum(c / len(data) * math.log2(c / len(data)) for c in counts)
+        shown = sum(32 <= b < 127 or b in (9, 10, 13) for b in data) / len(data)
+        return (round(entropy, 4), round(shown, 4), f"{sum(1 << i for i in range(64) if 2 * votes[i] >= spans):016x}")
+
+    for got, payload in zip(batch_stats(payloads), payloads, strict=True):
+        want = slow(payload)
+        assert got[2] == want[2]
+        assert got[:2] == pytest.approx(want[:2], abs=1.01e-4) if payload else got == want
