@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
+from datetime import UTC, date, datetime, timedelta
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +17,11 @@ from netsift.schema import FLOW, FLOW_DEFAULTS, SENSITIVE_FIELDS, as_flows, conf
 
 BATCH_KEY = ["sensor_id", "batch_id"]
 ROW_KEY = [*BATCH_KEY, "record_index"]
-LEDGER = "sensor_id string, batch_id string, record_count bigint, ingested_at timestamp"
+DAY_KEYS = ("event_date", "last_date")
+LEDGER = (
+    "sensor_id string, batch_id string, record_count bigint, ingested_at timestamp, "
+    "load_id string, last_date date"
+)
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -35,18 +41,13 @@ def read_flow_json(spark: SparkSession, path: str) -> DataFrame:
     return conform(rows, FLOW, FLOW_DEFAULTS)
 
 
-def new_batches(records: DataFrame, ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of batches not yet in the ledger and their ledger rows.
+def new_batches(records: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Rows of batches not yet in the ledger, one for each index of a batch.
 
-    ``records`` carry sensor_id, batch_id, record_index. A repeated delivery inside the input is
-    reduced to one row per index first, so counts are those of the batch.
+    ``records`` carry sensor_id, batch_id, record_index.
     """
-    unique = records.dropDuplicates(ROW_KEY)
-    fresh = unique.join(ledger.select(*BATCH_KEY), BATCH_KEY, "left_anti")
-    entries = fresh.groupBy(*BATCH_KEY).agg(
-        F.count(F.lit(1)).alias("record_count"), F.current_timestamp().alias("ingested_at")
-    )
-    return fresh, entries
+    known = ledger.select(*BATCH_KEY).distinct()
+    return records.dropDuplicates(ROW_KEY).join(known, BATCH_KEY, "left_anti")
 
 
 def batch_results(records: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -66,47 +67,88 @@ def batch_results(records: DataFrame, ledger: DataFrame) -> DataFrame:
     )
 
 
-def mixed_batches(records: DataFrame) -> DataFrame:
-    """Batches whose records name more than one sensor; they are rejected as a whole."""
+def mixed_batches(records: DataFrame, by: str = "batch_id") -> DataFrame:
+    """Values of ``by`` whose records name more than one sensor; they are rejected as a whole."""
     return (
-        records.groupBy("batch_id")
+        records.groupBy(by)
         .agg(F.min("sensor_id").alias("a"), F.max("sensor_id").alias("b"))
         .filter(F.col("a") != F.col("b"))
-        .select("batch_id")
+        .select(by)
     )
 
 
-def ingest_batches(spark: SparkSession, records: DataFrame, table: str, ledger_path: str) -> None:
-    """Append new batches to the day-partitioned flow table, then to the ledger.
+def ingest_batches(
+    spark: SparkSession, records: DataFrame, table: str, ledger_path: str, request: str | None = None
+) -> str:
+    """Append new batches to the day-partitioned flow table, then publish them in the ledger.
 
-    Rows are written before the ledger, so a failure in between leads to a repeated delivery of
-    the batch; ``snapshot`` removes such rows by batch key.
+    Rows go to folders of this load. The ledger names the load of each batch and is written last,
+    from the rows that are stored, so a failure in between leaves rows no ``snapshot`` with the
+    ledger shows, and the batch may be sent again. Where two loads bring a batch at the same time
+    the first in the ledger counts. ``request`` names the column of the delivery a record came in;
+    deliveries that mix sensors are refused. Returns the id of the load.
     """
-    ledger = read_or_empty(spark, ledger_path, LEDGER)
-    rows, entries = new_batches(records, ledger)
-    write_flows(rows, table)
-    entries.write.mode("append").parquet(ledger_path)
+    load = uuid.uuid4().hex
+    if request:
+        records = records.join(mixed_batches(records, request), request, "left_anti")
+    rows = new_batches(records, read_or_empty(spark, ledger_path, LEDGER))
+    write_flows(rows.withColumn("load_id", F.lit(load)), table)
+    publish(spark, table, ledger_path, load)
+    return load
+
+
+def publish(spark: SparkSession, table: str, ledger_path: str, load: str) -> None:
+    """Enter the batches of a stored load in the ledger, in a folder by the last day of their rows."""
+    stored = read_or_empty(
+        spark, table, "sensor_id string, batch_id string, event_date date, load_id string"
+    )
+    (
+        stored.filter(F.col("load_id") == load)
+        .groupBy(*BATCH_KEY)
+        .agg(F.count(F.lit(1)).alias("record_count"), F.max("event_date").alias("last_date"))
+        .withColumns({"ingested_at": F.current_timestamp(), "load_id": F.lit(load)})
+        .write.partitionBy("last_date")
+        .mode("append")
+        .parquet(ledger_path)
+    )
+
+
+def published(ledger: DataFrame) -> DataFrame:
+    """The load that counts for each batch: the first one entered."""
+    first = F.min_by("load_id", F.struct("ingested_at", "load_id"))
+    return ledger.groupBy(*BATCH_KEY).agg(first.alias("load_id"))
 
 
 def write_flows(rows: DataFrame, table: str, mode: str = "append") -> None:
-    """One folder per day; sorted inside files so that sensor and time filters skip row groups.
+    """One folder per day (and load, if rows carry one); sorted inside files so that sensor and
+    time filters skip row groups.
 
     Rebalancing lets AQE split the partition of a busy sensor and merge those of quiet ones.
     """
+    folders = ["event_date", *(["load_id"] if "load_id" in rows.columns else [])]
     (
         rows.withColumn("event_date", F.to_date("timestamp"))
         .hint("rebalance", "event_date", "sensor_id")
-        .sortWithinPartitions("event_date", "sensor_id", "timestamp")
-        .write.partitionBy("event_date")
+        .sortWithinPartitions(*folders, "sensor_id", "timestamp")
+        .write.partitionBy(*folders)
         .mode(mode)
         .parquet(table)
     )
 
 
 def snapshot(
-    spark: SparkSession, table: str, sensors: Iterable[str], start: str, end: str
+    spark: SparkSession,
+    table: str,
+    sensors: Iterable[str],
+    start: str,
+    end: str,
+    ledger_path: str | None = None,
 ) -> DataFrame:
-    """Flows of the named sensors in an inclusive time range (none named: no rows)."""
+    """Flows of the named sensors in an inclusive time range (none named: no rows).
+
+    With the ledger only published loads are read; without it every stored row of a batch index
+    counts once.
+    """
     df = spark.read.parquet(table)
     names = sorted(set(sensors))
     if not names:
@@ -117,6 +159,9 @@ def snapshot(
         & F.col("timestamp").between(lo, hi)
         & F.col("sensor_id").isin(names)
     )
+    if ledger_path:
+        ledger = read_or_empty(spark, ledger_path, LEDGER).filter(F.col("sensor_id").isin(names))
+        return rows.join(published(ledger), [*BATCH_KEY, "load_id"], "left_semi")
     if "batch_id" in df.columns:
         rows = rows.dropDuplicates(ROW_KEY)
     return rows
@@ -139,6 +184,35 @@ def unexpired(df: DataFrame, kind: str, now: str, time_column: str = "timestamp"
     return kept
 
 
+def drop_expired(spark: SparkSession, path: str, kind: str, now: str) -> list[str]:
+    """Delete the day folders of a partitioned table that lie wholly before the retention time.
+
+    For a flow table these are days of flows, for the ledger the last day of a batch, so a batch
+    stays entered as long as one of its days is stored. Rows of the day on which the limit falls
+    stay; readers filter them by ``unexpired``. Returns the names of the deleted folders.
+    """
+    limit = datetime.fromisoformat(now).astimezone(UTC) - timedelta(days=RETENTION_DAYS[kind])
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    dropped = []
+    for entry in files.listStatus(folder):
+        name = entry.getPath().getName()
+        key, _, day = name.partition("=")
+        if key in DAY_KEYS and _is_day(day) and day < limit.date().isoformat():
+            files.delete(entry.getPath(), True)
+            dropped.append(name)
+    return sorted(dropped)
+
+
+def _is_day(text: str) -> bool:
+    try:
+        return date.fromisoformat(text).isoformat() == text
+    except ValueError:
+        return False
+
+
 def relayout(spark: SparkSession, source: str, target: str, cutoff: str) -> int:
     """Copy rows from ``cutoff`` on into a month-partitioned, sorted table; checks the row count.
 

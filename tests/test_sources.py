@@ -69,6 +69,30 @@ def test_ingest_is_idempotent(spark, tmp_path):
     assert src.mixed_batches(rows.unionByName(rows.withColumn("sensor_id", F.lit("s2")))).count() == 1
 
 
+def test_unpublished_loads_stay_out_and_days_expire(spark, tmp_path):
+    table, ledger = str(tmp_path / "flows"), str(tmp_path / "ledger")
+    one = frame(spark, [flow(i) for i in range(4)]).withColumns({"batch_id": F.lit("b1"), "record_index": F.monotonically_increasing_id()})
+    whole = ["s1"], "2026-01-01T00:00:00Z", "2027-01-01T00:00:00Z", ledger
+    assert src.drop_expired(spark, table, "flow", "2026-02-01T00:00:00Z") == []
+    src.write_flows(one.withColumn("load_id", F.lit("torn")), table)  # the ledger was never written
+    assert src.snapshot(spark, table, *whole).count() == 0
+    load = src.ingest_batches(spark, one, table, ledger)
+    assert [r.load_id for r in src.snapshot(spark, table, *whole).select("load_id").distinct().collect()] == [load]
+    src.publish(spark, table, ledger, "torn")  # a second load of the same batch: the first entry counts
+    assert src.snapshot(spark, table, *whole).count() == 4
+    mixed = one.withColumns({"batch_id": F.lit("b2"), "request": F.lit("r")})
+    mixed = mixed.unionByName(mixed.withColumn("sensor_id", F.lit("s2")))
+    pure = one.withColumns({"batch_id": F.lit("b3"), "request": F.lit("q"), "timestamp": F.col("timestamp") + F.expr("INTERVAL 3 DAYS")})
+    src.ingest_batches(spark, mixed.unionByName(pure), table, ledger, "request")
+    entered = src.read_or_empty(spark, ledger, src.LEDGER)
+    assert {r.batch_id for r in entered.collect()} == {"b1", "b3"}
+    assert src.drop_expired(spark, table, "flow", "2026-01-31T12:00:00Z") == []
+    assert src.drop_expired(spark, table, "flow", "2026-02-01T00:00:00Z") == ["event_date=2026-01-01"]
+    assert src.drop_expired(spark, ledger, "flow", "2026-02-01T00:00:00Z") == ["last_date=2026-01-01"]
+    assert {r.batch_id for r in src.snapshot(spark, table, *whole).collect()} == {"b3"}
+    assert [r.batch_id for r in src.read_or_empty(spark, ledger, src.LEDGER).collect()] == ["b3"]
+
+
 def test_json_source_defaults(spark, tmp_path):
     (tmp_path / "f.json").write_text('{"sensor_id":"s","timestamp":"2026-01-01T00:00:00Z","source_ip":"10.0.0.1"}\nbroken\n')
     rows = src.read_flow_json(spark, str(tmp_path)).collect()

@@ -376,6 +376,12 @@ SELECT candidate_ip, kind, CAST(position AS INT) AS position, value FROM (SELECT
         "dataset_counts": f"""{ctes(F_CTE)} SELECT sensor_id, CAST(sum(packet_count) AS BIGINT) AS packet_count, count(*) AS flow_count FROM f GROUP BY 1""",
         "batch_ingest": f"""{ctes(F_CTE)}, b AS (SELECT sensor_id, concat('b', CAST(floor(flow_no / 100) AS BIGINT)) AS batch_id, count(*) AS n FROM f GROUP BY 1, 2)
 SELECT sensor_id, batch_id, n + 1 < 50 AS accepted, CASE WHEN n + 1 < 50 THEN n ELSE n + 1 END AS record_count FROM b""",
+        "snapshot_rows": f"""{ctes(F_CTE)} SELECT sensor_id, concat('b', CAST(floor(flow_no / 100) AS BIGINT)) AS batch_id, CAST(flow_no % 100 AS INT) AS record_index, flow_no FROM f
+WHERE CAST(floor(flow_no / 100) AS BIGINT) % 3 < 2 AND sensor_id IN (SELECT DISTINCT sensor_id FROM f ORDER BY 1 LIMIT 2)
+  AND ts_us BETWEEN epoch_us(TIMESTAMP '2024-01-01') AND epoch_us(TIMESTAMP '2034-01-01')""",
+        "retained_ledger": f"""{ctes(F_CTE)} SELECT sensor_id, concat('b', CAST(floor(flow_no / 100) AS BIGINT)) AS batch_id, count(*) AS record_count,
+  count(*) FILTER (WHERE CAST(make_timestamp(ts_us) AS DATE) >= DATE '2024-01-02') AS stored_rows FROM f
+WHERE CAST(floor(flow_no / 100) AS BIGINT) % 3 < 2 GROUP BY 1, 2 HAVING max(CAST(make_timestamp(ts_us) AS DATE)) >= DATE '2024-01-02'""",
         "rolling_sample": f"""{ctes(*O)}, r AS (SELECT cand, host, ts_us, row_number() OVER (PARTITION BY cand, host ORDER BY ts_us DESC) AS rn FROM o)
 SELECT cand AS candidate_ip, host AS host_ip, count(*) AS n, min(ts_us) AS oldest FROM r WHERE rn <= 3 GROUP BY 1, 2""",
         "payload_hashes": """SELECT doc_id, sha256(text) AS payload_hash, sha256(CASE WHEN strlen(text) <= 32 THEN encode(text) ELSE encode(text)[1:32] END) AS payload_prefix_hash,

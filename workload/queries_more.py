@@ -31,6 +31,8 @@ from workload.tables import flows, view
 NOW_DASHBOARD = "2024-01-02T12:30:00Z"
 NOW_JOBS = "2001-08-01T12:00:00Z"
 NOW_FLOWS = "2024-02-20T00:00:00Z"
+#: Thirty days before lie a few hours into the flows, so that the first day expires.
+RETAINED_AT = "2024-02-01T06:00:00Z"
 NOW_SENSORS = "2024-01-30T23:59:59Z"
 ALLOWLIST = [
     ("IP", "192.0.2.80", "a", None, True),
@@ -510,6 +512,37 @@ def q_ingest(spark, sf):
     return src.batch_results(sent.unionByName(sent), ledger)
 
 
+def _loaded(spark, sf):
+    """Flow table and ledger after two deliveries that overlap and a load that was never published."""
+    folder = f"{shared_dir(spark)}/netsift/ingest-{uuid.uuid4().hex}"
+    table, ledger = f"{folder}/flows", f"{folder}/ledger"
+    sent = batches(spark, sf)
+    number = F.floor(F.col("flow_no") / 100)
+    src.ingest_batches(spark, sent.filter(number % 3 == 0), table, ledger)
+    src.ingest_batches(spark, sent.filter(number % 3 < 2).unionByName(sent.filter(number % 3 == 1)), table, ledger)
+    lost = sent.filter(number % 3 == 2).withColumn("load_id", F.lit("unpublished"))
+    src.write_flows(lost, table)
+    return table, ledger
+
+
+def q_snapshot_rows(spark, sf):
+    table, ledger = _loaded(spark, sf)
+    sensors = [r.sensor_id for r in spark.read.parquet(table).select("sensor_id").distinct().orderBy("sensor_id").limit(2).collect()]
+    rows = src.snapshot(spark, table, sensors, "2024-01-01T00:00:00Z", "2034-01-01T00:00:00Z", ledger)
+    return rows.select("sensor_id", "batch_id", "record_index", "flow_no")
+
+
+def q_retained_ledger(spark, sf):
+    table, ledger = _loaded(spark, sf)
+    for path in (table, ledger):
+        src.drop_expired(spark, path, "flow", RETAINED_AT)
+    entries = src.read_or_empty(spark, ledger, src.LEDGER)
+    stored = src.read_or_empty(spark, table, "sensor_id string, batch_id string, load_id string, event_date date")
+    left = stored.groupBy("sensor_id", "batch_id", "load_id").agg(F.count(F.lit(1)).alias("stored_rows"))
+    return entries.join(left, ["sensor_id", "batch_id", "load_id"], "left").select(
+        "sensor_id", "batch_id", "record_count", "stored_rows")
+
+
 def q_rolling(spark, sf):
     ctx = context(spark, sf)
     keep = tr.rolling_sample(ctx.oriented, ["candidate_ip", "host_ip"], 3)
@@ -676,7 +709,7 @@ def more_queries() -> dict:
         "flow_summary": q_flow_summary, "protocol_values": q_protocol_values, "tcp_flag_totals": q_tcp_flags,
         "data_quality": q_data_quality, "evidence_bundles": q_bundles, "evidence_check": q_evidence_check,
         "custom_detector": q_custom, "retention_filter": q_retention, "dataset_counts": q_dataset_counts,
-        "batch_ingest": q_ingest, "rolling_sample": q_rolling, "payload_hashes": q_payload_hashes,
+        "batch_ingest": q_ingest, "snapshot_rows": q_snapshot_rows, "retained_ledger": q_retained_ledger, "rolling_sample": q_rolling, "payload_hashes": q_payload_hashes,
         "payload_features": q_payload_features, "simhash_distance": q_simhash_distance,
         "capture_decode": q_capture_decode, "capture_summary": q_capture_summary, "sensor_page": q_sensor_page,
         "packet_summary": q_packet_summary, "first_packet": q_first_packet, "scan_budget": q_scan_budget,
