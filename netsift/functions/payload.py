@@ -41,13 +41,17 @@ def _simhashes(data: np.ndarray, sizes: np.ndarray) -> list[str]:
     state = np.full(total, FNV_OFFSET, dtype=np.uint64)
     width = np.repeat(widths, spans) if widths.min() < SHINGLE_BYTES else None
     for i in range(int(widths.max())):
-        rows = slice(None) if width is None else width > i
-        state[rows] = (state[rows] ^ data[at[rows] + i].astype(np.uint64)) * np.uint64(FNV_PRIME)
-    octets = state.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)
+        if width is None:
+            state ^= data[at + i]
+            state *= np.uint64(FNV_PRIME)
+        else:
+            rows = width > i
+            state[rows] = (state[rows] ^ data[at[rows] + i].astype(np.uint64)) * np.uint64(FNV_PRIME)
+    octets = np.ascontiguousarray(state.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8).T)
     segments = np.flatnonzero(inside % SEGMENT == 0)
     ones = np.empty((len(segments), 64), dtype=np.int64)
     for bit in range(0, 64, 4):
-        sums = np.add.reduceat(_LANES[bit // 4 % 2][octets[:, bit // 8]], segments)
+        sums = np.add.reduceat(_LANES[bit // 4 % 2][octets[bit // 8]], segments)
         for lane in range(4):
             ones[:, bit + lane] = (sums >> np.uint64(16 * lane)) & np.uint64(0xFFFF)
     votes = np.add.reduceat(ones, np.searchsorted(segments, starts), axis=0)
