@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from netsift.operators.ranking import with_position
 from netsift.plans.evaluation import known_ranks
+from netsift.plans.prefilter import review_priority
 
 
 @pytest.mark.parametrize("ranges", [1, 3, 16])
@@ -35,3 +36,14 @@ def test_ranks_of_ipv6_peers_of_one_score(spark):
     order = [ip for ip, _ in sorted(peers, key=lambda p: (-p[1], p[0]))]
     got = {r["candidate_ip"]: r["rank"] for r in known_ranks(ranked, known).collect()}
     assert got == {ip: order.index(ip) + 1 for ip in ("2001:db8::10", "203.0.113.9")}
+
+
+def test_review_priority_rounds_decimal_halves_to_even(spark):
+    rows = [
+        (91, 85, "SUSPICIOUS", 0.8, 82), (28, 78, "LIKELY_C2", 0.68, 48), (45, 7, "LIKELY_BENIGN", 0.23, 26),  # halves
+        (82, 40, "SUSPICIOUS", 0.72, 65), (200, 200, "LIKELY_C2", 1.0, 100), (8, 0, None, 0.5, 6),
+        (24, 0, "LIKELY_C2", None, 16), (-5, 0, "UNKNOWN", 0.9, 0), (60, 0, "LIKELY_C2", float("nan"), 53),
+    ]
+    columns = "score int, prefilter_score int, verdict string, confidence double, want int"
+    got = review_priority(spark.createDataFrame(rows, columns)).collect()
+    assert [r["review_priority"] for r in got] == [r["want"] for r in got]
