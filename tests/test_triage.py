@@ -20,6 +20,26 @@ def test_action_counts_only_for_the_current_verdict(spark):
     assert got == {"c1": "ACTION_IN_PROGRESS", "c2": "FALSE_POSITIVE", "c3": "NEEDS_REVIEW"}
 
 
+def test_workflow_moves_only_what_it_needs_of_actions_and_decisions(spark):
+    cands = spark.createDataFrame([("c1",), ("c2",)], "candidate_id string")
+    at = lambda day: f"2026-01-{day:02}T00:00:00Z"
+    decisions = spark.createDataFrame(
+        [("d1", "c1", "CONFIRMED_C2", "HIGH", "n", "a", at(1)), ("d2", "c1", "CONFIRMED_C2", "HIGH", "n", "a", at(1)),
+         ("d3", "c2", "CONFIRMED_C2", "HIGH", "n", "a", at(1))],
+        "id string, candidate_id string, verdict string, confidence string, note string, created_by string, created_at string")
+    actions = spark.createDataFrame(
+        [("a1", "c1", "d1", "COMPLETED", at(9), "x"), ("a2", "c1", "d2", "PENDING", at(3), "x"),
+         ("a3", "c1", "d2", "COMPLETED", at(3), "x"), ("a4", "c1", None, "PENDING", at(9), "x"),
+         ("a5", "c2", "d2", "COMPLETED", at(9), "x"), ("a6", "c2", "d3", "IN_PROGRESS", at(2), "x")],
+        "id string, candidate_id string, verdict_id string, status string, created_at string, long_remark string")
+    out = triage.workflow(cands, decisions, actions)
+    got = {r.candidate_id: (r.verdict_id, r.action_status) for r in out.collect()}
+    assert got == {"c1": ("d2", "COMPLETED"), "c2": ("d3", "IN_PROGRESS")}
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    moved = [line for line in plan if "Aggregate" in line]
+    assert len(moved) == 2 and not any("long_remark" in line or "created_by" in line for line in moved)
+
+
 def test_bulk_verdict_appends(spark):
     ids = spark.createDataFrame([("c1",), ("nope",)], "candidate_id string")
     cands = spark.createDataFrame([("c1", "203.0.113.1")], "candidate_id string, candidate_ip string")
