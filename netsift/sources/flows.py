@@ -98,7 +98,11 @@ def ingest_batches(
 
 
 def publish(spark: SparkSession, table: str, ledger_path: str, load: str) -> None:
-    """Enter the batches of a stored load in the ledger, in a folder by the last day of their rows."""
+    """Enter the batches of a stored load in the ledger, in a folder by the last day of their rows.
+
+    Entries are few but their folders grow with the days, so folders are dealt over the tasks by number;
+    by size they would all be written one after the other in one task.
+    """
     stored = read_or_empty(
         spark, table, "sensor_id string, batch_id string, event_date date, load_id string"
     )
@@ -107,6 +111,7 @@ def publish(spark: SparkSession, table: str, ledger_path: str, load: str) -> Non
         .groupBy(*BATCH_KEY)
         .agg(F.count(F.lit(1)).alias("record_count"), F.max("event_date").alias("last_date"))
         .withColumns({"ingested_at": F.current_timestamp(), "load_id": F.lit(load)})
+        .repartition(spark.sparkContext.defaultParallelism, "last_date")
         .write.partitionBy("last_date")
         .mode("append")
         .parquet(ledger_path)

@@ -93,6 +93,17 @@ def test_unpublished_loads_stay_out_and_days_expire(spark, tmp_path):
     assert [r.batch_id for r in src.read_or_empty(spark, ledger, src.LEDGER).collect()] == ["b3"]
 
 
+def test_ledger_folders_are_written_by_many_tasks(spark, tmp_path):
+    table, ledger = str(tmp_path / "flows"), str(tmp_path / "ledger")
+    rows = frame(spark, [flow(86_400 * i) for i in range(40)]).withColumns(
+        {"batch_id": F.concat(F.lit("b"), F.unix_date(F.to_date("timestamp"))), "record_index": F.lit(0)})
+    src.ingest_batches(spark, rows, table, ledger)
+    files = [f for f in (tmp_path / "ledger").glob("last_date=*/part-*.parquet")]
+    assert len(files) == 40 and len({f.parent for f in files}) == 40
+    assert len({f.name.split("-")[1] for f in files}) > 1
+    assert src.snapshot(spark, table, ["s1"], "2025-01-01T00:00:00Z", "2027-01-01T00:00:00Z", ledger).count() == 40
+
+
 def test_json_source_defaults(spark, tmp_path):
     (tmp_path / "f.json").write_text('{"sensor_id":"s","timestamp":"2026-01-01T00:00:00Z","source_ip":"10.0.0.1"}\nbroken\n')
     rows = src.read_flow_json(spark, str(tmp_path)).collect()
