@@ -1,11 +1,12 @@
 """The end-to-end scenarios, edge cases of single rules and the scoring rules."""
 
+import ipaddress
 import json
 import random
 
 import pytest
 
-from netsift.operators.roles import orient
+from netsift.operators.roles import orient, role_columns
 from netsift.operators.traffic import traffic_profile
 from netsift.params import Params
 from netsift.plans.analysis import analyze, reanalyze
@@ -247,3 +248,32 @@ def test_trusted_servers_of_a_long_allowlist_all_count(spark):
             ctx = with_trusted(ctx, allowlist, "2026-01-01T00:00:00Z")
         got = [r.metrics for r in run_detectors(ctx).filter("type = 'COMMON_DESTINATION'").collect()]
         assert len(got) == 1 and ('"public_dns_ntp":true' in got[0]) == with_list
+
+
+@pytest.mark.parametrize("cidrs", [("10.0.0.0/8", "192.168.0.0/16"), ("10.0.0.0/8", "fd00::/8")])
+def test_roles_parse_each_address_once_and_only_without_direction(spark, cidrs):
+    ends = ["10.0.0.1", "10.0.0.2", "203.0.113.5", "192.168.1.1", "fd00::1", "2001:db8::1", "10.0.0.256", "", None]
+    stated = ["OUTBOUND", "inbound", "UNKNOWN", "", None]
+    rows = [(a, b, d, 1, 2) for a in ends for b in ends for d in stated]
+    columns = "source_ip string, destination_ip string, direction string, source_port int, destination_port int"
+    nets = [ipaddress.ip_network(c) for c in cidrs]
+
+    def inside(text):
+        try:
+            return any(ipaddress.ip_address(text) in n for n in nets)
+        except ValueError:
+            return False
+
+    def role(a, b, d):
+        if d is None or d.upper() in ("OUTBOUND", "INBOUND"):
+            return d and d.upper()
+        return None if inside(a) == inside(b) else "OUTBOUND" if inside(a) else "INBOUND"
+
+    got = role_columns(spark.createDataFrame(rows, columns), cidrs).collect()
+    assert [r.norm_direction for r in got] == [role(a, b, d) for a, b, d, _, _ in rows]
+    for r in got:
+        out = {"OUTBOUND": (r.destination_ip, r.source_ip, 2, 1), "INBOUND": (r.source_ip, r.destination_ip, 1, 2)}
+        want = out.get(r.norm_direction, (None,) * 4)
+        assert (r.candidate_ip, r.host_ip, r.service_port, r.internal_port) == want
+    plan = orient(frame(spark, [flow()]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") <= 4  # two addresses, in the filter and in the projection
