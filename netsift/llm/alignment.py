@@ -1,20 +1,20 @@
 """Alignment of two tokenizations of the same text by byte ranges.
 
-Both tokenizers encode space + text, A as byte-level BPE and B as SentencePiece. The tokens of a batch of
-documents become two frames ordered by byte offset; ``pandas.merge_asof``, keyed by document, finds for
-the start of each token the other side's token that covers it. The union of both directions is every pair of
-tokens whose byte ranges overlap: of two overlapping tokens, one starts inside the other. Where an A and a B
-token start at the same byte, the tokens before end at the same byte, which cuts a document into groups.
-
-Encoding is done once per distinct chunk a worker process sees: texts are cut before white space that follows
-another character, and no token of either vocabulary crosses such a cut (checked on the files; texts are
-encoded uncut otherwise). Long texts are aligned in runs of chunks, so memory is bounded.
-
-Two passes. The first counts, per pair of ids, the links of the whole corpus, summed in each task and then by
-Spark. As no token crosses a cut, a document's links are those of its chunks: a task counts its chunks and
-aligns each distinct one once, keyed by chunk. The second pass aligns the documents. The most frequent pairs,
-up to ``max_pairs``, go to every task of the second pass; the others leave a document as (pair, times) and
-meet their counts in a join. Nothing is left out at any size.
+Both tokenizers encode space + text, A as byte-level BPE and B as SentencePiece. The tokens of many chunks of
+text become two frames ordered by byte offset; ``pandas.merge_asof``, keyed by chunk, finds for the start of
+each token the other side's token that covers it. The union of both directions is every pair of tokens whose
+byte ranges overlap: of two overlapping tokens, one starts inside the other. Where an A and a B token start at
+the same byte, the tokens before end at the same byte, which cuts a chunk into groups.
+
+Texts are cut before white space that follows another character, and no token of either vocabulary crosses
+such a cut (checked on the files; texts are encoded and aligned uncut otherwise). So a document's tokens,
+groups and links are those of its chunks one after another. A worker process encodes and aligns a chunk when
+it meets it first, and again only if it was forgotten as rare. Long texts are put together in runs of chunks.
+
+Two passes. The first counts, per pair of ids, the links of the whole corpus: a task counts its chunks and adds up
+the links of each distinct one, Spark sums the tasks. The second pass puts the documents together. The most
+frequent pairs, up to ``max_pairs``, go to every task of the second pass; the others leave a document as (pair,
+times) and meet their counts in a join. Nothing is left out at any size.
 """
 
 from __future__ import annotations
@@ -41,9 +41,9 @@ from netsift.session import materialize
 MARK = "▁"
 #: Pairs that tasks know by heart at most: 17 bytes each.
 MAX_PAIRS = 1_000_000
-#: Characters of text cut together, bytes aligned in one step, and chunks an encoder remembers before it
-#: starts afresh.
-GROUP_CHARS, STEP_BYTES, CACHE_CHUNKS = 6_000_000, 2_000_000, 400_000
+#: Characters of text cut together, chunks encoded in one call, bytes aligned or put together in one step, and
+#: chunks, and bytes of chunks, an encoder remembers before it forgets the rare ones.
+GROUP_CHARS, CALL_CHUNKS, STEP_BYTES, CACHE_CHUNKS, CACHE_BYTES = 3_000_000, 20_000, 1_000_000, 400_000, 20_000_000
 #: Distinct pairs a task of the first pass holds before it hands them on.
 HELD_PAIRS = 2_000_000
 CUT = re.compile(r"(?<=\S)(?=[ \t\n])")
@@ -71,41 +71,54 @@ def byte_level() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Side:
-    """Ids and byte ends of the tokens of each chunk, flat, in order of first sight."""
+class Aligned:
+    """The aligned tokens of chunks: per side the ids of all, how many each chunk has, and the bytes of each id."""
 
-    def __init__(self, surfaces: list[bytes]):
-        self.surfaces = surfaces
-        self.size = np.array([len(s) for s in surfaces], np.int64)
-        self.forget()
+    def __init__(self, ids: list[np.ndarray], many: list[np.ndarray], sizes: list[np.ndarray]):
+        self.ids, self.many = ids, many
+        frames = []
+        for side, per_chunk, size in zip(ids, many, sizes, strict=True):
+            # chunks follow each other without a gap, and so do the tokens of a chunk
+            start = np.cumsum(size[side]) - size[side]
+            chunk = np.repeat(np.arange(len(per_chunk)), per_chunk)
+            frames.append(pd.DataFrame({"start": start, "chunk": chunk, "token": np.arange(len(side))}))
+        left, right = frames
+        # the token of the other side that covers each token's start
+        over_a = pd.merge_asof(left, right, on="start", by="chunk", suffixes=("", "_other"))["token_other"].to_numpy(np.int64)
+        over_b = pd.merge_asof(right, left, on="start", by="chunk", suffixes=("", "_other"))["token_other"].to_numpy(np.int64)
+        start_a, start_b = left["start"].to_numpy(), right["start"].to_numpy()
+        self.opens_a = start_b[over_a] == start_a
+        self.opens_b = start_a[over_b] == start_b
+        # pairs with equal starts come from both directions, they count once
+        late = ~self.opens_b
+        link_a = np.concatenate([np.arange(len(start_a)), over_b[late]])
+        link_b = np.concatenate([over_a, np.flatnonzero(late)])
+        chunk = left["chunk"].to_numpy()
+        order = np.argsort(chunk[link_a], kind="stable")
+        self.link_a, self.link_b = link_a[order], link_b[order]
+        n = len(many[0])
+        #: per chunk: A tokens, B tokens, groups, links
+        self.counts = np.stack(
+            [*many, np.bincount(chunk[self.opens_a], minlength=n), np.bincount(chunk[self.link_a], minlength=n)]
+        )
 
-    def forget(self) -> None:
-        self.ids, self.starts = np.empty(0, np.int32), np.zeros(1, np.int64)
+    def spelled(self, marked: pa.StringArray, n_a: int, n_b: int) -> pa.StringArray:
+        """Per chunk its groups as text: A ids, a bar, B ids, a semicolon after each group. ``marked`` has the
+        ids of A with a comma, with a bar, those of B with a comma, with a semicolon."""
+        (a, b), (all_a, all_b) = self.ids, map(len, self.ids)
+        first_a, first_b = np.flatnonzero(self.opens_a), np.flatnonzero(self.opens_b)
+        group_a, group_b = np.cumsum(self.opens_a) - 1, np.cumsum(self.opens_b) - 1
+        closes_a, closes_b = np.append(self.opens_a[1:], True), np.append(self.opens_b[1:], True)
+        out = np.empty(all_a + all_b, np.int64)
+        out[np.arange(all_a) + first_b[group_a]] = a + n_a * closes_a
+        out[np.arange(all_b) + np.append(first_a[1:], all_a)[group_b]] = 2 * n_a + b + n_b * closes_b
+        return joined(marked.take(pa.array(out)), self.many[0] + self.many[1])
 
-    def learn(self, ids: np.ndarray, many: np.ndarray, wanted: list[bytes]) -> np.ndarray:
-        """Add chunks, ``many`` of the flat ``ids`` each; returns whether the tokens of each chunk spell it."""
-        ends = np.cumsum(many)
-        sizes = np.diff(np.append(0, np.append(0, np.cumsum(self.size[ids]))[ends]))
-        same = (sizes == np.fromiter(map(len, wanted), np.int64, len(wanted))) & (many > 0)
-        if same.all():
-            kept, rows = ids, wanted
-        else:
-            kept, rows = ids[np.repeat(same, many)], [w for w, ok in zip(wanted, same.tolist(), strict=True) if ok]
-        spelled = np.frombuffer(b"".join(map(self.surfaces.__getitem__, kept.tolist())), np.uint8)
-        other = np.flatnonzero(spelled != np.frombuffer(b"".join(rows), np.uint8))
-        if len(other):
-            places = np.flatnonzero(same)
-            same[places[np.searchsorted(np.cumsum(sizes[places]), other, side="right")]] = False
-        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + ends])
-        return same
-
-    def tokens(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the tokens of a run of chunks, and the place in the run of each token's chunk."""
-        many = np.diff(self.starts)[chunks]
-        ends = np.cumsum(many)
-        at = np.repeat(self.starts[chunks] - ends + many, many) + np.arange(int(many.sum()))
-        return self.ids[at], np.repeat(np.arange(len(chunks)), many)
+
+def joined(parts: pa.Array, many: np.ndarray) -> pa.Array:
+    """Strings put together, ``many`` at a time."""
+    ends = np.concatenate([[0], np.cumsum(many)]).astype(np.int32)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), parts), pa.scalar("", parts.type))
 
 
 class PairEncoder:
@@ -120,11 +133,11 @@ class PairEncoder:
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         letters = byte_level()
         spelled = [self.a.id_to_token(i) or "" for i in range(self.a.get_vocab_size())]
-        self.left = Side([bytes(letters.get(c, 0) for c in t) if all(c in letters for c in t) else b"" for t in spelled])
+        left = [bytes(letters.get(c, 0) for c in t) if all(c in letters for c in t) else b"" for t in spelled]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.right = Side(
-            [bytes([int(t[3:5], 16)]) if self.b.is_byte(i) else t.replace(MARK, " ").encode() for i, t in enumerate(pieces)]
-        )
+        right = [bytes([int(t[3:5], 16)]) if self.b.is_byte(i) else t.replace(MARK, " ").encode() for i, t in enumerate(pieces)]
+        self.surfaces = [pa.array(s, pa.binary()) for s in (left, right)]
+        self.sizes = [np.array([len(t) for t in s], np.int64) for s in (left, right)]
         with open(a_path, encoding="utf-8") as f:
             shape = json.load(f)
         pre = shape.get("pre_tokenizer") or {}
@@ -133,16 +146,33 @@ class PairEncoder:
             and not any(MARK in t.lstrip(MARK) or len(t) > 1 and {"\t", "\n"} & set(t) for i, t in enumerate(pieces) if not self.b.is_byte(i))
         )
         self.blank = self.b.piece_to_id(MARK)
-        self.comma = [np.array([f"{i}," for i in range(len(s.surfaces))], object) for s in (self.left, self.right)]
-        self.last = [np.array([f"{i}{mark}" for i in range(len(s.surfaces))], object) for s, mark in ((self.left, "|"), (self.right, ";"))]
+        marks = ((left, ","), (left, "|"), (right, ","), (right, ";"))
+        self.marked = pa.array([f"{i}{mark}" for side, mark in marks for i in range(len(side))])
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[str, int] = {}
+        self.known = pa.array([], pa.string())
         self.sound = np.empty(0, bool)
         self.bytes = np.empty(0, np.int64)
-        self.left.forget()
-        self.right.forget()
+        self.counts = np.empty((4, 0), np.int64)
+        self.links = np.empty(0, np.int64)
+        self.starts = np.zeros(1, np.int64)
+        self.spelled = pa.array([], pa.string())
+        self.used = np.empty(0, np.int64)
+
+    def forget_rare(self) -> None:
+        """Keep the chunks used most, half of what may be remembered at most, under new numbers."""
+        least, kept = 1, np.ones(len(self.known), bool)
+        while kept.sum() > CACHE_CHUNKS // 2 or self.bytes[kept].sum() > CACHE_BYTES // 2:
+            least *= 2
+            kept = self.used >= least
+        place = np.flatnonzero(kept)
+        self.links = self.links_of(place)
+        self.counts = self.counts[:, place]
+        self.starts = np.concatenate([[0], np.cumsum(self.counts[3])])
+        self.known, self.spelled = (x.take(pa.array(place)) for x in (self.known, self.spelled))
+        # uses of long ago count less
+        self.sound, self.bytes, self.used = self.sound[place], self.bytes[place], self.used[place] // 2
 
     def cut(self, texts: list[str]) -> pa.ListArray:
         """The chunks of each text, as :func:`chunks_of` has them."""
@@ -170,31 +200,76 @@ class PairEncoder:
     def numbers(self, texts: list[str]) -> list[np.ndarray]:
         """The chunk numbers of each text. Numbers given before are void if :meth:`full` was true."""
         if self.full():
-            self.forget()
+            self.forget_rare()
         cut = self.cut(texts)
         coded = cut.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        known = list(map(self.index.get, words))
-        new = [w for w, k in zip(words, known, strict=True) if k is None]
-        if new:
-            whole = [c if c[0].isspace() else f" {c}" for c in new]
-            spaced = [c.encode() for c in whole]
-            got = self.a.encode(whole, is_pretokenized=True, add_special_tokens=False)
-            many = np.bincount(np.array(got.word_ids, np.int64), minlength=len(new))
-            sound = self.left.learn(np.array(got.ids, np.int64), many, spaced)
-            pieces = self.pieces(whole)
-            many = np.fromiter(map(len, pieces), np.int64, len(pieces))
-            sound &= self.right.learn(np.fromiter(chain.from_iterable(pieces), np.int64, int(many.sum())), many, spaced)
-            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
-            self.sound = np.concatenate([self.sound, sound])
-            self.bytes = np.concatenate([self.bytes, np.fromiter(map(len, spaced), np.int64, len(spaced))])
-            known = map(self.index.__getitem__, words)
-        flat = np.fromiter(known, np.int64, len(words))[coded.indices.to_numpy()]
-        lengths = pc.list_value_length(cut).to_numpy()
-        return np.split(flat, np.cumsum(lengths)[:-1])
+        words = coded.dictionary
+        number = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            number[new] = len(self.known) + np.arange(len(new))
+            self.learn(words.take(pa.array(new)))
+        flat = number[coded.indices.to_numpy()]
+        self.used += np.bincount(flat, minlength=len(self.known))
+        return np.split(flat, np.cumsum(pc.list_value_length(cut).to_numpy())[:-1])
+
+    def encoded(self, whole: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of chunks with their white space, and how many each chunk has, by A and by B."""
+        got = self.a.encode(whole, is_pretokenized=True, add_special_tokens=False)
+        pieces = self.pieces(whole)
+        many = [np.bincount(np.array(got.word_ids, np.int64), minlength=len(whole)), np.fromiter(map(len, pieces), np.int64, len(whole))]
+        return [np.array(got.ids, np.int64), np.fromiter(chain.from_iterable(pieces), np.int64, int(many[1].sum()))], many
+
+    def learn(self, new: pa.StringArray) -> None:
+        """Encode chunks and align those that the tokens of both sides spell."""
+        spaced = pc.if_else(pc.match_substring_regex(new, "^[ \t\n]"), new, pc.binary_join_element_wise("", new, " "))
+        size = pc.binary_length(spaced).to_numpy().astype(np.int64)
+        coded = [self.encoded(spaced.slice(k, CALL_CHUNKS).to_pylist()) for k in range(0, len(new), CALL_CHUNKS)]
+        ids, many = ([np.concatenate(side) for side in zip(*x, strict=True)] for x in zip(*coded, strict=True))
+        sound = np.ones(len(new), bool)
+        for surfaces, side, per_chunk in zip(self.surfaces, ids, many, strict=True):
+            told = joined(surfaces.take(pa.array(side)), per_chunk)
+            sound &= pc.equal(told, spaced.cast(pa.binary())).to_numpy(zero_copy_only=False)
+        ids = [side[np.repeat(sound, per_chunk)] for side, per_chunk in zip(ids, many, strict=True)]
+        many = [per_chunk[sound] for per_chunk in many]
+        counts = np.zeros((4, len(new)), np.int64)
+        links, spelled = [self.links], [self.spelled]
+        seen, at = np.flatnonzero(sound), [0, 0]
+        steps = np.cumsum(size[seen]) // STEP_BYTES
+        edges = [0, *(np.flatnonzero(np.diff(steps)) + 1).tolist(), len(seen)]
+        for low, high in zip(edges, edges[1:]):
+            if low == high:
+                continue
+            part = [m[low:high] for m in many]
+            to = [k + int(m.sum()) for k, m in zip(at, part, strict=True)]
+            step = Aligned([side[k:end] for side, k, end in zip(ids, at, to, strict=True)], part, self.sizes)
+            at = to
+            counts[:, seen[low:high]] = step.counts
+            links.append(step.ids[0][step.link_a] * len(self.surfaces[1]) + step.ids[1][step.link_b])
+            spelled.append(step.spelled(self.marked, *map(len, self.surfaces)))
+        # chunks that are not spelled keep their number, without tokens
+        places = np.cumsum(sound) - 1 + len(self.spelled)
+        texts = pa.concat_arrays(spelled)
+        if not sound.all():
+            old = np.arange(len(self.spelled))
+            texts = texts.take(pa.array(np.concatenate([old, places]), mask=np.concatenate([old < 0, ~sound])))
+        self.known = pa.concat_arrays([self.known, new])
+        self.sound = np.concatenate([self.sound, sound])
+        self.bytes = np.concatenate([self.bytes, size])
+        self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
+        self.counts = np.concatenate([self.counts, counts], axis=1)
+        self.links = np.concatenate(links)
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts[3])])
+        self.spelled = texts
+
+    def links_of(self, chunks: np.ndarray) -> np.ndarray:
+        """The id pair of each link of chunks as one number."""
+        many = self.counts[3][chunks]
+        ends = np.cumsum(many)
+        return self.links[np.repeat(self.starts[chunks] - ends + many, many) + np.arange(int(many.sum()))]
 
     def full(self) -> bool:
-        return len(self.index) > CACHE_CHUNKS
+        return len(self.known) > CACHE_CHUNKS or self.bytes.sum() > CACHE_BYTES
 
 
 def encoder_of(a_path: str, b_path: str) -> PairEncoder:
@@ -206,65 +281,27 @@ def encoder_of(a_path: str, b_path: str) -> PairEncoder:
     return kept[key]
 
 
-class Aligned:
-    """The aligned tokens of runs of chunks, each run of one document (its number in the batch)."""
+class Runs:
+    """Runs of chunks put together, each run of one document (its number in the batch)."""
 
     def __init__(self, encoder: PairEncoder, runs: list[tuple[int, np.ndarray]]):
-        chunks = np.concatenate([c for _, c in runs])
-        run_of = np.repeat(np.arange(len(runs)), [len(c) for _, c in runs])
-        frames, self.ids, self.run = [], [], []
-        for side in (encoder.left, encoder.right):
-            ids, where = side.tokens(chunks)
-            # chunks follow each other without a gap, and so do the tokens of a chunk
-            ends = np.cumsum(side.size[ids])
-            start = ends - side.size[ids]
-            frames.append(pd.DataFrame({"start": start, "doc": run_of[where], "token": np.arange(len(ids))}))
-            self.ids.append(ids)
-            self.run.append(run_of[where])
-        self.runs, self.encoder = runs, encoder
-        left, right = frames
-        # the token of the other side that covers each token's start
-        over_a = pd.merge_asof(left, right, on="start", by="doc", suffixes=("", "_other"))["token_other"].to_numpy(np.int64)
-        over_b = pd.merge_asof(right, left, on="start", by="doc", suffixes=("", "_other"))["token_other"].to_numpy(np.int64)
-        start_a, start_b = left["start"].to_numpy(), right["start"].to_numpy()
-        self.opens_a = start_b[over_a] == start_a
-        self.opens_b = start_a[over_b] == start_b
-        # pairs with equal starts come from both directions, they count once
-        late = ~self.opens_b
-        self.link_a = np.concatenate([np.arange(len(start_a)), over_b[late]])
-        self.link_b = np.concatenate([over_a, np.flatnonzero(late)])
-
-    def codes(self) -> np.ndarray:
-        """The id pair of each link as one number."""
-        return self.ids[0][self.link_a].astype(np.int64) * len(self.encoder.right.surfaces) + self.ids[1][self.link_b]
-
-    def per_run(self, run: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
-        if weights is None:
-            return np.bincount(run, minlength=len(self.runs))
-        edges = np.searchsorted(run, np.arange(len(self.runs) + 1))
-        sums = np.concatenate([[0], np.cumsum(weights)])
-        return sums[edges[1:]] - sums[edges[:-1]]
+        self.encoder, self.runs = encoder, runs
+        self.chunks = np.concatenate([c for _, c in runs])
+        self.many = np.array([len(c) for _, c in runs])
 
     def counts(self) -> list[np.ndarray]:
         """Per run: A tokens, B tokens, groups, links."""
-        return [
-            self.per_run(self.run[0]), self.per_run(self.run[1]), self.per_run(self.run[0][self.opens_a]),
-            self.per_run(self.run[0][self.link_a]),
-        ]
+        starts = np.cumsum(self.many) - self.many
+        return [np.add.reduceat(c[self.chunks], starts) for c in self.encoder.counts]
+
+    def links(self) -> np.ndarray:
+        """The id pair of each link as one number, run after run."""
+        return self.encoder.links_of(self.chunks)
 
     def spelled(self) -> list[bytes]:
         """Per run its groups as text: A ids, a bar, B ids, groups parted by semicolons."""
-        (a, b), (n_a, n_b) = self.ids, map(len, self.ids)
-        first_a, first_b = np.flatnonzero(self.opens_a), np.flatnonzero(self.opens_b)
-        group_a, group_b = np.cumsum(self.opens_a) - 1, np.cumsum(self.opens_b) - 1
-        closes_a, closes_b = np.append(self.opens_a[1:], True), np.append(self.opens_b[1:], True)
-        out = np.empty(n_a + n_b, object)
-        comma, last = self.encoder.comma, self.encoder.last
-        out[np.arange(n_a) + first_b[group_a]] = np.where(closes_a, last[0][a], comma[0][a])
-        out[np.arange(n_b) + np.append(first_a[1:], n_a)[group_b]] = np.where(closes_b, last[1][b], comma[1][b])
-        ends = np.cumsum(self.per_run(self.run[0]) + self.per_run(self.run[1])).tolist()
-        parts = out.tolist()
-        return ["".join(parts[i:j])[:-1].encode() for i, j in zip([0, *ends], ends)]
+        texts = joined(self.encoder.spelled.take(pa.array(self.chunks)), self.many)
+        return [t[:-1] for t in texts.cast(pa.binary()).to_pylist()]
 
 
 def _groups(encoder: PairEncoder, texts: list[str | None]) -> Iterator[list[tuple[int, np.ndarray]]]:
@@ -281,8 +318,8 @@ def _groups(encoder: PairEncoder, texts: list[str | None]) -> Iterator[list[tupl
             group, held = [], 0
 
 
-def _steps(encoder: PairEncoder, texts: list[str | None]) -> Iterator[Aligned]:
-    """Aligned runs of the documents whose tokens spell them; a long document is several runs."""
+def _steps(encoder: PairEncoder, texts: list[str | None]) -> Iterator[Runs]:
+    """Runs of the documents whose tokens spell them; a long document is several runs."""
     for group in _groups(encoder, texts):
         runs: list[tuple[int, np.ndarray]] = []
         held = 0
@@ -295,49 +332,43 @@ def _steps(encoder: PairEncoder, texts: list[str | None]) -> Iterator[Aligned]:
                 runs.append((i, run))
                 held += int(encoder.bytes[run].sum())
                 if held >= STEP_BYTES:
-                    yield Aligned(encoder, runs)
+                    yield Runs(encoder, runs)
                     runs, held = [], 0
         if runs:
-            yield Aligned(encoder, runs)
+            yield Runs(encoder, runs)
 
 
 class PairSums:
-    """Links per id pair of the texts of a task, each distinct chunk aligned once."""
+    """Links per id pair of the texts of a task, those of a distinct chunk added up at once."""
 
     def __init__(self, encoder: PairEncoder):
         self.encoder = encoder
-        self.chunks: list[np.ndarray] = []
-        self.held = 0
+        self.often = np.empty(0, np.int64)
         self.codes, self.times = np.empty(0, np.int64), np.empty(0, np.int64)
 
     def add(self, texts: list[str | None]) -> None:
         groups = _groups(self.encoder, texts)
         while True:
-            if self.encoder.full() or self.held > 10_000_000:  # chunk numbers are about to be given anew
+            if self.encoder.full():  # chunk numbers are about to be given anew
                 self.settle()
             group = next(groups, None)
             if group is None:
                 break
-            self.chunks += [chunks for _, chunks in group]
-            self.held += sum(len(chunks) for _, chunks in group)
+            often = np.bincount(np.concatenate([np.empty(0, np.int64), *[chunks for _, chunks in group]]), minlength=len(self.encoder.known))
+            often[: len(self.often)] += self.often
+            self.often = often
 
     def settle(self) -> None:
-        """Align the chunks counted so far."""
-        if not self.held:
-            return
-        encoder = self.encoder
-        often = np.bincount(np.concatenate(self.chunks))
-        self.chunks, self.held = [], 0
+        """Add up the links of the chunks counted so far."""
+        encoder, often = self.encoder, self.often
+        self.often = np.empty(0, np.int64)
         seen = np.flatnonzero(often)
-        steps = np.cumsum(encoder.bytes[seen]) // STEP_BYTES
-        codes, times = [self.codes], [self.times]
-        for part in np.split(seen, np.flatnonzero(np.diff(steps)) + 1):
-            step = Aligned(encoder, [(k, part[k : k + 1]) for k in range(len(part))])
-            codes.append(step.codes())
-            times.append(often[part][step.run[0][step.link_a]])
-        found, pair = pd.factorize(np.concatenate(codes))
-        self.codes, self.times = pair, np.zeros(len(pair), np.int64)
-        np.add.at(self.times, found, np.concatenate(times))
+        step = max(CACHE_CHUNKS // 8, 1)
+        for part in np.split(seen, np.arange(step, len(seen), step)):
+            many = encoder.counts[3][part]
+            found, pair = pd.factorize(np.concatenate([self.codes, encoder.links_of(part)]))
+            self.times = np.bincount(found, np.concatenate([self.times, np.repeat(often[part], many)])).astype(np.int64)
+            self.codes = pair
 
 
 def _pair_counts(texts: DataFrame, paths: tuple[str, str]) -> DataFrame:
@@ -351,9 +382,9 @@ def _pair_counts(texts: DataFrame, paths: tuple[str, str]) -> DataFrame:
             sums.codes, sums.times = codes[:0], times[:0]
             return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(times)], names=["code", "times"])
 
-        for batch in batches:
+        for part in chain.from_iterable(_parts(b, 0) for b in batches):
             sums = sums or PairSums(encoder_of(*paths))
-            sums.add(batch.column(0).to_pylist())
+            sums.add(part.column(0).to_pylist())
             if len(sums.codes) > HELD_PAIRS:
                 yield out()
         if sums:
@@ -363,6 +394,14 @@ def _pair_counts(texts: DataFrame, paths: tuple[str, str]) -> DataFrame:
     return texts.mapInArrow(count, "code bigint, times bigint").groupBy("code").agg(F.sum("times").alias("times"))
 
 
+def _parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Rows that follow each other, about ``GROUP_CHARS`` bytes of text at a time."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)
+    edges = (np.flatnonzero(np.diff(np.cumsum(size) // GROUP_CHARS)) + 1).tolist()
+    for low, high in zip([0, *edges], [*edges, batch.num_rows]):
+        yield batch.slice(low, high - low)
+
+
 def default_tokenizers() -> tuple[str, str]:
     import public_tokenizers
 
@@ -406,43 +445,39 @@ def aligned_documents(
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, times, tops = shared.value
-        part, row = uuid.uuid4().hex, 0
-        for batch in batches:
-            n = batch.num_rows
+        name, row = uuid.uuid4().hex, 0
+        for part in chain.from_iterable(_parts(b, 1) for b in batches):
+            n = part.num_rows
             sums = np.zeros((6, n), np.int64)
             hashes: dict[int, object] = {}
             spelled: dict[int, list[bytes]] = {}
-            rare: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-            for step in _steps(encoder_of(*paths), batch.column(1).to_pylist()):
-                docs = np.array([i for i, _ in step.runs])
-                back, pair = pd.factorize(step.codes())
+            rare: dict[int, list[dict[str, int]]] = {}
+            for step in _steps(encoder_of(*paths), part.column(1).to_pylist()):
+                docs, told = np.array([i for i, _ in step.runs]), step.counts()
+                ends = np.cumsum(told[-1])
+                back, pair = pd.factorize(step.links())
                 at = np.minimum(np.searchsorted(codes, pair), max(len(codes) - 1, 0))
                 seen = codes[at] == pair if len(codes) else np.zeros(len(pair), bool)
                 weigh = np.where(seen, times[at], 0) if len(codes) else np.zeros(len(pair), np.int64)
                 top = seen & tops[at] if len(codes) else seen
-                run = step.run[0][step.link_a]
-                order = np.argsort(run, kind="stable")
-                run, back = run[order], back[order]
-                for k, values in enumerate([*step.counts(), step.per_run(run, top[back]), step.per_run(run, weigh[back])]):
+                for k, values in enumerate([*told, *[np.add.reduceat(x[back], ends - told[-1], dtype=np.int64) for x in (top, weigh)]]):
                     np.add.at(sums[k], docs, values)
                 open_links = np.flatnonzero(~seen[back])
                 if len(open_links):
-                    both, many = np.unique(np.stack([docs[run[open_links]], pair[back[open_links]]]), axis=1, return_counts=True)
-                    edges = np.searchsorted(both[0], both[0][np.append(True, both[0][1:] != both[0][:-1])])
-                    for lo, hi in zip(edges, np.append(edges[1:], len(many))):
-                        rare.setdefault(int(both[0][lo]), []).append((both[1][lo:hi], many[lo:hi]))
+                    run = np.searchsorted(ends, open_links, side="right")
+                    both, many = np.unique(docs[run] * len(pair) + back[open_links], return_counts=True)
+                    for i, c, t in zip((both // len(pair)).tolist(), pair[both % len(pair)].tolist(), many.tolist(), strict=True):
+                        rare.setdefault(i, []).append({"code": c, "times": t})
                 for i, text in zip(docs.tolist(), step.spelled(), strict=True):
                     if i in hashes:
                         text = b";" + text
                     hashes.setdefault(i, hashlib.sha256()).update(text)
                     if with_groups:
                         spelled.setdefault(i, []).append(text)
-            left = [[(int(c), int(t)) for cs, ts in rare.get(i, []) for c, t in zip(cs, ts, strict=True)] for i in range(n)]
-            digests = [hashes[i].hexdigest() if i in hashes else "" for i in range(n)]
             columns = [
-                pa.array([f"{part}-{row + i}" for i in range(n)], pa.string()), batch.column(0), *[pa.array(s) for s in sums],
-                pa.array(digests, pa.string()),
-                pa.array([[{"code": c, "times": t} for c, t in x] for x in left], pa.list_(pa.struct([("code", pa.int64()), ("times", pa.int64())]))),
+                pa.array([f"{name}-{row + i}" for i in range(n)], pa.string()), part.column(0), *map(pa.array, sums),
+                pa.array([hashes[i].hexdigest() if i in hashes else "" for i in range(n)], pa.string()),
+                pa.array([rare.get(i, []) for i in range(n)], pa.list_(pa.struct([("code", pa.int64()), ("times", pa.int64())]))),
             ]
             names = ["row", "doc_id", *SUMS, "groups_sha256", "rare"]
             if with_groups:

@@ -137,6 +137,41 @@ def test_long_documents_are_aligned_in_runs():
     assert per_doc(whole) == per_doc(cut)
 
 
+def test_repeated_chunks_are_aligned_once(monkeypatch):
+    rows, merge = [], alignment.pd.merge_asof
+    monkeypatch.setattr(alignment.pd, "merge_asof", lambda left, *a, **k: rows.append(len(left)) or merge(left, *a, **k))
+
+    def aligned(texts):
+        rows.clear()
+        spelled = [t for s in alignment._steps(alignment.PairEncoder(*alignment.default_tokenizers()), texts) for t in s.spelled()]
+        assert len(spelled) == len(texts) and len(set(spelled)) == 1
+        return sum(rows)
+
+    text = "some words of a text, café and 漢字\nand some words of it again"
+    assert 0 < aligned([text] * 300) == aligned([text])
+
+
+@pytest.mark.parametrize(("chunks", "size"), [(40, 10**6), (0, 10**6), (10**6, 500)])
+def test_forgotten_chunks_are_learned_again(monkeypatch, chunks, size):
+    texts = [t for _, t in ODD if t != LONG] + [LONG[i : i + 900] for i in range(0, 20_000, 450)] + ["one", LONG[:900]]
+    whole = alignment.PairSums(alignment.PairEncoder(*alignment.default_tokenizers()))
+    whole.add(texts)
+    whole.settle()
+    monkeypatch.setattr(alignment, "CACHE_CHUNKS", chunks)
+    monkeypatch.setattr(alignment, "CACHE_BYTES", size)
+    monkeypatch.setattr(alignment, "GROUP_CHARS", 1000)
+    encoder, got = alignment.PairEncoder(*alignment.default_tokenizers()), {}
+    for s in alignment._steps(encoder, texts):
+        for (i, _), text, c in zip(s.runs, s.spelled(), zip(*s.counts()), strict=True):
+            got[i] = (*map(int, c), hashlib.sha256(text).hexdigest())
+    assert [got.get(i, (0, 0, 0, 0, "")) for i in range(len(texts))] == [(*x[:4], x[6]) for x in plain_alignment(texts)]
+    assert len(encoder.known) < 400 < len({c for t in texts if t for c in alignment.chunks_of(t)})
+    sums = alignment.PairSums(encoder)
+    sums.add(texts)
+    sums.settle()
+    assert dict(zip(sums.codes.tolist(), sums.times.tolist())) == dict(zip(whole.codes.tolist(), whole.times.tolist()))
+
+
 def test_uncut_encoding_gives_the_same():
     encoder = alignment.PairEncoder(*alignment.default_tokenizers())
     assert encoder.cuts
