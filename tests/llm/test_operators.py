@@ -19,7 +19,7 @@ from netsift.llm import (
     url_filter,
     weak_quality,
 )
-from netsift.llm.common import table
+from netsift.llm.common import salted_join, table
 from netsift.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -79,6 +79,49 @@ def test_components(spark):
     assert not rows(connected_components(spark.createDataFrame([], "a bigint, b bigint")))
 
 
+@pytest.fixture
+def broadcasts_to(spark):
+    """Sets the broadcast threshold for one test."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    yield lambda size: spark.conf.set(key, size)
+    spark.conf.set(key, before)
+
+
+def ran(df):
+    """The rows, and the plan that gave them."""
+    return rows(df), df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_copies_of_a_salted_join_count_in_its_size(spark, broadcasts_to, how):
+    many = spark.range(6_000).selectExpr("nullif(id % 2500, 7) AS k", "id AS row")
+    few = spark.range(2_000).selectExpr("id AS k", "cast(id AS string) AS name")
+    want = Counter(rows(many.join(few, "k", how)))
+    broadcasts_to("-1")
+    assert Counter(rows(salted_join(many, few, ["k"], "row", how))) == want
+    broadcasts_to("45000")  # one copy of few is below it, all are above, and so is many
+    got, plan = ran(salted_join(many, few, ["k"], "row", how))
+    assert Counter(got) == want and "BroadcastHashJoin" not in plan
+    got = rows(salted_join(many, few.where("k < 5"), ["k"], "row", how))
+    assert len(got) == (15 if how == "inner" else 6_000)
+
+
+def test_salted_join_still_broadcasts_a_small_table(spark, broadcasts_to):
+    broadcasts_to("45000")
+    many = spark.range(6_000).selectExpr("id % 25 AS k", "id AS row")
+    got, plan = ran(salted_join(many, spark.range(20).selectExpr("id AS k"), ["k"], "row"))
+    assert len(got) == 4_800 and "BroadcastHashJoin" in plan
+
+
+def test_addresses_are_not_broadcast_in_copies(spark, broadcasts_to):
+    broadcasts_to("200k")
+    pages = spark.range(4_000).selectExpr("id AS page_id", "concat('http://a.example.net/fr/', id) AS url", "'<p>' AS html")
+    got, plan = ran(url_filter.url_verdicts(pages, url_filter.rules_frame(spark)))
+    assert "BroadcastHashJoin" not in plan
+    assert set(got) == {(i, "a.example.net", f"/fr/{i}", "net/", "block") for i in range(4_000)} and len(got) == 4_000
+
+
 def test_language_is_told_on_held_out_documents(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     got = language.language_verdicts(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
